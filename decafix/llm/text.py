@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Text bytes that a stage works on at once; a longer text is alone in its piece.
 PIECE_BYTES = 1 << 22
@@ -15,7 +16,7 @@ def pieces(batch: pa.RecordBatch, column: int, most: int = PIECE_BYTES) -> Itera
     """The batch cut where its texts reach ``most`` bytes, so that numpy's temporaries stay bounded."""
     if not batch.num_rows:
         return
-    sizes = np.asarray(pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0), np.int64)
+    sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0), np.int64)
     at = np.cumsum(sizes)
     start = 0
     while start < batch.num_rows:
