@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from decafix.llm import simhash
+from decafix.llm import language, quality, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -24,3 +25,19 @@ def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
 @query
 def op1_simhash(spark, sf):
     return simhash.near_duplicates(table(spark, sf, "documents"))
+
+
+@query
+def op3_quality(spark, sf):
+    docs = table(spark, sf, "documents")
+    model = quality.fit(docs, table(spark, sf, "labels"), learn=quality.crc_mod(F.col("id"), 5) != 0)
+    scored = quality.score(docs, model)
+    return scored.select("doc_id", (quality.crc_mod("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+@query
+def op8_language(spark, sf):
+    docs = table(spark, sf, "documents")
+    model = language.fit(docs, learn=quality.crc_mod("doc_id", 4) != 2)
+    out = language.predict(docs, model)
+    return out.select("doc_id", (quality.crc_mod("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
