@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from decafix.llm import language, quality, simhash
+from decafix.llm import chat, html, language, quality, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -41,3 +41,32 @@ def op8_language(spark, sf):
     model = language.fit(docs, learn=quality.crc_mod("doc_id", 4) != 2)
     out = language.predict(docs, model)
     return out.select("doc_id", (quality.crc_mod("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op2_chat(spark, sf):
+    turns = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
+    probe = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit("</s>[INST] ok [/INST]").alias("text"))
+    return chat.digests(chat.format_conversations(turns.unionByName(probe)))
+
+
+SQL["op2_chat"] = """
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'
+), e AS (
+  SELECT *, length(role) + length(text) + 10 + 9 + 4
+    + length(text) - length(replace(text, chr(92), '')) + length(role) - length(replace(role, chr(92), ''))
+    + len(regexp_extract_all(text, '</?s>|\\[/?INST\\]')) + len(regexp_extract_all(role, '</?s>|\\[/?INST\\]')) AS chars FROM t
+)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(chars) AS BIGINT) AS formatted_chars
+FROM e GROUP BY conv_id
+"""
+
+
+@query
+def op7_html(spark, sf):
+    return html.extract(table(spark, sf, "pages"))
