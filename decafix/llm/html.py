@@ -1 +1,231 @@
-def extract(x): ...
+"""Main text of web pages by tree scoring.
+
+A page is read into a tree (tags, parents, text in page order; ends of paragraphs, list items and cells implied as browsers imply them).
+Branches that are navigation, headers, footers, asides, notices, adverts, forms, scripts, styles, comments or hidden, by tag, role or a word of
+class or id, take no part. Each paragraph earns points, 1 and one for each comma and up to 3 for length; it passes them to its ancestors, whole to
+the parent, half to the next, then a third of that distance. A container's points are discounted by its link density; the best one (the first of
+ties) is kept, grown to the article around it, with those siblings that score near it or read as text. Lists and boxes of links inside are left out.
+
+Blocks are the text between block tags, character references decoded, white space one space, trimmed, joined by an empty line. Nulls and
+pages without text give an empty text. A page is worked on whole, alone; loops, not recursion, so depth is no limit.
+"""
+
+from __future__ import annotations
+
+import html
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
+
+from decafix.llm.text import pieces
+
+TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.S)
+ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""")
+WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+
+# HTML's element classes.
+VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+RAW = frozenset("script style textarea title noscript iframe noframes xmp".split())
+BLOCK = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main nav ol p pre section summary table tbody tfoot thead tr ul caption".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+PARAGRAPHS = frozenset("p pre blockquote td li dd figcaption".split())
+IMPLIED = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "option": {"select"}}
+CLOSES_P = BLOCK - {"body", "html", "caption", "tbody", "thead", "tfoot", "tr", "li", "dd", "dt"}
+JUNK_TAGS = frozenset("head script style textarea title noscript iframe noframes template nav footer aside form button select object embed svg canvas audio video dialog menu map input label".split())
+JUNK_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form toolbar".split())
+JUNK_WORDS = frozenset("nav navbar navigation menu menubar breadcrumb breadcrumbs sidebar aside ad ads adv advert adverts advertisement advertising adsense sponsor sponsored sponsors promo promotion promoted banner cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup login share sharing social comment comments commentlist disqus respond reply replies related recommended recommendations pagination pager footer masthead toolbar widget widgets skip search copyright legal disclaimer paywall teaser teasers trending".split())
+PAGE_WORDS = frozenset(["header", "topbar", "bottom"])
+CONTENT_WORDS = frozenset("article post entry content story main body text".split())
+HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
+
+
+class Tree:
+    """Nodes by number in page order, so that a parent's number is below its children's; texts as (node, text)."""
+
+    def __init__(self) -> None:
+        self.tag, self.parent, self.junk, self.items = ["#root"], [0], [False], []
+
+    def add(self, tag: str, parent: int, junk: bool) -> int:
+        self.tag.append(tag)
+        self.parent.append(parent)
+        self.junk.append(junk)
+        return len(self.tag) - 1
+
+
+def is_junk(tag: str, attrs: str, tree: Tree, parent: int) -> bool:
+    if tag in JUNK_TAGS:
+        return True
+    inside = False
+    if tag == "header":
+        at = parent
+        while at and not inside:
+            inside, at = tree.tag[at] in ("article", "main"), tree.parent[at]
+        if not inside:
+            return True
+    if not attrs or tag in ("html", "body", "article", "main"):
+        return False
+    if "hidden" in attrs and (re.search(r"""(^|\s)hidden(\s|$|=(?!["']?until-found))""", re.sub(r'"[^"]*"|\'[^\']*\'', '""', attrs)) or re.search(r"aria-hidden\s*=\s*[\"']?true", attrs)):
+        return True
+    for m in ATTRIBUTE.finditer(attrs):
+        name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
+        if name == "role" and value.lower() in JUNK_ROLES or name == "style" and HIDDEN.search(value):
+            return True
+        if name in ("class", "id"):
+            words = {w.lower() for w in WORDS.findall(value)}
+            if words & JUNK_WORDS or words & PAGE_WORDS and not words & CONTENT_WORDS and not inside:
+                return True
+    return False
+
+
+def parse(page: str) -> Tree:
+    tree, stack, at = Tree(), [0], 0
+
+    def close(to: int) -> None:
+        del stack[to:]
+        tree.items.append((stack[-1], None))
+
+    while at < len(page):
+        m = TOKEN.search(page, at)
+        text = page[at : m.start() if m else len(page)]
+        if text:
+            tree.items.append((stack[-1], html.unescape(text) if "&" in text else text))
+        if not m:
+            break
+        at = m.end()
+        tag = (m[2] or m[5] or "").lower()
+        if not tag:
+            if m[0].startswith("<![CDATA["):
+                tree.items.append((stack[-1], m[0][9:].removesuffix("]]>")))
+            continue
+        if m[1] or m[4]:
+            for k in range(len(stack) - 1, 0, -1):
+                if tree.tag[stack[k]] == tag:
+                    if tag in BLOCK or tag in PARAGRAPHS:
+                        close(k)
+                    else:
+                        del stack[k]
+                    break
+                if tag not in BLOCK and tree.tag[stack[k]] in BLOCK:
+                    break  # an inline end doesn't reach out of its block
+            continue
+        ends = IMPLIED.get(tag, ()) if tag != "p" else ()
+        scope = SCOPE.get(tag, ())
+        for k in range(len(stack) - 1, 0, -1):
+            own = tree.tag[stack[k]]
+            if own in ends:
+                close(k)
+                break
+            if own in scope or not ends:
+                break
+        if tag in CLOSES_P:
+            for k in range(len(stack) - 1, 0, -1):
+                own = tree.tag[stack[k]]
+                if own == "p":
+                    close(k)
+                    break
+                if own in BLOCK or own in ("td", "th", "button"):
+                    break
+        parent, attrs = stack[-1], m[3] if m[2] else m[6]
+        if tag in VOID:
+            if tag in ("br", "hr", "img", "wbr"):
+                tree.items.append((parent, None if tag == "hr" else "" if tag == "wbr" else " "))
+            continue
+        node = tree.add(tag, parent, is_junk(tag, attrs, tree, parent))
+        if tag in BLOCK:
+            tree.items.append((node, None))
+        if tag in RAW:
+            end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
+            at = end.end() if end else len(page)
+        elif not attrs.endswith("/"):
+            stack.append(node)
+    return tree
+
+
+def clean(text: str) -> str:
+    return " ".join(text.split())
+
+
+def main_blocks(page: str) -> list[str]:
+    tree = parse(page)
+    n, tag, parent, junk = len(tree.tag), tree.tag, tree.parent, tree.junk
+    link = [False] * n
+    for i in range(1, n):
+        junk[i] = junk[i] or junk[parent[i]]
+        link[i] = link[parent[i]] or tag[i] == "a"
+    size, linked, commas = [0] * n, [0] * n, [0] * n
+    for i, text in tree.items:
+        if text and not junk[i] and (length := len(clean(text))):
+            size[i] += length
+            linked[i] += length * link[i]
+            commas[i] += text.count(",") + text.count("、") + text.count("，")
+    own = [size[i] - linked[i] for i in range(n)]
+    inner, inner_commas = own[:], commas[:]  # text of a node and its inline descendants
+    for i in range(n - 1, 0, -1):
+        p = parent[i]
+        size[p] += size[i]
+        linked[p] += linked[i]
+        if tag[i] not in BLOCK and tag[i] not in PARAGRAPHS:
+            inner[p] += inner[i]
+            inner_commas[p] += inner_commas[i]
+    points = [0.0] * n
+    for i in range(1, n):
+        if not junk[i] and inner[i] >= 1 and (tag[i] in PARAGRAPHS or tag[i] in BLOCK and tag[i] not in HEADINGS and own[i] >= 25):
+            score, at, level = 1 + inner_commas[i] + min(inner[i] // 100, 3), parent[i] if tag[i] in PARAGRAPHS else i, 0
+            while level < 6:
+                points[at] += score / (1 if not level else 2 if level == 1 else 3 * level)
+                if not at:
+                    break
+                at, level = parent[at], level + 1
+    density = [linked[i] / size[i] if size[i] else 0.0 for i in range(n)]
+    points = [p * (1 - d) for p, d in zip(points, density, strict=True)]
+    best = max((i for i in range(n) if not junk[i]), key=lambda i: (points[i], -i), default=0)
+    if points[best] <= 0:
+        best = 0
+    at = best
+    while at and tag[at] != "article":
+        at = parent[at]
+    best = at or best
+    keep = [False] * n
+    keep[best] = True
+    if best and tag[best] not in ("article", "body", "main"):
+        up, before = parent[best], None
+        for i in range(1, n):
+            if parent[i] == up and i != best and not junk[i]:
+                if points[i] >= max(10, 0.2 * points[best]) or tag[i] in PARAGRAPHS and density[i] < 0.25 and (size[i] > 80 or size[i] and not linked[i]):
+                    keep[i] = True
+                if i < best:
+                    before = i
+        if before and tag[before] in HEADINGS and density[before] < 0.25:
+            keep[before] = True
+    drop = junk
+    for i in range(1, n):
+        keep[i] = keep[i] or keep[parent[i]]
+        if keep[i] and i != best and size[i] and density[i] > 0.5 and tag[i] in ("ul", "ol", "dl", "div", "section", "table", "header"):
+            drop[i] = True
+        drop[i] = drop[i] or drop[parent[i]]
+    blocks, part = [], []
+    for i, text in tree.items:
+        if text is None:
+            if part:
+                blocks.append(clean("".join(part)))
+                part = []
+        elif keep[i] and not drop[i]:
+            part.append(text if tag[i] not in ("td", "th") else f" {text} ")
+    blocks.append(clean("".join(part)))
+    return [b for b in blocks if b]
+
+
+def extract(pages: DataFrame) -> DataFrame:
+    """(page_id, url, text, n_chars) of every row of (page_id, url, html)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in pieces(batch, 2):
+                texts = ["\n\n".join(main_blocks(h)) if h else "" for h in piece.column(2).to_pylist()]
+                yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
+
+    kinds = dict(pages.dtypes)
+    return pages.select("page_id", "url", "html").mapInArrow(run, f"page_id {kinds['page_id']}, url {kinds['url']}, text string, n_chars long")
