@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from decafix.llm import chat, html, language, quality, simhash
+from decafix.llm import chat, decontaminate, html, language, licenses, quality, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -70,3 +70,44 @@ FROM e GROUP BY conv_id
 @query
 def op7_html(spark, sf):
     return html.extract(table(spark, sf, "pages"))
+
+
+@query
+def op6_decontaminate(spark, sf):
+    return decontaminate.leaks(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
+SQL["op6_decontaminate"] = r"""
+WITH d AS (SELECT doc_id, generate_subscripts(w, 1) AS p, unnest(w) AS x FROM (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents)),
+b AS (SELECT item_id, len(w) AS n, generate_subscripts(w, 1) AS i, unnest(w) AS x FROM (SELECT item_id, regexp_extract_all(lower(coalesce(text, '')), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark) WHERE len(w) >= 7),
+m AS (SELECT doc_id, item_id, n, p - i AS diagonal, i FROM d JOIN b USING (x)),
+f AS (SELECT *, count(*) OVER (PARTITION BY doc_id, item_id, diagonal ORDER BY i RANGE BETWEEN CURRENT ROW AND 12 FOLLOWING) AS near, count(*) OVER (PARTITION BY doc_id, item_id, diagonal) AS matched
+  FROM m QUALIFY matched >= 7),
+l AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, max(matched) AS matched FROM f WHERE near >= least(11, n) GROUP BY doc_id)
+SELECT doc_id, n_items IS NOT NULL AS contaminated, coalesce(n_items, 0) AS n_items, coalesce(matched, 0) AS matched FROM documents LEFT JOIN l USING (doc_id)
+"""
+
+
+@query
+def op10_licenses(spark, sf):
+    return licenses.scan(table(spark, sf, "documents"))
+
+
+def _license_sql() -> str:
+    rows = ", ".join(f"({s}, '{label}', {sorted(t)!r}, {need})" for s, label, t, need in licenses._sets())
+    phrases = ", ".join(f"('{p}', '{label}')" for p, label in licenses.PHRASES.items())
+    return rf"""
+WITH t(s, label, words, need) AS (VALUES {rows}), p(phrase, label) AS (VALUES {phrases}),
+d AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+places AS (SELECT doc_id, label, k FROM (SELECT doc_id, w, label, string_split(phrase, ' ') AS q, unnest(range(len(w))) AS k FROM d, p WHERE list_has_all(w, string_split(phrase, ' '))) WHERE w[k + 1 : k + len(q)] = q),
+b AS (SELECT doc_id, count(*) AS n_base, min(k) AS first_word, max(k) AS last_word, list_distinct(list(label)) AS base FROM places GROUP BY 1),
+blocks AS (SELECT doc_id, s, list_distinct(w[k + 1 : k + 2 * s]) AS x FROM (SELECT doc_id, w, s, unnest(range(0, len(w), s)) AS k FROM d, (SELECT DISTINCT s FROM t))),
+m AS (SELECT doc_id, list_distinct(list(label)) AS more, max(len(list_intersect(x, words)) / CAST(len(words) AS DOUBLE)) AS containment FROM blocks JOIN t USING (s) WHERE len(list_intersect(x, words)) >= need GROUP BY 1)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(array_to_string(list_sort(base), ','), '') AS base_labels,
+  coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(base, []), coalesce(more, [])))), ','), '') AS labels,
+  CASE WHEN n_base > 0 THEN 1.0 ELSE coalesce(containment, 0.0) END::DOUBLE AS score
+FROM d LEFT JOIN b USING (doc_id) LEFT JOIN m USING (doc_id)
+"""
+
+
+SQL["op10_licenses"] = _license_sql()
