@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from decafix.llm import chat, decontaminate, html, language, licenses, quality, simhash
+from decafix.llm import chat, decontaminate, embeddings, html, language, licenses, quality, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -111,3 +111,19 @@ FROM d LEFT JOIN b USING (doc_id) LEFT JOIN m USING (doc_id)
 
 
 SQL["op10_licenses"] = _license_sql()
+
+
+@query
+def op9_embeddings(spark, sf):
+    return embeddings.near_duplicates(table(spark, sf, "embeddings"))
+
+
+SQL["op9_embeddings"] = """
+WITH RECURSIVE e AS (SELECT vec_id, label, list_transform(embedding, lambda v: CAST(v AS DOUBLE)) AS v FROM embeddings WHERE label IS NOT NULL AND len(embedding) > 0
+  AND len(list_filter(embedding, lambda v: v IS NULL OR NOT isfinite(v))) = 0 AND len(list_filter(embedding, lambda v: v <> 0)) > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM e a JOIN e b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v) AND list_cosine_similarity(a.v, b.v) >= 0.98),
+r AS (SELECT vec_id AS node, vec_id AS seen FROM embeddings UNION SELECT r.node, l.b FROM r JOIN l ON r.seen = l.a),
+c AS (SELECT node, min(seen) AS component_id FROM r GROUP BY 1),
+n AS (SELECT a, count(*) AS n_links FROM l GROUP BY 1)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component_id AS kept FROM embeddings LEFT JOIN n ON vec_id = a JOIN c ON vec_id = node
+"""
