@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from decafix.llm import chat, decontaminate, embeddings, html, language, licenses, quality, simhash
+from decafix.llm import chat, decontaminate, embeddings, html, language, licenses, mixing, quality, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -127,3 +127,26 @@ c AS (SELECT node, min(seen) AS component_id FROM r GROUP BY 1),
 n AS (SELECT a, count(*) AS n_links FROM l GROUP BY 1)
 SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component_id AS kept FROM embeddings LEFT JOIN n ON vec_id = a JOIN c ON vec_id = node
 """
+
+
+@query
+def op4_mixing(spark, sf):
+    return mixing.choose(table(spark, sf, "documents")).drop("key")
+
+
+SQL["op4_mixing"] = r"""
+WITH RECURSIVE d AS (SELECT doc_id, source, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS t, CAST('0x' || substr(md5('b' || doc_id), 1, 4) AS BIGINT) % 128 AS block FROM documents WHERE len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) > 0),
+s AS (SELECT source, sum(t)::BIGINT AS t, sum(t) / CAST(sum(sum(t)) OVER () AS DOUBLE) AS p, CAST(sum(sum(t)) OVER () AS BIGINT) AS budget, count(*) OVER () AS n FROM d GROUP BY source),
+g AS (SELECT 0.0::DOUBLE AS a, 1.0::DOUBLE AS w, 0 AS i UNION ALL
+  SELECT CASE WHEN ok THEN a ELSE a + w / 2 END, w / 2, i + 1 FROM (SELECT a, w, i, (SELECT ln(sum(pow(p, a + w / 2))) - (a + w / 2) * sum(pow(p, a + w / 2) * ln(p)) / sum(pow(p, a + w / 2)) <= 0.95 * ln(max(n))
+    AND pow(min(p), a + w / 2 - 1) / sum(pow(p, a + w / 2)) <= 4.0 FROM s) AS ok FROM g WHERE i < 20)),
+x AS (SELECT a + w AS x FROM g WHERE i = 20),
+q AS (SELECT source, t, CAST(floor(round(pow(p, x) / sum(pow(p, x)) OVER (), 12) * budget) AS BIGINT) AS b FROM s, x),
+f AS (SELECT source, b // t AS passes, b % t AS rest FROM q),
+k AS (SELECT source, block, sum(t)::BIGINT AS t FROM d GROUP BY ALL),
+e AS (SELECT source, block, epoch, t, passes, rest, row_number() OVER o AS block_rank, sum(t) OVER o AS stop FROM (SELECT source, block, t, passes, rest, unnest(range(passes + 1)) AS epoch FROM k JOIN f USING (source))
+  WINDOW o AS (PARTITION BY source, epoch ORDER BY md5('42:' || source || ':' || epoch || ':' || block), block)),
+m AS (SELECT d.doc_id, d.source, epoch, block_rank, d.t AS tokens, CASE WHEN epoch = passes AND stop > rest THEN rest - stop + e.t END AS remain FROM d JOIN e USING (source, block)),
+z AS (SELECT *, sum(tokens) OVER (PARTITION BY source, epoch, remain IS NULL ORDER BY md5('42:' || doc_id || ':' || epoch)) AS stop FROM m WHERE remain IS NULL OR remain > 0)
+SELECT doc_id, source, CAST(epoch AS INTEGER) AS epoch, CAST(block_rank AS INTEGER) AS block_rank, tokens FROM z WHERE remain IS NULL OR stop <= remain
+"""
