@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from decafix.llm import chat, decontaminate, embeddings, html, language, licenses, mixing, quality, simhash
+from decafix.llm import chat, decontaminate, embeddings, html, language, licenses, mixing, quality, simhash, suffix
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -150,3 +150,8 @@ m AS (SELECT d.doc_id, d.source, epoch, block_rank, d.t AS tokens, CASE WHEN epo
 z AS (SELECT *, sum(tokens) OVER (PARTITION BY source, epoch, remain IS NULL ORDER BY md5('42:' || doc_id || ':' || epoch)) AS stop FROM m WHERE remain IS NULL OR remain > 0)
 SELECT doc_id, source, CAST(epoch AS INTEGER) AS epoch, CAST(block_rank AS INTEGER) AS block_rank, tokens FROM z WHERE remain IS NULL OR stop <= remain
 """
+
+
+@query
+def op5_suffix(spark, sf):
+    return suffix.digests(table(spark, sf, "documents"))
