@@ -71,3 +71,9 @@ def between(x: Column | str, low: float, high: float, precision: int) -> Column:
 
 def is_bounded(a: Column, b: Column, precision: int) -> Column:
     return F.abs(a - b) < F.lit(error_bound(precision))
+
+
+def components(x: Column | str, precision: int) -> dict[str, Column]:
+    """The integer part (floor) and the fraction bits above it, of the exact fixed-point value."""
+    fx, d = fixed(x, precision), fraction_bits(precision)
+    return {"whole": F.shiftright(fx, d), "fraction": fx.bitwiseAND(F.lit((1 << d) - 1))}

@@ -179,3 +179,51 @@ def deserialize(df: DataFrame, pos: str = "pos") -> DataFrame:
                 yield pd.DataFrame({pos: parse(bytes(data)) + (int(hi) << 32)})
 
     return df.select("hi", "data").mapInPandas(run, f"{pos} long")
+
+
+def append(a: DataFrame, n: int, b: DataFrame, pos: str = "pos") -> DataFrame:
+    """The bits of ``b`` after the ``n`` bits of ``a``."""
+    return a.unionByName(b.select((F.col(pos) + n).alias(pos)))
+
+
+def split_off(a: DataFrame, at: int, pos: str = "pos") -> tuple[DataFrame, DataFrame]:
+    """Bits before ``at``, and those from it on counted from zero."""
+    return a.where(F.col(pos) < at), a.where(F.col(pos) >= at).select((F.col(pos) - at).alias(pos))
+
+
+def truncate(a: DataFrame, n: int, pos: str = "pos") -> DataFrame:
+    return a.where(F.col(pos) < n)
+
+
+def first_difference(a: DataFrame, b: DataFrame, pos: str = "pos") -> DataFrame:
+    """One row that orders two bit vectors of one length: the first bit in exactly one of them (null: equal), and whether ``a`` has it, which makes
+    ``a`` the greater."""
+    both = a.withColumn("__a", F.lit(True)).unionByName(b.withColumn("__a", F.lit(False))).groupBy(pos).agg(F.count(F.lit(1)).alias("__n"), F.max("__a").alias("__a"))
+    return both.where("__n = 1").agg(F.min(pos).alias("first"), F.min_by("__a", pos).alias("a_is_greater"))
+
+
+def to_binary(a: DataFrame, n: int, pos: str = "pos", rows: int = 1 << 20) -> DataFrame:
+    """A bit vector of ``n`` bits as BINARY chunks (at, bits, data) of ``rows`` bits: the number of bits as a 64-bit word, then 32-bit words, low
+    bits first, so that a chunk is a whole serialisation by itself."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        at = int(pdf["chunk"].iloc[0]) * rows
+        size = min(rows, n - at)
+        bits = np.zeros(-(-size // WORD) * WORD, np.uint8)
+        own = pdf["p"].dropna().to_numpy(np.int64) - at
+        bits[own[(own >= 0) & (own < size)]] = 1
+        return pd.DataFrame({"at": [at], "bits": [size], "data": [struct.pack("<Q", size) + np.packbits(bits, bitorder="little").tobytes()]})
+
+    every = a.sparkSession.range(0, -(-n // rows)).select(F.col("id").alias("chunk"), F.lit(None).cast("long").alias("p"))
+    own = a.where((F.col(pos) >= 0) & (F.col(pos) < n)).select(F.expr(f"`{pos}` div {rows}L").alias("chunk"), F.col(pos).alias("p"))
+    return own.unionByName(every).groupBy("chunk").applyInPandas(run, "at long, bits long, data binary")
+
+
+def from_binary(df: DataFrame, pos: str = "pos") -> DataFrame:
+    def run(batches):
+        for b in batches:
+            for at, data in zip(b["at"], b["data"], strict=True):
+                (size,) = struct.unpack_from("<Q", data)
+                yield pd.DataFrame({pos: np.flatnonzero(np.unpackbits(np.frombuffer(data, np.uint8, offset=8), bitorder="little")[:size]) + int(at)})
+
+    return df.select("at", "data").mapInPandas(run, f"{pos} long")

@@ -11,8 +11,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from decafix.functions import between, decode, eq, eq_by_planes, fixed, gt, gt_by_planes, is_bounded, kept_bits, lt, plane
-from decafix.operators import aggregates, baselines, bitmaps, codecs, profile, scan, segments, transforms
+from decafix.functions import between, components, decode, eq, eq_by_planes, fixed, gt, gt_by_planes, is_bounded, kept_bits, lt, plane
+from decafix.operators import aggregates, baselines, bitmaps, bytes as planes_, codecs, profile, scan, segments, transforms
+from decafix.plans import codec
+from decafix.sources import generators
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -431,3 +433,33 @@ def _(spark, sf):
     rows = spark.createDataFrame([(w, q) for w in (16, 21, 24, 5) for q in (0, 1, 2)], "w int, q int").where("NOT (q = 2 AND w <> 16) AND NOT (w = 24 AND q = 0)")
     kept = F.when(F.col("q") == 0, kept_bits(F.col("w"), 2, 0)).when(F.col("q") == 1, kept_bits(F.col("w"), 2, 1)).otherwise(kept_bits(F.col("w"), 2, 2))
     return rows.select("w", "q", kept.alias("kept"))
+
+
+# ---- byte columns, bit vectors, codecs by name, sources ----
+
+BYTE = f"(SELECT pos, CAST((fx >> 8) & 255 AS INTEGER) AS b FROM {EV})"
+
+
+def _bytes(spark, sf):
+    return scan.bounded(events(spark, sf), "x", 2).select("pos", plane(F.col("fx"), 16, 0).cast("int").alias("b"))
+
+
+query("byte_filter_gt", f"SELECT pos FROM {BYTE} WHERE b > 60")(lambda s, d: planes_.range_filter(_bytes(s, d), "b", 60).select("pos"))
+query("byte_filter_eq", f"SELECT pos FROM {BYTE} WHERE b = 60")(lambda s, d: planes_.equal_filter(_bytes(s, d), "b", 60).select("pos"))
+query("byte_filter_progressive", f"SELECT pos FROM {BYTE} WHERE pos % 2 = 0 AND b > 60")(lambda s, d: planes_.progressive(_bytes(s, d), F.col("pos") % 2 == 0, "b", 60).select("pos"))
+query("byte_filter_progressive_eq", f"SELECT pos FROM {BYTE} WHERE pos % 2 = 0 AND b = 60")(lambda s, d: planes_.progressive(_bytes(s, d), F.col("pos") % 2 == 0, "b", 60, equal=True).select("pos"))
+query("byte_tie_share", f"SELECT count(*) FILTER (b = 60) / CAST(count(*) AS DOUBLE) AS tie_share FROM {BYTE}")(lambda s, d: planes_.tie_share(_bytes(s, d), "b", 60))
+query("byte_sum", f"SELECT CAST(sum(b) AS BIGINT) AS sum_value FROM {BYTE}")(lambda s, d: planes_.byte_sum(_bytes(s, d), "b"))
+query("sparse_plane_roundtrip", f"SELECT pos, b FROM {BYTE}")(lambda s, d: planes_.dense_plane(*planes_.sparse_plane(_bytes(s, d), "b", 69)))
+query("components", "SELECT c_custkey, CAST(trunc(c_acctbal * 256) AS BIGINT) >> 8 AS whole, CAST(trunc(c_acctbal * 256) AS BIGINT) & 255 AS fraction FROM customer")(lambda s, d: table(s, d, "customer").select("c_custkey", *[c.alias(n) for n, c in components("c_acctbal", 2).items()]))
+query("bitmap_append", f"SELECT pos FROM {SA} UNION ALL SELECT pos + 100000 FROM {SB}")(lambda s, d: bitmaps.append(_sets(s, d)[0], 100_000, _sets(s, d)[1]))
+query("bitmap_split_off", f"SELECT pos - 20 AS pos FROM {SA} WHERE pos >= 20")(lambda s, d: bitmaps.split_off(_sets(s, d)[0], 20)[1])
+query("bitmap_truncate", f"SELECT pos FROM {SA} WHERE pos < 20")(lambda s, d: bitmaps.truncate(_sets(s, d)[0], 20))
+query("bitmap_compare", f"SELECT pos AS first, in_a AS a_is_greater FROM (SELECT pos, true AS in_a FROM {SA} WHERE pos NOT IN (SELECT pos FROM {SB}) UNION ALL SELECT pos, false FROM {SB} WHERE pos NOT IN (SELECT pos FROM {SA})) ORDER BY pos LIMIT 1".replace("pos AS first", 'pos AS "first"'))(lambda s, d: bitmaps.first_difference(*_sets(s, d)))
+query("bitmap_binary_roundtrip", f"SELECT pos FROM {SA}")(lambda s, d: bitmaps.from_binary(bitmaps.to_binary(_sets(s, d)[0], 100_000, rows=64)))
+query("codec_paa", f"SELECT pos, avg_value AS value FROM {EV} JOIN (SELECT pos // 25 AS c, CAST(sum(fx) AS DOUBLE) / 256 / count(*) AS avg_value FROM {EV} GROUP BY 1) ON pos // 25 = c")(lambda s, d: (lambda c: c.decode(c.encode(events(s, d))))(codec.CODECS["paa"](2, 25)))
+query("codec_fourier", "SELECT event_id AS pos, round(value, 6) AS value FROM events")(lambda s, d: (lambda c: c.decode(c.encode(events(s, d))).withColumn("value", F.round("value", 6)))(codec.CODECS["fourier"]()))
+query("codec_majority", f"SELECT pos, CAST(fx AS DOUBLE) / 256 AS value FROM {EV}")(lambda s, d: (lambda c: c.decode(c.encode(events(s, d))))(codec.CODECS["majority"](2)))
+query("predicted_ratio")(lambda s, d: codec.predict_ratio(events(s, d), 2, "plain", 0.5, rows=256))
+query("generated_outlier_bytes", "SELECT CAST(5000 AS BIGINT) AS n, true AS has_ends, true AS near_share")(lambda s, d: generators.outlier_bytes(s, 5000, 0.9, 1).agg(F.count("b").alias("n"), ((F.min("b") == 0) & (F.max("b") == 255)).alias("has_ends"), (F.count(F.when(F.col("b") == 69, 1)).between(4400, 4600)).alias("near_share")))
+query("generated_normal")(lambda s, d: generators.normal(s, 1000, 5.0, 2.0, 7))
