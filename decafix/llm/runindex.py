@@ -15,7 +15,8 @@ class RunIndex:
     mapping, and the text places at their first and last rows.
     """
 
-    def __init__(self, data: np.ndarray, bounds: np.ndarray) -> None:
+    def __init__(self, data: np.ndarray, bounds: np.ndarray, depth: int | None = None) -> None:
+        """With ``depth``, also the intervals of rows whose suffixes share that many symbols, and the first string in each."""
         lens = np.diff(bounds)
         n = len(data) + len(lens)  # with an end for each string
         self.start = bounds[:-1] + np.arange(len(lens))
@@ -23,7 +24,7 @@ class RunIndex:
         self.end = (self.start + lens)[owner]  # the place of the own end
         text = np.zeros(n + FIRST, np.int64)
         text[np.arange(len(data)) + np.repeat(np.arange(len(lens)), lens)] = data.astype(np.int64) + 1
-        self.text, at = text, np.arange(n)
+        self.text, self.n, at = text, n, np.arange(n)
         word = np.zeros(n, np.int64)
         for k in range(FIRST):
             word = (word << 9) | np.where(at + k < self.end, text[k : n + k], 0)
@@ -37,6 +38,11 @@ class RunIndex:
             self.steps.append(span)
         sa = np.argsort(self.ranks[-1], kind="stable")  # equal suffixes: by string, as their ends' order says
         before = np.where(sa == self.start[owner[sa]], 0, text[sa - 1])
+        if depth:
+            new = np.ones(n, bool)
+            new[1:] = ~self._agree(sa[:-1], sa[1:], depth)
+            self.interval = np.flatnonzero(new)
+            self.earliest = np.minimum.reduceat(owner[sa], self.interval) if n else np.zeros(0, np.int64)
         heads = np.flatnonzero(np.diff(before, prepend=-1) != 0) if n else np.zeros(0, np.int64)
         self.run_start, self.run_char = heads, before[heads]
         self.run_len = np.diff(np.append(heads, n))
@@ -45,7 +51,7 @@ class RunIndex:
         ahead = np.cumsum(self.run_len[by]) - self.run_len[by]
         self.image = np.empty(len(heads), np.int64)
         self.image[by] = ahead  # rows of smaller characters, then of earlier runs: characters in order make this the count itself
-        self.order, self.n = by, n
+        self.order = by
         self.keys = self.run_char[by] * len(heads) + by
 
     @staticmethod
@@ -56,6 +62,19 @@ class RunIndex:
         names[order] = np.cumsum(np.diff(ranked, prepend=ranked[:1] - 1) != 0)
         return names
 
+    def _agree(self, a: np.ndarray, b: np.ndarray, depth: int) -> np.ndarray:
+        """Whether two places share ``depth`` symbols: the names of two overlapping substrings are equal."""
+        k = max(i for i, step in enumerate(self.steps) if step <= max(depth, FIRST))
+        if self.steps[k] > depth or 2 * self.steps[k] < depth:
+            return self.common(a, b) >= depth
+        r, ahead = self.ranks[k], depth - self.steps[k]
+        room = np.minimum(self.end[a] - a, self.end[b] - b) >= depth
+        return room & (r[a] == r[b]) & (r[np.minimum(a + ahead, self.n - 1)] == r[np.minimum(b + ahead, self.n - 1)])
+
+    def first_string(self, rows: np.ndarray) -> np.ndarray:
+        """The first string that holds the ``depth`` symbols at each row."""
+        return self.earliest[np.searchsorted(self.interval, rows, "right") - 1]
+
     def common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Length of the common extension of two text places."""
         room = np.minimum(self.end[a] - a, self.end[b] - b)
@@ -71,13 +90,13 @@ class RunIndex:
             total, a, b = total + same, a + same, b + same
         return np.minimum(total, room)
 
-    def matching_statistics(self, data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-        """For each place of the query strings, the length of the longest match that starts there with any indexed string. All queries are
+    def matching_statistics(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each place of the query strings, the length of the longest match that starts there with any indexed string, and a row of that match. All queries are
         streamed at once, right to left: one step moves every query by the last-to-first mapping of its row's run, or, where the run has
         another character, first to the nearer end of a run of that character (the one whose sampled place has the longer common extension)."""
-        lens, out = np.diff(bounds), np.zeros(len(data), np.int64)
+        lens, out, rows = np.diff(bounds), np.zeros(len(data), np.int64), np.zeros(len(data), np.int64)
         if not self.n:
-            return out
+            return out, rows
         count = len(lens)
         row, place, length = np.zeros(count, np.int64), np.full(count, self.first[0]), np.zeros(count, np.int64)
         runs = len(self.run_start)
@@ -109,5 +128,5 @@ class RunIndex:
             q = np.where(found, self.image[run] + q - self.run_start[run], 0)
             p = np.where(found, p - 1, p)
             row[live], place[live], length[live] = q, p, m + 1
-            out[at] = m + 1
-        return out
+            out[at], rows[at] = m + 1, q
+        return out, rows

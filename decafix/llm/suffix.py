@@ -9,11 +9,10 @@ rows with a null id after all others by their content; rows that repeat an id ar
    repeats already; an anchor with very many different entries in a task sends one notice, and its entries go straight to step 3. So a passage that a third of
    all documents share sends a bounded number of entries a task. Of the entries of an anchor with equal hashes all but the earliest are repeats. An anchor with
    one entry is settled. Where entries differ, the earliest of each hash is compared by its bytes:
-3. Their bytes are fetched from the documents, and windows are dealt once more by the 66 bytes about the anchor (the 34 bytes on that side on which the
-   window reaches further), which all equal windows share. A key that occurs once is settled.
-4. The rest are matched exactly, in batches of keys. The strings of each key are halved by order; the first halves are put in a ``RunIndex`` (run-length
-   Burrows-Wheeler transform with sampled run ends), the matching statistics of the second halves are streamed against it, and windows whose longest match
-   reaches 100 bytes are repeats; then each half likewise.
+3. Their bytes are fetched from the documents, and windows are dealt once more by 64 bytes, the anchor's and the 32 on that side of it on which the
+   window reaches further, which all equal windows share. A key that occurs once is settled.
+4. The rest are matched exactly, in batches of keys. A batch's strings are put in a ``RunIndex`` (run-length Burrows-Wheeler transform with sampled run ends) and their
+   matching statistics are streamed against it; a window whose match reaches 100 bytes is a repeat if the index's interval of that match holds an earlier string.
 5. Repeats come back to their documents; runs of covered bytes are removed.
 
 Entries travel in packed columns, many to a row. Texts are whole, as UTF-8; null is empty and has nothing to remove.
@@ -36,11 +35,11 @@ from decafix.plans.lineage import cut
 
 MATCH, KMER = 100, 32
 SPAN = MATCH - KMER + 1  # windows of 32-byte strings in a window
-SIDE = (SPAN - 1) // 2  # bytes beside the anchor that the second key takes
+SIDE = (SPAN - 1) // 2  # a window with more bytes than these left of its anchor is keyed by that side
 #: Entries that a task reduces at once, different entries of an anchor in a task that make it frequent, bytes of a batch of an index.
 TASK_ENTRIES, FREQUENT, INDEX_BYTES = 1 << 20, 16, 1 << 20
 BUCKETS_PER_PARTITION = 4
-_CHUNK = 1 << 21
+_CHUNK = 1 << 15
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03)
 _LOW = np.uint64((1 << 24) - 1)
 
@@ -51,8 +50,11 @@ REPEAT, FETCH = 0, 1
 
 
 def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    x = (a * _M2 + (b ^ (b >> np.uint64(29)))) * _M1
-    return x ^ (x >> np.uint64(31))
+    x = a * _M2
+    x += b
+    x ^= x >> np.uint64(32)
+    x *= _M1
+    return x
 
 
 def hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -120,13 +122,14 @@ def _places(rows: np.ndarray, kind: int) -> np.ndarray:
 def settle(rows: np.ndarray, frequent: int | None) -> tuple[np.ndarray, np.ndarray]:
     """(entries that go on, places that are decided). With ``frequent``, a task's own reduction: the earliest of equal entries go on. Without, the last
     word: places to fetch are the earliest of an anchor's different entries."""
-    order = np.argsort(rows["anchor"], kind="stable")
-    a = rows["anchor"][order]
+    a = np.ascontiguousarray(rows["anchor"])
+    order = np.argsort(a)
+    a = a[order]
     new = _changes(a)
     size = np.diff(np.append(np.flatnonzero(new), len(a)))
     many = np.repeat(size > 1, size)
     alone, rows = rows[order[~many]], rows[order[many]]
-    rows = rows[np.lexsort((*_before(rows), rows["content"], rows["anchor"]))]
+    rows = rows[np.lexsort([np.ascontiguousarray(k) for k in (*_before(rows), rows["content"], rows["anchor"])])]
     notice = rows["n"] == 0
     group, kind = _changes(rows["anchor"]), _changes(rows["anchor"], rows["content"])
     g = np.cumsum(group) - 1
@@ -258,12 +261,14 @@ def _fetch(buckets: int):
                 start, n, rel = _unplace(np.asarray(piece.column(3).flatten(), np.int64))
                 middle = np.clip(rel - SIDE, 0, n)  # windows before it have more than SIDE bytes left of the anchor
                 parts, keys = [], []
-                k32, _ = hashes(data)
                 for left, lo, hi in ((True, np.zeros(len(n), np.int64), middle), (False, middle, n)):
                     pick = np.flatnonzero(hi > lo)
                     place = bounds[doc[pick]] + start[pick] + rel[pick]
-                    other = place - SIDE if left else place + SIDE
-                    keys.append(_pair(_pair(k32[place], k32[other]), np.full(len(pick), 2 * left + 1, np.uint64)))
+                    words = data[(place - KMER * left)[:, None] + np.arange(2 * KMER)].view("<u8")
+                    key = np.full(len(pick), 2 * left + 1, np.uint64)
+                    for k in range(words.shape[1]):
+                        key = _pair(key, words[:, k])
+                    keys.append(key ^ (key >> np.uint64(29)))
                     r = np.zeros(len(pick), STRING)
                     r["d"], r["h"], r["start"], r["n"] = d[doc[pick]], h[doc[pick]], start[pick] + lo[pick], hi[pick] - lo[pick]
                     parts.append((r, bounds[doc[pick]] + start[pick] + lo[pick]))
@@ -273,36 +278,22 @@ def _fetch(buckets: int):
                 cuts = np.zeros(len(rows) + 1, np.int64)
                 np.cumsum(lens, out=cuts[1:])
                 text = data[np.repeat(at - cuts[:-1], lens) + np.arange(int(cuts[-1]))]
-                yield _blob([(b, 0, count, body) for b, count, body in _packed(rows["key"] >> np.uint64(8), rows, buckets, (text, cuts))])
+                yield _blob([(b, 0, count, body) for b, count, body in _packed(rows["key"], rows, buckets, (text, cuts))])
 
     return run
 
 
 def match(rows: np.ndarray, strings: list[bytes]) -> list[tuple[int, np.ndarray]]:
-    """(row, which of its windows are repeats) for strings of one or more keys, rows in order within each key. Strings of a key are halved by order: what the second half has in
-    common with the first is found through the first's index; then each half by itself."""
-    out, work = [], [np.arange(len(rows))]
-    found = [np.zeros(n, bool) for n in rows["n"]]
-    while work:
-        pick = work.pop()
-        key = rows["key"][pick]
-        new = np.flatnonzero(_changes(key))
-        size = np.diff(np.append(new, len(pick)))
-        rank, total = np.arange(len(pick)) - np.repeat(new, size), np.repeat(size, size)
-        keep = total > 1
-        first = pick[keep & (rank < total // 2)]
-        second = pick[keep & (rank >= total // 2)]
-        second_open = np.array([i for i in second if not found[i].all()], np.int64)
-        if len(first) and len(second_open):
-            index = RunIndex(*joined([strings[i] for i in first]))
-            data, bounds = joined([strings[i] for i in second_open])
-            long = index.matching_statistics(data, bounds) >= MATCH
-            for i, at in zip(second_open, bounds, strict=False):
-                found[i] |= long[at : at + len(found[i])]
-        for half in (first, second):
-            if len(half) > 1:
-                work.append(half)
-    return [(i, f) for i, f in enumerate(found) if f.any()]
+    """(row, which of its windows are repeats) for the strings of one or more keys, in order within each key. The strings, much alike, are put in one run-length index, and each is
+    streamed against it: where its matching statistics reach ``MATCH``, the index's interval of that window says in which string the window comes first. Equal windows have equal
+    keys, so that string is of the same key, and the window is a repeat if it isn't this string itself."""
+    data, bounds = joined(strings)
+    index = RunIndex(data, bounds, MATCH)
+    length, at = index.matching_statistics(data, bounds)
+    own = np.repeat(np.arange(len(strings)), np.diff(bounds))
+    hit = (length >= MATCH) & (index.first_string(at) < own)
+    found = ((i, hit[bounds[i] : bounds[i] + int(n)]) for i, n in enumerate(rows["n"]))
+    return [(i, f) for i, f in found if f.any()]
 
 
 def _match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -19,8 +19,12 @@ def test_matching_statistics(seed):
     base = word(60) + b"a"
     strings = [word(40) for _ in range(r.randrange(1, 8))] + [base[: r.randrange(len(base))] + word(5) + base[r.randrange(len(base)) :] for _ in range(5)] + [base, base]
     queries = [word(50) for _ in range(4)] + [base + word(4) + base, b"", b"z" + base, base[5:] + b"zz"]
-    got = RunIndex(*joined(strings)).matching_statistics(*joined(queries))
+    depth = r.randrange(1, 30)
+    index = RunIndex(*joined(strings), depth)
+    got, rows = index.matching_statistics(*joined(queries))
     assert got.tolist() == [x for q in queries for x in brute(strings, q)]
+    places = [q[i : i + depth] for q in queries for i in range(len(q))]
+    assert all(first == next(k for k, s in enumerate(strings) if w in s) for w, m, first in zip(places, got, index.first_string(rows), strict=True) if m >= depth)
 
 
 def test_runs_are_few_in_repetitive_text():
