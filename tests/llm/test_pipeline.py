@@ -3,7 +3,7 @@ import pytest
 
 import corpus_pipeline
 from decafix.llm import mixing, quality
-from tests.llm.test_simhash import brute_components, brute_fp
+from tests.llm.test_simhash import brute_similar
 from tests.llm.test_suffix import brute as brute_suffix
 
 SF = "/root/testdata/sf0.001"
@@ -35,8 +35,8 @@ def test_quality(spark, stages):
 
 
 def test_near_duplicates(stages):
-    fps = {i: brute_fp(r["text"]) for i, r in rows(stages[1]).items()}
-    assert set(rows(stages[2])) == set(brute_components(fps).values())
+    want = brute_similar({i: r["text"] for i, r in rows(stages[1]).items()})
+    assert set(rows(stages[2])) == set(want.values())
 
 
 def test_repeats(stages):
