@@ -2,7 +2,7 @@
 
 A page is read into a tree (tags, parents, text in page order; ends of paragraphs, list items and cells implied as browsers imply them).
 Branches that are navigation, headers, footers, asides, notices, adverts, forms, scripts, styles, comments or hidden, by tag, role or a word of
-class or id, take no part. Each paragraph earns points, 1 and one for each comma and up to 3 for length; it passes them to its ancestors, whole to
+class or id, take no part (names alone don't count against a box that holds the article, the main part or the page's h1, nor where nothing else would be left). Each paragraph earns points, 1 and one for each comma and up to 3 for length; it passes them to its ancestors, whole to
 the parent, half to the next, then a third of that distance. A container's points are discounted by its link density; the best one (the first of
 ties) is kept, grown to the article around it, with those siblings that score near it or read as text. Lists and boxes of links inside are left out.
 
@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -46,44 +47,47 @@ class Tree:
     """Nodes by number in page order, so that a parent's number is below its children's; texts as (node, text)."""
 
     def __init__(self) -> None:
-        self.tag, self.parent, self.junk, self.items = ["#root"], [0], [False], []
+        self.tag, self.parent, self.junk, self.items = ["#root"], [0], [0], []
+        self.inside = [False]  # an article or main part
 
-    def add(self, tag: str, parent: int, junk: bool) -> int:
+    def add(self, tag: str, parent: int, junk: int) -> int:
         self.tag.append(tag)
         self.parent.append(parent)
         self.junk.append(junk)
+        self.inside.append(self.inside[parent] or tag in ("article", "main"))
         return len(self.tag) - 1
 
 
-def is_junk(tag: str, attrs: str, tree: Tree, parent: int) -> bool:
+HARD, SOFT = 1, 2
+
+
+def is_junk(tag: str, attrs: str, tree: Tree, parent: int) -> int:
+    """HARD by tag, role or being hidden; SOFT by a word of class or id; else 0."""
     if tag in JUNK_TAGS:
-        return True
-    inside = False
-    if tag == "header":
-        at = parent
-        while at and not inside:
-            inside, at = tree.tag[at] in ("article", "main"), tree.parent[at]
-        if not inside:
-            return True
+        return HARD
+    inside = tag == "header" and tree.inside[parent]
+    if tag == "header" and not inside:
+        return HARD
     if not attrs or tag in ("html", "body", "article", "main"):
-        return False
+        return 0
     if "hidden" in attrs and (re.search(r"""(^|\s)hidden(\s|$|=(?!["']?until-found))""", re.sub(r'"[^"]*"|\'[^\']*\'', '""', attrs)) or re.search(r"aria-hidden\s*=\s*[\"']?true", attrs)):
-        return True
+        return HARD
     for m in ATTRIBUTE.finditer(attrs):
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if name == "role" and value.lower() in JUNK_ROLES or name == "style" and HIDDEN.search(value):
-            return True
+            return HARD
         if name in ("class", "id"):
             words = {w.lower() for w in WORDS.findall(value)}
             if words & JUNK_WORDS or words & PAGE_WORDS and not words & CONTENT_WORDS and not inside:
-                return True
-    return False
+                return SOFT
+    return 0
 
 
 def parse(page: str) -> Tree:
-    tree, stack, at = Tree(), [0], 0
+    tree, stack, at, opened = Tree(), [0], 0, Counter()
 
     def close(to: int) -> None:
+        opened.subtract(tree.tag[i] for i in stack[to:])
         del stack[to:]
         tree.items.append((stack[-1], None))
 
@@ -101,11 +105,14 @@ def parse(page: str) -> Tree:
                 tree.items.append((stack[-1], m[0][9:].removesuffix("]]>")))
             continue
         if m[1] or m[4]:
+            if not opened[tag]:
+                continue
             for k in range(len(stack) - 1, 0, -1):
                 if tree.tag[stack[k]] == tag:
                     if tag in BLOCK or tag in PARAGRAPHS:
                         close(k)
                     else:
+                        opened[tag] -= 1
                         del stack[k]
                     break
                 if tag not in BLOCK and tree.tag[stack[k]] in BLOCK:
@@ -140,6 +147,7 @@ def parse(page: str) -> Tree:
             end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
             at = end.end() if end else len(page)
         elif not attrs.endswith("/"):
+            opened[tag] += 1
             stack.append(node)
     return tree
 
@@ -150,7 +158,25 @@ def clean(text: str) -> str:
 
 def main_blocks(page: str) -> list[str]:
     tree = parse(page)
-    n, tag, parent, junk = len(tree.tag), tree.tag, tree.parent, tree.junk
+    return _blocks(tree, [bool(x) for x in _spared(tree)]) or _blocks(tree, [x == HARD for x in tree.junk])
+
+
+def _spared(tree: Tree) -> list[int]:
+    """Junk without those boxes that are so by their names only, but hold the article, the main part or the heading of the page."""
+    junk, seen = tree.junk[:], [False] * len(tree.junk)
+    for i in range(1, len(junk)):
+        if tree.tag[i] in ("article", "main", "h1"):
+            at = tree.parent[i]
+            while at and not seen[at]:
+                seen[at] = True
+                if junk[at] == SOFT:
+                    junk[at] = 0
+                at = tree.parent[at]
+    return junk
+
+
+def _blocks(tree: Tree, junk: list[bool]) -> list[str]:
+    n, tag, parent = len(tree.tag), tree.tag, tree.parent
     link = [False] * n
     for i in range(1, n):
         junk[i] = junk[i] or junk[parent[i]]

@@ -18,6 +18,8 @@ BODY = "".join(f"<p>{p}</p>" for p in P)
     f"<main><div>{BODY}</div></main><aside><p>{P[0]}</p></aside><div class='cookie-notice'><p>{P[0]} accept, please, now</p></div>",
     f"<article><header><nav>x</nav></header>{BODY}<div class='related-posts'><ul><li><a>One</a></li><li><a>Two more</a></li></ul></div><script>var x='<p>no</p>'</script><div hidden>gone, gone, gone</div></article>",
     f"<table><tr><td>{BODY}</table><div style='display:none'><p>{P[0]}</p></div><div role=banner>top</div>",
+    f"<div class='layout with-sidebar'><div class=sidebar><p>{P[1]} x</p></div><article>{BODY}</article></div>",
+    f"<div class='page-notice'>{BODY}</div><nav><p>{P[0]}</p></nav>",
     f"<div><p>{P[0]}<p>{P[1]}<p>{P[2]}</div><!-- {BODY} --><style>p{{}}</style><noscript><p>on, on</p></noscript>",
 ])
 def test_junk_goes_and_article_stays(page):
@@ -29,7 +31,7 @@ def test_white_space_references_and_order():
     assert got == ["Tést & AB", "ab c d e f", "tail", "one", "two", "x y"]
 
 
-@pytest.mark.parametrize("page", ["", "<", "<<<>>>", "<p", "</p></div>", "<a title='", "<div>" * 20_000 + "deep" + "</div>" * 20_000, "<p>" * 5000 + "x", "<script>x", "<!-- x", "a < b & c > d &", '<p title="' * 2000, "\x00�"])
+@pytest.mark.parametrize("page", ["", "<", "<<<>>>", "<p", "</p></div>", "<a title='", "<div>" * 20_000 + "deep" + "</div>" * 20_000, "<p>" * 5000 + "x", "<header>" * 20_000 + "</div>" * 20_000, "<div class=ad><h1>" * 10_000, "<script>x", "<!-- x", "a < b & c > d &", '<p title="' * 2000, "\x00�"])
 def test_broken_pages(page):
     assert all(b == " ".join(b.split()) for b in main_blocks(page))
 
