@@ -4,14 +4,15 @@ Two unit vectors have cosine c exactly where their squared distance is 2 - 2c. V
 into ``BLOCKS`` low-dimensional blocks; the blocks' squared distances add up, so a pair within the whole budget is within the block's share of it
 (the budget times the block's share of the dimensions) in at least one block. Each block is searched by a range join: its first ``GRID`` coordinates
 are laid on a grid of cells twice as wide as the block's radius, a vector is at home in one cell and visits those that its box of that radius meets, and
-homes meet visitors of the same label, block and cell whose block distance is within the share (of a pair, the second visits the first's home). The union of the blocks' candidates is verified by
-the cosine in double precision.
+homes meet visitors of the same label, block and cell. Candidates are pairs whose block distance is within the share; a pair counts in the first block in which it is one,
+and is verified there by its cosine in double precision.
 
-Identical vectors of a label are one class with a count, so copies cost one row; links and components are found between classes. A dense cluster
-of different vectors does have its links as candidates, for ``n_links`` counts them; the join's sides can be split by Spark.
+Pairs aren't listed. Where homes and visitors meet, each home's verified neighbours are counted, and of the links a spanning forest goes on; so a dense cluster of
+different vectors sends a number of rows that is linear in its size. A cell with more than ``TILE`` rows is cut into tiles of homes and of visitors, each a
+task's work of its own, so no cell is held whole. Identical vectors of a label are one class with a count, so copies cost one row.
 
 A vector that is null, empty, zero or holds a null or a non-finite component links with nothing, nor does one with a null label. Vectors of different
-lengths don't link. Rows without a vec_id count as neighbours but have no component; rows that repeat a vec_id with different
+lengths don't link. Rows without a vec_id count as neighbours and connect others, but have no component; rows that repeat a vec_id with different
 vectors are one node of the graph, each row with its own links.
 """
 
@@ -21,16 +22,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from decafix.llm.components import components
+from decafix.llm.components import components, spanning
 from decafix.plans.lineage import cut
 
 COSINE = 0.98
-BLOCKS, GRID = 8, 3
+BLOCKS, GRID = 8, 2
+#: Rows of a cell beyond which it is cut into tiles; crowded cells up to which their list is sent to all tasks.
+TILE, CROWDED = 4096, 100_000
 #: Room for rounding in the block search; verification decides.
 SLACK = 1e-6
+_PAIRS = 1 << 16
 
 
 def rotation(dim: int, seed: int = 42) -> np.ndarray:
@@ -44,90 +49,170 @@ def blocks_of(dim: int) -> list[tuple[int, int]]:
     return list(zip(cuts[:-1], cuts[1:], strict=True))
 
 
-def _units(vectors: list) -> tuple[np.ndarray, np.ndarray]:
-    """Unit vectors of those (of one length) that have one, and which."""
-    x = np.array(vectors, float)
-    ok = np.isfinite(x).all(1)
-    top = np.abs(np.where(ok[:, None], x, 0)).max(1)
-    ok &= top > 0
-    x = x[ok] / top[ok, None]
-    return x / np.sqrt((x * x).sum(1))[:, None], ok
+def units(x: np.ndarray) -> np.ndarray:
+    """Unit vectors of usable rows; the largest component is divided out first, so that no square overflows or vanishes."""
+    x = x.astype(float)
+    x /= np.abs(x).max(1, keepdims=True)
+    return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
-def places(classes: DataFrame, cosine: float) -> DataFrame:
-    """(cls, label, dim, block, cell, home, c ARRAY<FLOAT>): where each class is at home and visits."""
-    budget = 2 - 2 * cosine
+def share_of(cosine: float, width: int, dim: int) -> float:
+    """The squared distance that a block of a pair of candidates has at most."""
+    return (2 - 2 * cosine + SLACK) * width / dim
+
+
+def by_length(vectors: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(dim, which rows, their vectors) of an Arrow list column without nulls."""
+    lens = np.asarray(pc.list_value_length(vectors), np.int64)
+    flat, ends = np.asarray(vectors.flatten()), np.cumsum(lens)
+    for dim in np.unique(lens):
+        pick = np.flatnonzero(lens == dim)
+        yield int(dim), pick, flat[(ends[pick] - dim)[:, None] + np.arange(dim)]
+
+
+def _meeting(cosine: float, whole: bool):
+    """Rows where each class is at home and visits: (place, home, tile, cls, copies, vec) if ``whole``, else (place). ``place`` packs length, cell and block
+    together; the block is its lowest byte."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cls, labels, vecs = (batch.column(i).to_pylist() for i in range(3))
-            lengths = np.array([len(v) for v in vecs])
-            for dim in np.unique(lengths):
-                pick = np.flatnonzero(lengths == dim)
-                unit, ok = _units([vecs[i] for i in pick])
-                pick, turned = pick[ok], unit @ rotation(int(dim))
-                for b, (lo, hi) in enumerate(blocks_of(int(dim))):
-                    part = turned[:, lo:hi]
-                    radius = np.sqrt(budget * (hi - lo) / dim) + SLACK
-                    g = min(GRID, hi - lo)
-                    low, high = (np.floor((part[:, :g] + s * radius) / (2 * radius)).astype(np.int64) for s in (-1, 1))
-                    home = np.floor(part[:, :g] / (2 * radius)).astype(np.int64)
+            for dim, pick, x in by_length(batch.column(3)):
+                turned = units(x) @ rotation(dim)
+                for b, (lo, hi) in enumerate(blocks_of(dim)):
+                    radius, g = np.sqrt(share_of(cosine, hi - lo, dim)) * (1 + 1e-9) + 1e-9, min(GRID, hi - lo)
+                    part = turned[:, lo : lo + g]
+                    low, high = (np.floor((part + s * radius) / (2 * radius)).astype(np.int64) for s in (-1, 1))
+                    home = np.floor(part / (2 * radius)).astype(np.int64)
                     for corner in range(1 << g):
                         up = (corner >> np.arange(g)) & 1
-                        cell = np.where(up, high, low)
-                        own = ~((up == 1) & (high == low)).any(1)  # each cell once
-                        rows = np.flatnonzero(own)
+                        rows = np.flatnonzero(~((up == 1) & (high == low)).any(1))  # each cell once
                         if not len(rows):
                             continue
-                        cell = cell[rows]
-                        key = (cell * np.array([1, 1 << 20, 1 << 40])[:g]).sum(1)
-                        yield pa.RecordBatch.from_arrays([
-                            pa.array([cls[i] for i in pick[rows]], pa.int64()), pa.array([labels[i] for i in pick[rows]], batch.schema.field(1).type), pa.array(np.full(len(rows), dim, np.int32)), pa.array(np.full(len(rows), b, np.int32)),
-                            pa.array(key), pa.array((cell == home[rows]).all(1)), pa.array(list(part[rows].astype(np.float32)), pa.list_(pa.float32()))], names=["cls", "label", "dim", "block", "cell", "home", "c"])
-
-    return classes.select("cls", "label", "embedding").mapInArrow(run, f"cls long, label {dict(classes.dtypes)['label']}, dim int, block int, cell long, home boolean, c array<float>")
-
-
-def _dot(a, b):
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, v: s + v)
-
-
-def links(classes: DataFrame, cosine: float = COSINE) -> DataFrame:
-    """Verified links (a, b), a < b, between classes of (cls, label, embedding ARRAY<DOUBLE>)."""
-    at = places(classes, cosine)
-    longest = classes.agg(F.max(F.size("embedding"))).collect()[0][0] or 1
-    widest = max(hi - lo for lo, hi in blocks_of(longest))
-    coords = lambda p: [F.coalesce(F.get("c", F.lit(i)), F.lit(0.0)).cast("float").alias(f"{p}{i}") for i in range(widest)]
-    homes = at.where("home").select("label", "dim", "block", "cell", F.col("cls").alias("a"), F.size("c").alias("n"), *coords("x"))
-    visitors = at.select("label", "dim", "block", "cell", F.col("cls").alias("b"), *coords("y"))
-    apart = sum(((F.col(f"x{i}") - F.col(f"y{i}")) * (F.col(f"x{i}") - F.col(f"y{i}")) for i in range(1, widest)), (F.col("x0") - F.col("y0")) * (F.col("x0") - F.col("y0")))
-    share = F.lit(2 - 2 * cosine + SLACK) * F.col("n") / F.col("dim")
-    near = homes.join(visitors, ["label", "dim", "block", "cell"]).where((F.col("a") < F.col("b")) & (apart <= share)).select("a", "b").distinct()
-    # the largest component is divided out first, so that no square overflows or vanishes; the quotient is the same cosine
-    top = F.aggregate(F.transform("embedding", lambda v: F.abs(v)), F.lit(0.0), lambda s, v: F.greatest(s, v))
-    units = classes.withColumn("top", top).where("top > 0").select("cls", F.transform("embedding", lambda v: v / F.col("top")).alias("v"))
-    units = units.withColumn("norm", F.sqrt(_dot(F.col("v"), F.col("v"))))
-    pairs = near.join(units.select(F.col("cls").alias("a"), F.col("v").alias("va"), F.col("norm").alias("na")), "a").join(units.select(F.col("cls").alias("b"), F.col("v").alias("vb"), F.col("norm").alias("nb")), "b")
-    return pairs.where(_dot(F.col("va"), F.col("vb")) / (F.col("na") * F.col("nb")) >= cosine).select("a", "b")
+                        cell = np.where(up, high, low)[rows]
+                        place = (((cell + (1 << 19)) << (20 * np.arange(g))).sum(1) << 8 | b) ^ (dim << 52)
+                        at = pa.array(pick[rows])
+                        out = [batch.column(0).take(at), pa.array(place)]
+                        if whole:
+                            out += [pa.array((cell == home[rows]).all(1)), *[batch.column(i).take(at) for i in (1, 2, 3)]]
+                        yield pa.RecordBatch.from_arrays(out, names=["label", "place", "home", "cls", "copies", "embedding"][: len(out)])
+
+    return run
+
+
+def tile_links(cosine: float, x: np.ndarray, y: np.ndarray, block: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(home, visitor) numbers of verified pairs of unit vectors whose first candidate block this is, some homes at a time."""
+    dim = x.shape[1]
+    cuts, turn = blocks_of(dim), rotation(dim)
+    rx, ry = x @ turn, y @ turn
+    share = [share_of(cosine, hi - lo, dim) for lo, hi in cuts]
+    lo, hi = cuts[block]
+    bx, by = rx[:, lo:hi], ry[:, lo:hi]
+    sy = (by * by).sum(1)
+    step = max(1, _PAIRS * 16 // max(1, len(y)))
+    for at in range(0, len(x), step):
+        p = bx[at : at + step]
+        near = (p * p).sum(1)[:, None] + sy - 2 * p @ by.T <= share[block] + SLACK
+        i, j = np.nonzero(near)
+        i += at
+        for k in range(0, len(i), _PAIRS):
+            a, b = i[k : k + _PAIRS], j[k : k + _PAIRS]
+            d = rx[a] - ry[b]
+            d *= d
+            inside = [d[:, lo:hi].sum(1) <= s for (lo, hi), s in zip(cuts[: block + 1], share, strict=False)]
+            ok = inside[block]
+            for earlier in inside[:block]:
+                ok &= ~earlier
+            a, b = a[ok], b[ok]
+            ok = (x[a] * y[b]).sum(1) >= cosine
+            yield a[ok], b[ok]
+
+
+def _tiles(cosine: float):
+    """Sorted meeting rows to (cls, other, copies): a home's count of neighbours (other null), and links of a spanning forest (copies null)."""
+
+    def work(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        home, cls, copies, side = (rows[c].to_numpy() for c in ("home", "cls", "copies", "side"))
+        block = int(rows["place"][0].as_py()) & 0xFF
+        count, left, right = np.zeros(len(cls)), [], []
+        for _, pick, x in by_length(rows["embedding"].combine_chunks()):
+            mine, theirs = np.flatnonzero(home[pick] & (side[pick] != 1)), np.flatnonzero(side[pick] != 0)
+            if not len(mine) or not len(theirs):
+                continue
+            u = units(x)
+            for a, b in tile_links(cosine, u[mine], u[theirs], block):
+                a, b = pick[mine[a]], pick[theirs[b]]
+                other = cls[a] != cls[b]
+                a, b = a[other], b[other]
+                if len(a):
+                    count += np.bincount(a, weights=copies[b], minlength=len(cls))
+                    s, t = spanning(cls[a], cls[b])
+                    left.append(s)
+                    right.append(t)
+        got = np.flatnonzero(count)
+        if len(got):
+            s, t = spanning(np.concatenate(left), np.concatenate(right))
+            none = lambda n: pa.nulls(n, pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.concat_arrays([pa.array(cls[got]), pa.array(s)]), pa.concat_arrays([none(len(got)), pa.array(t)]), pa.concat_arrays([pa.array(count[got].astype(np.int64)), none(len(s))])], names=["cls", "other", "n"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, key = [], None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = list(zip(*[batch.column(i).to_pylist() for i in range(4)], strict=True))
+            heads = [0, *[i for i in range(1, len(keys)) if keys[i] != keys[i - 1]], len(keys)]
+            for a, b in zip(heads[:-1], heads[1:], strict=True):
+                if held and keys[a] != key:
+                    yield from work(pa.Table.from_batches(held))
+                    held = []
+                key = keys[a]
+                held.append(batch.slice(a, b - a))
+        if held:
+            yield from work(pa.Table.from_batches(held))
+
+    return run
+
+
+def links(classes: DataFrame, cosine: float = COSINE, tile: int | None = None) -> DataFrame:
+    """(cls, other, n) for classes of (cls, label, copies, embedding): rows with a null ``other`` add n, the vectors of other classes that link with one of cls; the others are
+    links that connect whatever is connected."""
+    tile = tile or TILE
+    kinds = dict(classes.dtypes)
+    slim = classes.select("label", "cls", "copies", "embedding")
+    crowded = slim.mapInArrow(_meeting(cosine, False), f"label {kinds['label']}, place long").groupBy("label", "place").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > tile)
+    crowded = cut(crowded.select("label", "place", F.ceil(F.col("size") / tile).cast("int").alias("cuts")))
+    rows = slim.mapInArrow(_meeting(cosine, True), f"label {kinds['label']}, place long, home boolean, cls long, copies long, embedding {kinds['embedding']}")
+    few = crowded.limit(CROWDED + 1).count() <= CROWDED
+    rows = rows.join(F.broadcast(crowded) if few else crowded, ["label", "place"], "left").withColumn("own", F.pmod(F.xxhash64("cls"), F.coalesce("cuts", F.lit(1))).cast("int"))
+    # in a cell of c cuts, tile (i, j) has the homes of cut i and the visitors of cut j; a row of an uncut cell serves as both at once
+    whole = F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(2).alias("side")))
+    other = F.sequence(F.lit(0), F.col("cuts") - 1)
+    as_home = F.transform(other, lambda k: F.struct(F.col("own").alias("i"), k.alias("j"), F.lit(0).alias("side")))
+    as_visitor = F.transform(other, lambda k: F.struct(k.alias("i"), F.col("own").alias("j"), F.lit(1).alias("side")))
+    tiles = F.when(F.col("cuts").isNull(), whole).when(F.col("home"), F.concat(as_home, as_visitor)).otherwise(as_visitor)
+    rows = rows.withColumn("t", F.explode(tiles)).select("label", "place", "t.i", "t.j", "t.side", "home", "cls", "copies", "embedding")
+    dealt = rows.repartition("label", "place", "i", "j").sortWithinPartitions("label", "place", "i", "j")
+    return dealt.mapInArrow(_tiles(cosine), "cls long, other long, n long")
 
 
 def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for each row of (vec_id, embedding, label)."""
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").alias("label"), F.col("embedding").cast("array<double>").alias("embedding"))
+    kind = dict(vectors.dtypes)["embedding"]
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").alias("label"), F.col("embedding").cast(kind if kind == "array<float>" else "array<double>").alias("embedding"))
     finite = F.forall("embedding", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
     usable = F.coalesce(F.col("label").isNotNull() & (F.size("embedding") > 0) & finite & F.exists("embedding", lambda v: v != 0), F.lit(False))
     rows = cut(rows.withColumn("ok", usable).withColumn("h", F.when(F.col("ok"), F.xxhash64("label", "embedding"))))
-    # a class's number is drawn from its least id where it has one, else from its content
-    found = rows.where("ok").groupBy("label", "embedding", "h").agg(F.count(F.lit(1)).alias("copies"), F.min("vec_id").alias("id"))
-    classes = cut(found.withColumn("cls", F.col("h")))
-    pairs = cut(links(classes.select("cls", "label", "embedding"), cosine))
-    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    counts = both.join(classes.select(F.col("cls").alias("b"), "copies"), "b").groupBy("a").agg(F.sum("copies").alias("others"))
-    ids = classes.where("id IS NOT NULL").select("cls", "id")
-    edges = pairs.join(ids.select(F.col("cls").alias("a"), F.col("id").alias("x")), "a").join(ids.select(F.col("cls").alias("b"), F.col("id").alias("y")), "b").select("x", "y")
-    own = rows.where("ok AND vec_id IS NOT NULL").join(ids.withColumnRenamed("cls", "h"), "h").where("vec_id <> id").select(F.col("vec_id").alias("x"), F.col("id").alias("y"))
-    linked = components(edges.unionByName(own), "x", "y")
-    per = classes.select("cls", (F.col("copies") - 1).alias("same")).join(counts, F.col("cls") == F.col("a"), "left").select(F.col("cls").alias("h"), (F.col("same") + F.coalesce("others", F.lit(0))).alias("n_links"))
+    classes = cut(rows.where("ok").groupBy("label", "embedding", "h").agg(F.count(F.lit(1)).alias("copies"), F.min("vec_id").alias("id")).withColumnRenamed("h", "cls"))
+    found = cut(links(classes, cosine))
+    counts = found.where("other IS NULL").groupBy("cls").agg(F.sum("n").alias("others")).withColumnRenamed("cls", "a")
+    # groups of linked classes, each known by the least vec_id in it; rows that repeat an id tie groups together
+    linked_classes = components(found.where("other IS NOT NULL"), "cls", "other").withColumnRenamed("node", "c")
+    node = classes.join(linked_classes, classes["cls"] == linked_classes["c"], "left").select("cls", "id", F.coalesce("component", "cls").alias("group"))
+    first = node.where("id IS NOT NULL").groupBy("group").agg(F.min("id").alias("least"))
+    ids = cut(node.join(first, "group").select(F.col("cls").alias("h"), "least"))
+    own = rows.where("ok AND vec_id IS NOT NULL").join(ids, "h").where("vec_id <> least").select(F.col("vec_id").alias("x"), F.col("least").alias("y"))
+    linked = components(own, "x", "y")
+    per = classes.join(counts, F.col("cls") == F.col("a"), "left").select(F.col("cls").alias("h"), (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
     out = rows.select("vec_id", "h").join(per, "h", "left").join(linked, F.col("vec_id") == F.col("node"), "left")
     component = F.coalesce("component", "vec_id")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.cast("long").alias("component_id"), F.coalesce(component == F.col("vec_id"), F.lit(False)).alias("kept"))

@@ -50,6 +50,22 @@ def test_against_brute_force(spark):
     assert all(x["kept"] == (x["vec_id"] is not None and x["vec_id"] == x["component_id"]) for x in got)
 
 
+def test_dense_cluster_in_tiles(spark, monkeypatch):
+    from decafix.llm import embeddings
+
+    r = np.random.default_rng(8)
+    centre = r.normal(size=16)
+    rows = [(i, (centre + r.normal(size=16) * r.choice([0.05, 0.13])).tolist(), 1) for i in range(300)] + [(400 + i, r.normal(size=16).tolist(), 1) for i in range(100)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    want = brute(rows)
+    for tile, pairs in ((7, 1 << 16), (64, 50), (4096, 1 << 16)):
+        monkeypatch.setattr(embeddings, "TILE", tile)
+        monkeypatch.setattr(embeddings, "_PAIRS", pairs)
+        assert sorted((str(x["vec_id"]), x["n_links"], x["component_id"]) for x in near_duplicates(df).collect()) == want
+    found = embeddings.links(df.withColumnRenamed("vec_id", "cls").withColumn("copies", __import__("pyspark.sql.functions", fromlist=["lit"]).lit(1).cast("long")))
+    assert found.count() < 300 * 8 * 4 * 3
+
+
 def test_table_and_empty(spark):
     sf = "/root/testdata/sf0.01"
     rows = duckdb.sql(f"select vec_id, embedding, label from '{sf}/embeddings.parquet'").fetchall()
