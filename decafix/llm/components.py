@@ -76,7 +76,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     e = cut(e.mapInArrow(_local, "u long, v long"))
     said = None
     while True:
-        now = e.agg(F.count(F.lit(1)), F.sum(F.shiftright(F.xxhash64("u", "v"), 8))).collect()[0]
+        now = e.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).collect()[0]
         if now == said or not now[0]:
             return e.select(F.col("u").alias("node"), F.col("v").alias("component"))
         said, e = now, cut(_small(_large(e)))

@@ -65,6 +65,8 @@ def test_components(spark):
     got = {x["node"]: x["component"] for x in components(df).collect()}
     assert got == want and want[160] == 100 and want[900] == 1 and 7 not in want
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+    many = spark.range(200_000).selectExpr("id as a", "id - id % 1000 as b").repartition(8)
+    assert components(many).agg({"component": "sum", "node": "count"}).collect()[0].asDict() == {"sum(component)": 999 * sum(range(0, 200_000, 1000)), "count(node)": 199_800}
 
 
 TEXTS = [None, "", " \n\t", "One", "one  TWO", "ONE two", "a b c", "A B C", "Ünï b c", "ünï b c", "x " * 5000, "a b c d e f g h i j k l m n o p", "\x0b a b c", "a b a b a b a b"]
