@@ -58,14 +58,15 @@ def _sparse(plane: np.ndarray, zero: bool) -> int | None:
     return major if len(head) and 2 * counts[major] - len(head) > MAJORITY_SHARE * len(head) else None
 
 
-def encode_offsets(off: np.ndarray, width: int, dlen: int, layout: str) -> bytes:
+def encode_offsets(off: np.ndarray, width: int, dlen: int, layout: str, forced: int | None = None) -> bytes:
+    """``forced`` holds the first plane sparsely about that byte, however frequent it is (layouts with sparse planes)."""
     if layout == "offset":
         return pack(off >> dlen, max(0, width - dlen)) + pack(off & ((1 << dlen) - 1), dlen)
     whole, rest = divmod(width, 8)
     out, sparse_ends = [], False
     for k in range(whole):
         plane = ((off >> (width - 8 * (k + 1))) & 255).astype(np.uint8)
-        major = None if layout not in ("majority", "residue") or sparse_ends else _sparse(plane, layout == "residue")
+        major = None if layout not in ("majority", "residue") or sparse_ends else forced if forced is not None and not k else _sparse(plane, layout == "residue")
         sparse_ends = major is None
         if layout in ("majority", "residue"):
             out.append(bytes([major is not None]))
@@ -108,9 +109,9 @@ def decode_offsets(data: bytes, n: int, width: int, dlen: int, layout: str) -> n
     return off
 
 
-def encode(df: DataFrame, x: str, precision: int, layout: str = "plain", pos: str = "pos", rows: int = SEGMENT_ROWS, known: tuple[int, int] | None = None) -> DataFrame:
+def encode(df: DataFrame, x: str, precision: int, layout: str = "plain", pos: str = "pos", rows: int = SEGMENT_ROWS, known: tuple[int, int] | None = None, forced: int | None = None) -> DataFrame:
     """Segments of ``df``. ``known`` (least and greatest fixed value) gives all segments one base, as a single pass over
-    a file with known statistics does."""
+    a file with known statistics does. ``forced`` is the byte of a first plane that is held sparsely in any case."""
     if layout not in LAYOUTS:
         raise ValueError(f"layout must be one of {LAYOUTS}")
     dlen = fraction_bits(precision)
@@ -122,7 +123,7 @@ def encode(df: DataFrame, x: str, precision: int, layout: str = "plain", pos: st
         width = (top - base).bit_length()
         gaps = np.diff(pdf["pos"].to_numpy(np.int64), prepend=pdf["pos"].iloc[0] - 1)
         index = b"" if (gaps == 1).all() else zlib.compress(gaps.astype("<i8").tobytes(), 1)
-        payload = struct.pack("<I", len(index)) + index + encode_offsets(fx - base, width, dlen, layout)
+        payload = struct.pack("<I", len(index)) + index + encode_offsets(fx - base, width, dlen, layout, forced)
         return pd.DataFrame({"segment": [int(pdf["segment"].iloc[0])], "first_pos": [int(pdf["pos"].iloc[0])], "n": [len(fx)], "base": [base], "top": [top], "ilen": [max(0, width - dlen)], "dlen": [dlen], "layout": [layout], "org_size": [8 * len(fx) + 40], "payload": [payload]})
 
     rows_ = bounded(df, x, precision).select(F.expr(f"`{pos}` div {int(rows)}L").alias("segment"), F.col(pos).cast("long").alias("pos"), "fx")
@@ -190,3 +191,31 @@ def bound_mantissa(df: DataFrame, x: str, precision: int, keep: list[str]) -> Da
         return s.map(lambda v: precision_bound(v, precision), na_action="ignore")
 
     return df.select(*keep, run(F.col(x).cast("double")).alias("value"))
+
+
+def finer(x: float, precision: int) -> str:
+    """Binary digits of |x| below 1, by halving, until they are within the bound of it."""
+    rest, out, step, bound = abs(x) - abs(x) // 1, [], 0.5, 0.49 * 10.0**-precision
+    while rest >= bound and step > 2.0**-64:
+        out.append("1" if rest >= step else "0")
+        rest -= step if out[-1] == "1" else 0.0
+        step /= 2
+    return "".join(out)
+
+
+def expand(df: DataFrame, x: str, precision: int, keep: list[str]) -> DataFrame:
+    @F.pandas_udf("string")
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(lambda v: finer(v, precision) if np.isfinite(v) else None, na_action="ignore")
+
+    return df.select(*keep, run(F.col(x).cast("double")).alias("bits"))
+
+
+def lengths(df: DataFrame, x: str, precision: int) -> DataFrame:
+    """The bits that the integer parts and the fractions of a bounded column take: those of the greatest magnitude, and of the last place in use."""
+    fx = F.abs(F.col("fx"))
+    low = fx.bitwiseAND(-fx)
+    d = fraction_bits(precision)
+    whole = F.when(F.shiftright(fx, d) == 0, 0).otherwise(F.length(F.bin(F.shiftright(fx, d))))
+    used = F.when((fx == 0) | (low >= F.lit(1 << d)), 0).otherwise(F.lit(d + 1) - F.length(F.bin(low)))
+    return bounded(df, x, precision).agg(F.max(whole).cast("int").alias("integer_bits"), F.max(used).cast("int").alias("fraction_bits"))

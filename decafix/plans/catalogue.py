@@ -463,3 +463,23 @@ query("codec_majority", f"SELECT pos, CAST(fx AS DOUBLE) / 256 AS value FROM {EV
 query("predicted_ratio")(lambda s, d: codec.predict_ratio(events(s, d), 2, "plain", 0.5, rows=256))
 query("generated_outlier_bytes", "SELECT CAST(5000 AS BIGINT) AS n, true AS has_ends, true AS near_share")(lambda s, d: generators.outlier_bytes(s, 5000, 0.9, 1).agg(F.count("b").alias("n"), ((F.min("b") == 0) & (F.max("b") == 255)).alias("has_ends"), (F.count(F.when(F.col("b") == 69, 1)).between(4400, 4600)).alias("near_share")))
 query("generated_normal")(lambda s, d: generators.normal(s, 1000, 5.0, 2.0, 7))
+
+query("encode_forced_majority", f"SELECT pos, CAST(fx AS DOUBLE) / 256 AS value FROM {EV}")(lambda s, d: codecs.decode_segments(codecs.encode(events(s, d), "x", 2, "majority", rows=4096, known=(0, 1 << 20), forced=69)))
+query("component_lengths", f"SELECT CAST(max(CASE WHEN a >> 8 = 0 THEN 0 ELSE length(bin(a >> 8)) END) AS INTEGER) AS integer_bits, CAST(max(CASE WHEN a % 256 = 0 THEN 0 ELSE 9 - length(bin(a & -a)) END) AS INTEGER) AS fraction_bits FROM (SELECT abs({BAL}) AS a FROM customer)")(lambda s, d: codecs.lengths(table(s, d, "customer"), "c_acctbal", 2))
+query("binary_expansion")(lambda s, d: codecs.expand(events(s, d), "x", 2, ["pos"]))
+
+
+@query("stream_max_window", f"SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, CAST(max({VAL}) AS DOUBLE) / 256 AS max_value, count(*) AS n FROM events GROUP BY 1".replace("AS start", 'AS "start"'))
+def _(spark, sf):
+    """Event-time windows over a file stream, run to its end into a table of this session."""
+    import uuid
+
+    from decafix.streaming import paced
+
+    schema = table(spark, sf, "events").select("ts", "value").schema
+    name = f"stream_{uuid.uuid4().hex}"
+    stream = paced.windowed_max_stream(paced.parquet_source(spark, sf, schema, only="events.parquet").withColumn("ts", F.col("ts").cast("timestamp")), "ts", "value", 2, "1 hour")
+    q = stream.writeStream.format("memory").queryName(name).outputMode("complete").start()
+    q.processAllAvailable()
+    q.stop()
+    return spark.table(name).select(F.col("window.start").cast("timestamp_ntz").alias("start"), "max_value", "n")

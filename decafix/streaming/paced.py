@@ -29,8 +29,9 @@ def text_source(spark: SparkSession, path: str, skip: int = 0, delim: str = ",",
     return rows.where(F.col("x").isNotNull())
 
 
-def parquet_source(spark: SparkSession, path: str, schema, files_per_trigger: int = 1) -> DataFrame:
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
+def parquet_source(spark: SparkSession, path: str, schema, files_per_trigger: int = 1, only: str = "*") -> DataFrame:
+    """Arriving files of a folder, those whose names match ``only``."""
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).option("pathGlobFilter", only).parquet(path)
 
 
 def windowed_max_stream(stream: DataFrame, ts: str, x: str, precision: int, window: str = "1 minute", late: str = "10 minutes") -> DataFrame:

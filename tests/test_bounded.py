@@ -91,3 +91,13 @@ def test_sum_with_whole_byte_width(spark):
     assert aggregates.sum_bounded(df, "x", 2).collect()[0][0] == sum(10.0 + i for i in range(256))
     assert aggregates.extreme(df, "x", 2).collect()[0].asDict() == {"value": 265.0, "n_attained": 1}
     assert df.select(decode(fixed("x", 2), 2)).count() == 256 and df.where(eq("x", 12.0, 2)).select(F.col("pos")).collect()[0][0] == 2
+
+
+def test_finer_and_forced_planes():
+    import numpy as np
+
+    for x in (0.3, -0.7, 5.125, 0.0, 0.999):
+        bits = codecs.finer(x, 3)
+        assert abs(sum(2.0 ** -(i + 1) for i, b in enumerate(bits) if b == "1") - (abs(x) % 1)) < error_bound(3)
+    off = np.arange(500) * 251
+    assert (decode_offsets(encode_offsets(off, 24, 8, "majority", 69), 500, 24, 8, "majority") == off).all()
