@@ -101,3 +101,23 @@ def test_finer_and_forced_planes():
         assert abs(sum(2.0 ** -(i + 1) for i, b in enumerate(bits) if b == "1") - (abs(x) % 1)) < error_bound(3)
     off = np.arange(500) * 251
     assert (decode_offsets(encode_offsets(off, 24, 8, "majority", 69), 500, 24, 8, "majority") == off).all()
+
+
+@pytest.mark.parametrize("precision", [0, 2, 11])
+def test_predicates_agree_with_fixed(spark, precision):
+    d = fraction_bits(precision)
+    r = random.Random(precision)
+    xs = [k / 2**d + e for k in range(-4, 5) for e in (0.0, 0.3 / 2**d, -0.3 / 2**d)] + [r.uniform(-9, 9) for _ in range(60)]
+    xs += [2.0 ** (62 - d), -(2.0 ** (62 - d)), 2.0 ** (63 - d), -(2.0 ** (63 - d)), math.nextafter(2.0 ** (63 - d), 0), 1e300, -1e300, 5e-324, -0.0, math.nan, math.inf, -math.inf, None]
+    df = spark.createDataFrame([(x,) for x in xs], "x double").withColumn("fx", fixed("x", precision))
+    for v in [*xs[:40:3], 0.0, 2.0 ** (62 - d), -(2.0 ** (63 - d)), 1e300, -1e300, math.inf, -math.inf]:
+        c = literal(v, precision)
+        for pred, test in ((gt, F.col("fx") > c), (lt, F.col("fx") < c), (eq, F.col("fx") == c)):
+            if abs(v) < 2.0 ** (63 - d) or pred is not eq:
+                assert df.where(pred("x", v, precision)).count() == df.where(test).count(), (v, pred)
+
+
+def test_filters_reach_the_scan(spark, tmp_path):
+    spark.range(100).selectExpr("cast(id as double) as x", "id").write.parquet(str(tmp_path / "t"))
+    plan = spark.read.parquet(str(tmp_path / "t")).where(gt("x", 50.25, 2)).select("id")._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(x,50." in plan and "LessThanOrEqual(x," in plan
