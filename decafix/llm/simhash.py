@@ -152,7 +152,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 SHINGLE, SIMILARITY = 5, 0.8
 WIDE, FAMILIES, FAMILY_BITS, WIDE_RADIUS = 4, 64, 24, 64
 #: Members of a key that are paired with the key's first member and with so many before them.
-NEIGHBOURS = 16
+NEIGHBOURS = 2
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93)]
 
 
