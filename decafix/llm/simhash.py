@@ -20,6 +20,7 @@ component. Repeated ids are one node.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -145,14 +146,16 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
-# ---- near-duplicate texts: wide fingerprints find candidates, shingle sets decide ----
+# ---- near-duplicate texts: wide fingerprints link most of a group, an exact join of shingle sets finds the rest ----
 
-#: Five-word shingles, compared as sets. Candidates come from fingerprints of 256 bits of three-word shingles: of 416 pairs of the test tables (10,000 documents) with a similarity of
-#: 0.78 or more, the farthest were 40 bits apart, and 64 families of 24 bits found 99 in 100 of them.
+#: Five-word shingles, compared as sets. Fingerprints of 256 bits of three-word shingles only link in advance; what they miss, the join of shingle sets finds.
 SHINGLE, SIMILARITY = 5, 0.8
 WIDE, FAMILIES, FAMILY_BITS, WIDE_RADIUS = 4, 64, 24, 64
-#: Members of a key that are paired with the key's first member and with so many before them.
-NEIGHBOURS = 2
+#: Classes of a shingle's run beyond which it is cut into tiles.
+TILE = 4096
+#: One in so many documents is read for shingles that are frequent (FREQUENT or more of those documents), and so many of them are sent to all tasks. They only set the order in which
+#: shingles are taken as keys; any order finds every pair.
+SAMPLED, FREQUENT, LISTED = 64, 4, 65_536
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93)]
 
 
@@ -197,21 +200,153 @@ def _family_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _key_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs (a, b), a < b, of rows sorted by (key, id): with the key's first member and with the ``NEIGHBOURS`` before. A run of a key is never held."""
-    key, first, before = None, None, []
+    """Pairs (a, b), a < b, of rows sorted by (key, id): each with the key's first member. A run of a key is never held."""
+    key, first = None, None
     for batch in batches:
         a, b = [], []
         for i, k in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             if k != key:
-                key, first, before = k, i, [i]
-                continue
-            near = before if before[0] == first else [first, *before]
-            a += near
-            b += [i] * len(near)
-            before = [*before, i][-NEIGHBOURS:]
+                key, first = k, i
+            else:
+                a.append(first)
+                b.append(i)
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
+def shingle_hashes(text: bytes, seed: int = 42) -> np.ndarray:
+    """Sorted distinct XXH64 hashes of a text's five-word shingles (fewer words: of the whole sequence)."""
+    digest, words = xxhash.xxh64_intdigest, text.lower().split()
+    flat, ends = b" ".join(words), np.cumsum([len(w) + 1 for w in words] or [1]) - 1
+    starts = np.concatenate([[0], ends[:-1] + 1])
+    width = min(SHINGLE, len(ends))
+    first, last = starts[: len(ends) - width + 1].tolist(), ends[width - 1 :].tolist()
+    runs = [np.unique(np.array([digest(flat[a:b], seed) for a, b in zip(first[at : at + _SHINGLES], last[at : at + _SHINGLES], strict=True)], np.uint64)) for at in range(0, len(first), _SHINGLES)]
+    return runs[0] if len(runs) == 1 else np.unique(np.concatenate(runs))
+
+
+def prefix_of(hashes: np.ndarray, frequent: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The first shingles of a set in the common order (frequent ones last), so many that two sets ``SIMILARITY`` alike share one: such sets have SIMILARITY * n of this one's n in common."""
+    n = len(hashes)
+    if len(frequent):
+        at = np.minimum(np.searchsorted(frequent, hashes), len(frequent) - 1)
+        hashes = hashes[np.argsort(np.where(frequent[at] == hashes, counts[at], 0), kind="stable")]
+    return hashes[: n - math.ceil(SIMILARITY * n * (1 - 1e-12)) + 1]
+
+
+def _meet(span: np.ndarray, at: np.ndarray, group: np.ndarray, side: np.ndarray | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(i, j) numbers of rows of one run, of different groups, that can be ``SIMILARITY`` alike if this is the first shingle that they share; ``at`` numbers the runs, rows of a run being
+    side by side. A pair that is alike passes at its first shingle, so none is lost."""
+    size, left = span >> 32, (span >> 32) - (span & 0xFFFFFFFF)
+    ends = np.searchsorted(at, at, "right")
+    i, step = np.arange(len(at)), 0
+    while True:
+        step += 1
+        i = i[i + step < ends[i]]
+        if not len(i):
+            return
+        j = i + step
+        ok = (group[i] != group[j]) & (np.minimum(left[i], left[j]) * (1 + SIMILARITY) * (1 + 1e-12) >= SIMILARITY * (size[i] + size[j]))
+        if side is not None:
+            ok &= (side[i] != side[j]) | (side[i] < 0)
+        if ok.any():
+            yield i[ok], j[ok]
+
+
+def _shingle_pairs(tiled: bool, tile: int):
+    """Rows sorted by key, of (key, id, span, group), to candidate pairs (a, b). Rows of longer runs than ``tile`` pass on instead, as (id, null, key, span, group); of tiles, with the side
+    of a row as fifth column, none do."""
+    names = ["a", "b", "key", "span", "group"]
+
+    def pairs(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        key, ids, span, group = rows[:4]
+        if not len(key):
+            return
+        heads = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        mixed = np.minimum.reduceat(group, heads) != np.maximum.reduceat(group, heads)
+        keep = np.repeat(mixed, np.diff(np.append(heads, len(key))))
+        number = np.repeat(np.arange(len(heads)), np.diff(np.append(heads, len(key))))[keep]
+        ids, side = ids[keep], rows[4][keep] if tiled else None
+        held, n = [], 0
+        for i, j in _meet(span[keep], number, group[keep], side):
+            held.append((np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])))
+            n += len(i)
+            if n >= 1 << 17:
+                yield out(held)
+                held, n = [], 0
+        if held:
+            yield out(held)
+
+    def out(held) -> pa.RecordBatch:
+        a, b = (pa.array(np.concatenate([h[k] for h in held])) for k in (0, 1))
+        return pa.RecordBatch.from_arrays([a, b, *[pa.nulls(len(a), pa.int64())] * 3], names=names)
+
+    def passed(rows: list[np.ndarray]) -> pa.RecordBatch:
+        key, ids, span, group = (pa.array(x) for x in rows)
+        return pa.RecordBatch.from_arrays([ids, pa.nulls(len(ids), pa.int64()), key, span, group], names=names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, long = None, None  # the last run so far; the key of a run that passes on
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            if long is not None:
+                n = int(np.searchsorted(rows[0], long, "right"))
+                if n:
+                    yield passed([x[:n] for x in rows])
+                if n == len(rows[0]):
+                    continue
+                rows, long = [x[n:] for x in rows], None
+            if held is not None:
+                rows = [np.concatenate([x, y]) for x, y in zip(held, rows, strict=True)]
+            last = int(np.searchsorted(rows[0], rows[0][-1], "left"))
+            yield from pairs([x[:last] for x in rows])
+            held = [x[last:] for x in rows]
+            if not tiled and len(held[0]) > tile:
+                yield passed(held)
+                held, long = None, int(held[0][0])
+        if held is not None:
+            yield from pairs(held)
+
+    return run
+
+
+def frequent_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(sorted hashes, counts) of shingles that many of a sample of the documents hold."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in pieces(batch, 0):
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([shingle_hashes(t) for t in blobs(piece.column(0))]).view(np.int64))], names=["h"])
+
+    sample = docs.where(F.pmod(F.xxhash64("id"), F.lit(SAMPLED)) == 0).select("text").mapInArrow(run, "h long")
+    top = sample.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= FREQUENT).orderBy(F.desc("n"), "h").limit(LISTED).collect()
+    h, n = np.array([x["h"] for x in top], np.int64).view(np.uint64), np.array([x["n"] for x in top], np.int64)
+    order = np.argsort(h)
+    return h[order], n[order]
+
+
+def alike(sets: DataFrame, tile: int | None = None) -> DataFrame:
+    """Candidate pairs (a, b), a < b and each once, of rows of (id, n, prefix, group): of different groups and among them every pair whose sets are ``SIMILARITY`` alike."""
+    tile = tile or TILE
+    rows = sets.select("id", "n", "group", F.posexplode("prefix").alias("pos", "key"))
+    rows = rows.select("key", "id", F.expr("shiftleft(n, 32) + pos").alias("span"), "group").repartition("key").sortWithinPartitions("key")
+    kinds = "a long, b long, key long, span long, group long"
+    met = cut(rows.mapInArrow(_shingle_pairs(False, tile), kinds).distinct())
+    crowded = met.where("b IS NULL").select("key", F.col("a").alias("id"), "span", "group")
+    pairs = met.where("b IS NOT NULL").select("a", "b")
+    if crowded.isEmpty():
+        return pairs
+    sizes = crowded.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / tile).cast("int").alias("cuts"))
+    dealt = crowded.join(sizes, "key").withColumn("own", F.pmod(F.xxhash64("id"), F.col("cuts")).cast("int"))
+    dealt = dealt.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
+    place = F.xxhash64("key", F.least("own", "k"), F.greatest("own", "k"))
+    side = F.when(F.col("own") == F.col("k"), -1).otherwise(F.col("own")).cast("long")
+    # tile (i, i) pairs the rows of cut i with each other, tile (i, j) those of i with those of j
+    dealt = dealt.select(place.alias("place"), "id", "span", "group", side.alias("side")).repartition("place").sortWithinPartitions("place")
+    return pairs.unionByName(dealt.mapInArrow(_shingle_pairs(True, tile), kinds).select("a", "b")).distinct()
+
+
 def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def shingles(text: bytes) -> set[bytes]:
         w = text.lower().split()
@@ -227,25 +362,37 @@ def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(1)], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
 
+def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Those pairs (a, b) of ids whose texts' sets of shingles are ``SIMILARITY`` alike."""
+    wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+    texts = cut(docs.select("id", "text").join(wanted, "id", "left_semi"))
+    both = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("y")), "b")
+    return both.select("a", "b", "x", "y").mapInArrow(_similar, "a long, b long")
+
+
 def similar_texts(docs: DataFrame) -> DataFrame:
     """(id, component) of documents that share a group of near-duplicate texts with another: rows of (id, text), ids distinct and not null.
 
-    Texts with equal word sequences are one class. Candidates are classes that agree in all coordinates of one of the families; those whose coordinates differ by more than
-    ``WIDE_RADIUS``, or that are farther apart than that, are discarded; the rest are verified by the similarity of their sets of five-word shingles (fewer words: the whole
-    sequence). A key that very many classes share pairs each with its first and its neighbours, in each of the families, not all with all: groups are linked
-    through their members, which is what keeping one of a group needs."""
+    Texts with equal word sequences are one class. Two searches find candidates, and both verify them by the similarity of their sets of five-word shingles (fewer words: the whole
+    sequence). First, classes that agree in all coordinates of one of the families: each with the first of its key, unless their coordinates differ by more than ``WIDE_RADIUS`` or they
+    are farther apart than that. That links most of a large group at few pairs a member, and may miss links. Then all that is left: classes of different groups that share a shingle
+    of their prefixes (``prefix_of``), every one with every other. So groups are exact, and pairs within what the first search has linked aren't listed."""
     kinds = ", ".join(f"f{i} long" for i in range(WIDE))
+    frequent, counts = frequent_shingles(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in pieces(batch, 1):
                 texts = blobs(piece.column(1))
+                sets = [shingle_hashes(t) for t in texts]
+                prefix = pa.array([prefix_of(h, frequent, counts).view(np.int64) for h in sets], pa.list_(pa.int64()))
                 wide = wide_of(texts).view(np.int64)
                 same = np.array([xxhash.xxh3_64_intdigest(b" ".join(t.lower().split())) for t in texts], np.uint64).view(np.int64)
                 size = pa.array([len(t.split()) for t in texts], pa.int64())
-                yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(same), size, *[pa.array(wide[:, i]) for i in range(WIDE)]], names=["id", "same", "size", *[f"f{i}" for i in range(WIDE)]])
+                n = pa.array([len(h) for h in sets], pa.int64())
+                yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(same), size, *[pa.array(wide[:, i]) for i in range(WIDE)], n, prefix], names=["id", "same", "size", *[f"f{i}" for i in range(WIDE)], "n", "prefix"])
 
-    table = cut(docs.select("id", "text").mapInArrow(run, f"id long, same long, size long, {kinds}"))
+    table = cut(docs.select("id", "text").mapInArrow(run, f"id long, same long, size long, {kinds}, n long, prefix array<long>"))
     classes = cut(table.groupBy("same", "size", *[f"f{i}" for i in range(WIDE)]).agg(F.min("id").alias("id")))
     fps = classes.select("id", *[f"f{i}" for i in range(WIDE)])
     keys = fps.mapInArrow(_family_keys, "id long, key long").repartition("key").sortWithinPartitions("key", "id")
@@ -258,11 +405,11 @@ def similar_texts(docs: DataFrame) -> DataFrame:
             met = met.where(F.abs(hamming(F.col(f"f{i}"), r) - hamming(F.col(f"g{i}"), r)) <= WIDE_RADIUS)
     apart = sum((hamming(F.col(f"f{i}"), F.col(f"g{i}")) for i in range(1, WIDE)), hamming(F.col("f0"), F.col("g0")))
     near = cut(met.where(apart <= WIDE_RADIUS).select("a", "b"))
-    wanted = near.select(F.col("a").alias("id")).union(near.select("b")).distinct()
-    texts = cut(docs.select("id", "text").join(wanted, "id", "left_semi"))
-    both = near.join(texts.select(F.col("id").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("y")), "b")
-    linked = both.select("a", "b", "x", "y").mapInArrow(_similar, "a long, b long")
-    own = table.join(classes.withColumnRenamed("id", "least"), ["same", "size", *[f"f{i}" for i in range(WIDE)]]).where("id <> least").select(F.col("least").alias("a"), F.col("id").alias("b"))
+    groups = components(verified(docs, near))
+    sets = table.select("id", "n", "prefix").join(classes.select("id"), "id").join(groups.withColumnRenamed("node", "id"), "id", "left")
+    rest = cut(alike(sets.select("id", "n", "prefix", F.coalesce("component", "id").alias("group"))))
+    linked = verified(docs, rest).unionByName(groups.select(F.col("component").alias("a"), F.col("node").alias("b")))
+    own = table.drop("n", "prefix").join(classes.withColumnRenamed("id", "least"), ["same", "size", *[f"f{i}" for i in range(WIDE)]]).where("id <> least").select(F.col("least").alias("a"), F.col("id").alias("b"))
     found = components(linked.unionByName(own))
     return found.select(F.col("node").alias("id"), "component")
 

@@ -122,3 +122,42 @@ def test_nulls_ties_and_empty_table(spark):
     crowd = spark.createDataFrame([(i, " ".join(f"w{k}" for k in range(200)) + f" end{i}") for i in range(300)], "doc_id long, text string")
     assert [x["doc_id"] for x in simhash.keep_one(crowd).collect()] == [0]
     assert simhash.near_duplicates(df.limit(0)).count() == 0 and simhash.keep_one(df.limit(0)).count() == 0
+
+
+def variants(r, base, n, share, new):
+    """n texts of base's words, each with a passage of its own of so many new words in place of a share of them."""
+    out = []
+    for i in range(n):
+        w, k = list(base), round(len(base) * share)
+        at = r.randrange(len(w) - k)
+        w[at : at + k] = [f"n{new}x{i}y{j}" for j in range(k)]
+        out.append(" ".join(w))
+    return out
+
+
+def test_hub_links_its_variants(spark):
+    r = random.Random(3)
+    base = [f"b{r.randrange(10_000)}" for _ in range(300)]
+    texts = variants(r, base, 300, 0.085, 0)
+    texts[150] = " ".join(base)
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in map(str.split, texts)]
+    alone = [i for i in range(300) if not any(j != i and j != 150 and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) for j in range(300))]
+    assert len(alone) >= 3  # members that only the hub links
+    got = {x["id"]: x["component"] for x in simhash.similar_texts(spark.createDataFrame(list(enumerate(texts)), "id long, text string")).collect()}
+    want = {i: c for i, c in brute_similar(dict(enumerate(texts))).items()}
+    assert {i: got.get(i, i) for i in want} == want and set(want.values()) == {0}
+
+
+@pytest.mark.parametrize("tile", [3, 4096])
+def test_join_lists_every_pair_alike(spark, tile):
+    r, sets, rows = random.Random(tile), {}, []
+    core = list(range(100))
+    for i in range(120):
+        mine = set(r.sample(core, r.randrange(70, 100))) | {r.randrange(1000, 10**6) for _ in range(r.randrange(20))} if i % 3 else {r.randrange(10**6) for _ in range(r.randrange(1, 9))}
+        sets[i] = mine
+        h = np.array(sorted(mine), np.uint64)
+        prefix = simhash.prefix_of(h, np.arange(50, dtype=np.uint64), np.arange(50, 0, -1))
+        rows.append((i, len(mine), prefix.astype(np.int64).tolist(), i % 7))
+    got = [(x["a"], x["b"]) for x in simhash.alike(spark.createDataFrame(rows, "id long, n long, prefix array<long>, group long"), tile).collect()]
+    alike = {(i, j) for i in sets for j in range(i + 1, 120) if i % 7 != j % 7 and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
+    assert len(set(got)) == len(got) and len(alike) > 20 and alike <= set(got) and all(a < b and a % 7 != b % 7 for a, b in got)
