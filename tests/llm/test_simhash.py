@@ -161,3 +161,20 @@ def test_join_lists_every_pair_alike(spark, tile):
     got = [(x["a"], x["b"]) for x in simhash.alike(spark.createDataFrame(rows, "id long, n long, prefix array<long>, group long"), tile).collect()]
     alike = {(i, j) for i in sets for j in range(i + 1, 120) if i % 7 != j % 7 and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
     assert len(set(got)) == len(got) and len(alike) > 20 and alike <= set(got) and all(a < b and a % 7 != b % 7 for a, b in got)
+
+
+def test_recall_near_the_threshold(spark):
+    pairs, new = [], iter(range(10**6))
+    for n in (60, 200, 500):
+        for extra in (0.20, 0.24):
+            for _ in range(20):
+                w = [f"q{next(new)}" for _ in range(n)]
+                m = n - 4
+                pairs.append((" ".join(w), " ".join(w + [f"z{next(new)}" for _ in range(int(m * extra))])))
+                w = [f"q{next(new)}" for _ in range(n)]
+                v, k = list(w), int(m * extra / (2 + extra)) - 4  # replaced: k words change k + 4 shingles of each
+                v[20 : 20 + k] = [f"z{next(new)}" for _ in range(k)]
+                pairs.append((" ".join(w), " ".join(v)))
+    texts = [t for p in pairs for t in p]
+    got = {x["id"]: x["component"] for x in simhash.similar_texts(spark.createDataFrame(list(enumerate(texts)), "id long, text string")).collect()}
+    assert all(got.get(2 * i + 1) == 2 * i and 2 * i not in got for i in range(len(pairs)))
