@@ -148,7 +148,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 
 # ---- near-duplicate texts: wide fingerprints link most of a group, an exact join of shingle sets finds the rest ----
 
-#: Five-word shingles, compared as sets. Fingerprints of 256 bits of three-word shingles only link in advance; what they miss, the join of shingle sets finds.
+#: Five-word shingles, compared as sets. Fingerprints of 256 bits of those sets only link in advance; what they miss, the join of shingle sets finds.
 SHINGLE, SIMILARITY = 5, 0.8
 WIDE, FAMILIES, FAMILY_BITS, WIDE_RADIUS = 4, 64, 24, 64
 #: Classes of a shingle's run beyond which it is cut into tiles.
@@ -159,26 +159,19 @@ SAMPLED, FREQUENT, LISTED = 64, 4, 65_536
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93)]
 
 
-def wide_of(texts: list[bytes], shingle: int = 3, seed: int = 42) -> np.ndarray:
-    """Fingerprints of 256 bits as rows of 4 uint64: each shingle's hash is mixed four ways."""
-    digest, out = xxhash.xxh64_intdigest, np.zeros((len(texts), 32), np.uint8)
-    for i, text in enumerate(texts):
-        words = text.lower().split()
-        if not words:
-            continue
-        flat, ends = b" ".join(words), np.cumsum([len(w) + 1 for w in words]) - 1
-        starts = np.concatenate([[0], ends[:-1] + 1])
-        width = min(shingle, len(words))
-        first, last = starts[: len(words) - width + 1].tolist(), ends[width - 1 :].tolist()
+def wide_of(sets: list[np.ndarray]) -> np.ndarray:
+    """Fingerprints of 256 bits as rows of 4 uint64, of sets of shingle hashes: each hash is mixed four ways and votes once."""
+    out = np.zeros((len(sets), 32), np.uint8)
+    for i, hashes in enumerate(sets):
         votes = np.zeros(64 * WIDE, np.int64)
-        for at in range(0, len(first), _SHINGLES // WIDE):
-            h = np.array([digest(flat[a:b], seed) for a, b in zip(first[at : at + _SHINGLES // WIDE], last[at : at + _SHINGLES // WIDE], strict=True)], "<u8")
+        for at in range(0, len(hashes), _SHINGLES // WIDE):
+            h = hashes[at : at + _SHINGLES // WIDE]
             x = h[:, None] * np.array(_MIX)
             x ^= x >> np.uint64(32)
             x *= _MIX[0]
             x ^= x >> np.uint64(29)
             votes += count_bits(x.view(np.uint8).reshape(len(h), 32))
-        out[i] = np.packbits(votes * 2 > len(first), bitorder="little")
+        out[i] = np.packbits(votes * 2 > len(hashes), bitorder="little")
     return out.view("<u8")
 
 
@@ -386,7 +379,7 @@ def similar_texts(docs: DataFrame) -> DataFrame:
                 texts = blobs(piece.column(1))
                 sets = [shingle_hashes(t) for t in texts]
                 prefix = pa.array([prefix_of(h, frequent, counts).view(np.int64) for h in sets], pa.list_(pa.int64()))
-                wide = wide_of(texts).view(np.int64)
+                wide = wide_of(sets).view(np.int64)
                 same = np.array([xxhash.xxh3_64_intdigest(b" ".join(t.lower().split())) for t in texts], np.uint64).view(np.int64)
                 size = pa.array([len(t.split()) for t in texts], pa.int64())
                 n = pa.array([len(h) for h in sets], pa.int64())

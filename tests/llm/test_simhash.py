@@ -178,3 +178,12 @@ def test_recall_near_the_threshold(spark):
     texts = [t for p in pairs for t in p]
     got = {x["id"]: x["component"] for x in simhash.similar_texts(spark.createDataFrame(list(enumerate(texts)), "id long, text string")).collect()}
     assert all(got.get(2 * i + 1) == 2 * i and 2 * i not in got for i in range(len(pairs)))
+
+
+def test_repeated_lines_count_once(spark):
+    body, line = " ".join(f"w{k}" for k in range(300)), " the same old line comes again"
+    once, often = body + line, body + line * 200
+    a, b = simhash.wide_of([simhash.shingle_hashes(t.encode()) for t in (once, often)])
+    assert sum(int(x ^ y).bit_count() for x, y in zip(a, b, strict=True)) <= 30
+    df = spark.createDataFrame([(1, once), (2, often), (3, body[:900])], "doc_id long, text string")
+    assert sorted(x["doc_id"] for x in simhash.keep_one(df).collect()) == [1, 3]
