@@ -367,8 +367,8 @@ def similar_texts(docs: DataFrame) -> DataFrame:
     """(id, component) of documents that share a group of near-duplicate texts with another: rows of (id, text), ids distinct and not null.
 
     Texts with equal word sequences are one class. Two searches find candidates, and both verify them by the similarity of their sets of five-word shingles (fewer words: the whole
-    sequence). First, classes that agree in all coordinates of one of the families: each with the first of its key, unless their coordinates differ by more than ``WIDE_RADIUS`` or they
-    are farther apart than that. That links most of a large group at few pairs a member, and may miss links. Then all that is left: classes of different groups that share a shingle
+    sequence). First, classes that agree in all coordinates of one of the families: each with the first of its key, unless they are farther apart than
+    ``WIDE_RADIUS`` bits (bit sampling; distances to pivots would discard next to nothing before that). That links most of a large group at few pairs a member, and may miss links. Then all that is left: classes of different groups that share a shingle
     of their prefixes (``prefix_of``), every one with every other. So groups are exact, and pairs within what the first search has linked aren't listed."""
     kinds = ", ".join(f"f{i} long" for i in range(WIDE))
     frequent, counts = frequent_shingles(docs)
@@ -392,10 +392,6 @@ def similar_texts(docs: DataFrame) -> DataFrame:
     pairs = cut(keys.mapInArrow(_key_pairs, "a long, b long").distinct())
     other = [F.col(f"f{i}").alias(f"g{i}") for i in range(WIDE)]
     met = pairs.join(fps.withColumnRenamed("id", "a"), "a").join(fps.select(F.col("id").alias("b"), *other), "b")
-    for i in range(WIDE):
-        for w in SPLITS:
-            r = F.lit(reference(i, w))
-            met = met.where(F.abs(hamming(F.col(f"f{i}"), r) - hamming(F.col(f"g{i}"), r)) <= WIDE_RADIUS)
     apart = sum((hamming(F.col(f"f{i}"), F.col(f"g{i}")) for i in range(1, WIDE)), hamming(F.col("f0"), F.col("g0")))
     near = cut(met.where(apart <= WIDE_RADIUS).select("a", "b"))
     groups = components(verified(docs, near))
