@@ -404,11 +404,18 @@ def similar_texts(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with only the least doc_id of each group of near-duplicate texts (``similar_texts``). Rows without an id stay; rows that repeat a kept id all stay, as they are one document,
-    which is compared by its least text; documents without words are no one's copies and stay."""
+    """``docs`` with only the least doc_id of each group of near-duplicate texts (``similar_texts``). Rows without an id stay; documents without words are no one's copies and stay. Rows
+    that repeat an id with different texts are compared and dropped each by its own text, and of a group's least id one text is kept; rows equal in id and text are one document and all
+    stay or go."""
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("text")).where(F.col("id").isNotNull() & F.col("text").rlike(r"[^\x20\x09-\x0D]"))
-    repeated = rows.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("id")
-    if not repeated.isEmpty():
-        rows = rows.groupBy("id").agg(F.min("text").alias("text"))
-    drop = similar_texts(rows).where("id <> component").select(F.col("id").alias("__drop"))
-    return docs.join(drop, docs[doc_id] == drop["__drop"], "left_anti")
+    if rows.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
+        drop = similar_texts(rows).where("id <> component").select(F.col("id").alias("__drop"))
+        return docs.join(drop, docs[doc_id] == drop["__drop"], "left_anti")
+    own = cut(rows.distinct().withColumn("key", F.monotonically_increasing_id()))
+    groups = cut(similar_texts(own.select(F.col("key").alias("id"), "text")).withColumnRenamed("id", "key"))
+    groups = groups.unionByName(groups.select(F.col("component").alias("key"), "component").distinct())
+    members = groups.join(own.select("key", "id", F.struct("id", F.xxhash64("text").alias("h"), "key").alias("order")), "key")
+    least = members.groupBy("component").agg(F.min("order").alias("least"))
+    out = members.join(least, "component").where("key <> least.key").select("key")
+    drop = own.join(out, "key").select(F.col("id").alias("__drop"), F.col("text").alias("__text"))
+    return docs.join(drop, (docs[doc_id].cast("long") == drop["__drop"]) & (docs[text].cast("string") == drop["__text"]), "left_anti")

@@ -187,3 +187,11 @@ def test_repeated_lines_count_once(spark):
     assert sum(int(x ^ y).bit_count() for x, y in zip(a, b, strict=True)) <= 30
     df = spark.createDataFrame([(1, once), (2, often), (3, body[:900])], "doc_id long, text string")
     assert sorted(x["doc_id"] for x in simhash.keep_one(df).collect()) == [1, 3]
+
+
+def test_repeated_ids_are_compared_row_by_row(spark):
+    x, y, z = (" ".join(f"{c}{k}" for k in range(100)) for c in "xyz")
+    rows = [(1, y), (2, x), (2, y + " more"), (2, z), (2, z), (3, z + " more"), (4, x + " more"), (4, "alone here"), (5, x), (5, x + " more"), (6, ""), (None, x)]
+    got = [(r["doc_id"], r["text"]) for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    want = [(1, y), (2, x), (2, z), (2, z), (4, "alone here"), (6, ""), (None, x)]
+    assert sorted(map(str, got)) == sorted(map(str, want))
