@@ -226,6 +226,31 @@ def prefix_of(hashes: np.ndarray, frequent: np.ndarray, counts: np.ndarray) -> n
     return hashes[: n - math.ceil(SIMILARITY * n * (1 - 1e-12)) + 1]
 
 
+def sketch_of(hashes: np.ndarray) -> bytes:
+    """A set's parities in buckets of its hashes, a power of two of at least twice its size. Two sets' sketches differ in no more bits than the sets in members."""
+    b = 1 << max(6, (2 * len(hashes) - 1).bit_length())
+    return np.packbits(np.bincount((hashes & np.uint64(b - 1)).astype(np.int64), minlength=b).astype(np.uint8) & 1, bitorder="little").tobytes()
+
+
+def sketch_distance(x: bytes, y: bytes) -> int:
+    """Differing bits, the longer sketch folded to the shorter's buckets."""
+    if len(x) > len(y):
+        x, y = y, x
+    a, b, n = int.from_bytes(x, "little"), int.from_bytes(y, "little"), 8 * len(y)
+    while n > 8 * len(x):
+        n >>= 1
+        b = (b ^ (b >> n)) & ((1 << n) - 1)
+    return (a ^ b).bit_count()
+
+
+def _possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    most = (1 - SIMILARITY) / (1 + SIMILARITY) * (1 + 1e-12)
+    for batch in batches:
+        m, n, x, y = (c.to_pylist() for c in batch.columns[2:])
+        ok = [sketch_distance(u, v) <= most * (i + j) for i, j, u, v in zip(m, n, x, y, strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+
 def _meet(span: np.ndarray, at: np.ndarray, group: np.ndarray, side: np.ndarray | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(i, j) numbers of rows of one run, of different groups, that can be ``SIMILARITY`` alike if this is the first shingle that they share; ``at`` numbers the runs, rows of a run being
     side by side. A pair that is alike passes at its first shingle, so none is lost."""
@@ -355,8 +380,11 @@ def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(1)], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
 
-def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Those pairs (a, b) of ids whose texts' sets of shingles are ``SIMILARITY`` alike."""
+def verified(docs: DataFrame, sketches: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Those pairs (a, b) of ids whose texts' sets of shingles are ``SIMILARITY`` alike. ``sketches`` (id, n, sketch) first discard pairs whose sets differ in too many members for that,
+    so that few texts are fetched."""
+    one, two = (sketches.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}")) for x in "ab")
+    pairs = cut(pairs.join(one, "a").join(two, "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(_possible, "a long, b long"))
     wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
     texts = cut(docs.select("id", "text").join(wanted, "id", "left_semi"))
     both = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("y")), "b")
@@ -382,10 +410,10 @@ def similar_texts(docs: DataFrame) -> DataFrame:
                 wide = wide_of(sets).view(np.int64)
                 same = np.array([xxhash.xxh3_64_intdigest(b" ".join(t.lower().split())) for t in texts], np.uint64).view(np.int64)
                 size = pa.array([len(t.split()) for t in texts], pa.int64())
-                n = pa.array([len(h) for h in sets], pa.int64())
-                yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(same), size, *[pa.array(wide[:, i]) for i in range(WIDE)], n, prefix], names=["id", "same", "size", *[f"f{i}" for i in range(WIDE)], "n", "prefix"])
+                n, sketch = pa.array([len(h) for h in sets], pa.int64()), pa.array([sketch_of(h) for h in sets], pa.binary())
+                yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(same), size, *[pa.array(wide[:, i]) for i in range(WIDE)], n, prefix, sketch], names=["id", "same", "size", *[f"f{i}" for i in range(WIDE)], "n", "prefix", "sketch"])
 
-    table = cut(docs.select("id", "text").mapInArrow(run, f"id long, same long, size long, {kinds}, n long, prefix array<long>"))
+    table = cut(docs.select("id", "text").mapInArrow(run, f"id long, same long, size long, {kinds}, n long, prefix array<long>, sketch binary"))
     classes = cut(table.groupBy("same", "size", *[f"f{i}" for i in range(WIDE)]).agg(F.min("id").alias("id")))
     fps = classes.select("id", *[f"f{i}" for i in range(WIDE)])
     keys = fps.mapInArrow(_family_keys, "id long, key long").repartition("key").sortWithinPartitions("key", "id")
@@ -393,12 +421,13 @@ def similar_texts(docs: DataFrame) -> DataFrame:
     other = [F.col(f"f{i}").alias(f"g{i}") for i in range(WIDE)]
     met = pairs.join(fps.withColumnRenamed("id", "a"), "a").join(fps.select(F.col("id").alias("b"), *other), "b")
     apart = sum((hamming(F.col(f"f{i}"), F.col(f"g{i}")) for i in range(1, WIDE)), hamming(F.col("f0"), F.col("g0")))
-    near = cut(met.where(apart <= WIDE_RADIUS).select("a", "b"))
-    groups = components(verified(docs, near))
+    near = met.where(apart <= WIDE_RADIUS).select("a", "b")
+    sketches = table.select("id", "n", "sketch")
+    groups = components(verified(docs, sketches, near))
     sets = table.select("id", "n", "prefix").join(classes.select("id"), "id").join(groups.withColumnRenamed("node", "id"), "id", "left")
-    rest = cut(alike(sets.select("id", "n", "prefix", F.coalesce("component", "id").alias("group"))))
-    linked = verified(docs, rest).unionByName(groups.select(F.col("component").alias("a"), F.col("node").alias("b")))
-    own = table.drop("n", "prefix").join(classes.withColumnRenamed("id", "least"), ["same", "size", *[f"f{i}" for i in range(WIDE)]]).where("id <> least").select(F.col("least").alias("a"), F.col("id").alias("b"))
+    rest = alike(sets.select("id", "n", "prefix", F.coalesce("component", "id").alias("group")))
+    linked = verified(docs, sketches, rest).unionByName(groups.select(F.col("component").alias("a"), F.col("node").alias("b")))
+    own = table.drop("n", "prefix", "sketch").join(classes.withColumnRenamed("id", "least"), ["same", "size", *[f"f{i}" for i in range(WIDE)]]).where("id <> least").select(F.col("least").alias("a"), F.col("id").alias("b"))
     found = components(linked.unionByName(own))
     return found.select(F.col("node").alias("id"), "component")
 

@@ -195,3 +195,12 @@ def test_repeated_ids_are_compared_row_by_row(spark):
     got = [(r["doc_id"], r["text"]) for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
     want = [(1, y), (2, x), (2, z), (2, z), (4, "alone here"), (6, ""), (None, x)]
     assert sorted(map(str, got)) == sorted(map(str, want))
+
+
+def test_sketches_never_exceed_the_difference():
+    r = random.Random(9)
+    for _ in range(300):
+        x = {r.getrandbits(64) for _ in range(r.randrange(1, 400))}
+        y = set(r.sample(sorted(x), r.randrange(len(x) + 1))) | {r.getrandbits(64) for _ in range(r.randrange(1, 200))}
+        a, b = (simhash.sketch_of(np.array(sorted(s), np.uint64)) for s in (x, y))
+        assert simhash.sketch_distance(a, b) == simhash.sketch_distance(b, a) <= len(x ^ y) and simhash.sketch_distance(a, a) == 0
