@@ -38,7 +38,7 @@ SPAN = MATCH - KMER + 1  # windows of 32-byte strings in a window
 SIDE = (SPAN - 1) // 2  # a window with more bytes than these left of its anchor is keyed by that side
 #: Entries that a task reduces at once, different entries of an anchor in a task that make it frequent, bytes of a batch of an index.
 TASK_ENTRIES, FREQUENT, INDEX_BYTES = 1 << 20, 16, 1 << 20
-BUCKETS_PER_PARTITION = 4
+BUCKETS_PER_PARTITION, BUCKET_BYTES = 4, 1 << 25
 _CHUNK = 1 << 15
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03)
 _LOW = np.uint64((1 << 24) - 1)
@@ -248,12 +248,14 @@ def _decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield _place_batch(both[at : at + (1 << 16)])
 
 
-def _fetch(buckets: int):
-    """(d, h, text, places) to the windows' bytes by the second key, each side of the anchor apart."""
+def _fetch(buckets: int, text: str):
+    """Documents with their places (null: none) to the windows' bytes by the second key, each side of the anchor apart."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in pieces(batch, 2):
+            names = batch.schema.names
+            slim = pa.RecordBatch.from_arrays([batch.column(names.index(c)) for c in ("__kd", "__kh", text, "__places")], names=["d", "h", "text", "places"])
+            for piece in pieces(slim.filter(slim.column(3).is_valid()), 2):
                 d, h = piece.column(0).to_numpy(), piece.column(1).to_numpy().astype(np.uint32)
                 data, bounds = joined(blobs(piece.column(2)))
                 count = np.asarray(pc.list_value_length(piece.column(3)), np.int64)
@@ -277,8 +279,8 @@ def _fetch(buckets: int):
                 lens = rows["n"].astype(np.int64) + MATCH - 1
                 cuts = np.zeros(len(rows) + 1, np.int64)
                 np.cumsum(lens, out=cuts[1:])
-                text = data[np.repeat(at - cuts[:-1], lens) + np.arange(int(cuts[-1]))]
-                yield _blob([(b, 0, count, body) for b, count, body in _packed(rows["key"], rows, buckets, (text, cuts))])
+                strings = data[np.repeat(at - cuts[:-1], lens) + np.arange(int(cuts[-1]))]
+                yield _blob([(b, 0, count, body) for b, count, body in _packed(rows["key"], rows, buckets, (strings, cuts))])
 
     return run
 
@@ -368,25 +370,39 @@ def _identity(doc_id: Column, text: Column) -> tuple[Column, Column]:
     return d, F.shiftrightunsigned(content, 33) + F.when(doc_id.isNull(), F.lit(1 << 31)).otherwise(F.lit(0)).cast("long")
 
 
-def repeats(docs: DataFrame, buckets: int | None = None) -> DataFrame:
-    """(d, h, places): windows that are repeats, by document of (d, h, text)."""
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    buckets = buckets or n * BUCKETS_PER_PARTITION
+def bucket_count(rows: DataFrame) -> int:
+    """Buckets that entries are dealt to: at least ``BUCKETS_PER_PARTITION`` a partition, and so many more for a large input that a bucket stays about ``BUCKET_BYTES`` of it (by
+    the planner's estimate, where it has one)."""
+    least = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) * BUCKETS_PER_PARTITION
+    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return least if size >= 1 << 60 else max(least, min(size // BUCKET_BYTES, 1 << 20))
+
+
+def repeats(rows: DataFrame, text: str, buckets: int | None = None) -> DataFrame:
+    """(__d, __h, __places): windows that are repeats, by document of ``rows`` (which hold __kd, __kh and the text).
+
+    The texts are joined with the places whose bytes are wanted by the same keys, in the same columns and the same way (outer) as the caller joins them with the result: so Spark
+    shuffles them once and reuses that exchange."""
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    slim = rows.select("__kd", "__kh", text)
+    buckets = buckets or bucket_count(slim)
     dealt = lambda blobs_: blobs_.repartition(n, "bucket").sortWithinPartitions("bucket")
-    places = cut(dealt(docs.mapInArrow(_find(buckets), _BLOB)).mapInArrow(_decide, _PLACE))
+    places = cut(dealt(slim.mapInArrow(_find(buckets), _BLOB)).mapInArrow(_decide, _PLACE))
     kind = F.col("place").bitwiseAND(F.lit(1))
-    lists = lambda df: df.groupBy("d", "h").agg(F.collect_list("place").alias("places"))  # noqa: E731  at most a text's windows
-    wanted = docs.join(lists(places.where(kind == FETCH)), ["d", "h"]).select("d", "h", "text", "places")
-    found = dealt(wanted.mapInArrow(_fetch(buckets), _BLOB)).mapInArrow(_match, _PLACE)
-    return lists(places.where(kind == REPEAT).unionByName(found))
+    lists = lambda df, to: df.groupBy(F.col("d").alias("__d"), F.col("h").alias("__h")).agg(F.collect_list("place").alias(to))  # noqa: E731  at most a text's windows
+    wanted = _beside(rows, lists(places.where(kind == FETCH), "__places"))
+    found = dealt(wanted.mapInArrow(_fetch(buckets, text), _BLOB)).mapInArrow(_match, _PLACE)
+    return lists(places.where(kind == REPEAT).unionByName(found), "__places")
+
+
+def _beside(rows: DataFrame, places: DataFrame) -> DataFrame:
+    return rows.join(places, (F.col("__kd") == F.col("__d")) & (F.col("__kh") == F.col("__h")), "left")
 
 
 def _with_repeats(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     d, h = _identity(F.col(doc_id), F.col(text))
-    slim = docs.select(d.alias("d"), h.alias("h"), F.col(text).alias("text"))
-    marks = cut(repeats(slim)).select(F.col("d").alias("__d"), F.col("h").alias("__h"), F.col("places").alias("__places"))
     rows = docs.withColumns({"__kd": d, "__kh": h})
-    return rows.join(marks, (F.col("__kd") == F.col("__d")) & (F.col("__kh") == F.col("__h")), "left").drop("__kd", "__kh", "__d", "__h")
+    return _beside(rows, repeats(rows, text)).drop("__kd", "__kh", "__d", "__h")
 
 
 def _spans(places: pa.Array, i: int) -> tuple[np.ndarray, np.ndarray]:
