@@ -2,26 +2,26 @@
 
 1. A fingerprint of each text: 64 majority votes of the XXH64 hashes of its three-word shingles, copies counted.
 2. Texts with equal fingerprints become one class; only classes go on.
-3. A pivot distance table: the Hamming distances of each fingerprint to reference fingerprints. The references come in
-   four families, one for each 16-bit lane: they agree outside their lane, so that within a family, distances differ by what
-   the lane alone contributes. By the triangle inequality two fingerprints within ``RADIUS`` = 2 bits differ by at most
-   2 in every coordinate; and as two differing bits touch at most two lanes, they agree in all coordinates of at least
-   two families. So candidates are an equi-join on the coordinates of each of the six pairs of families.
-4. Candidates whose largest coordinate difference exceeds the radius are dropped; survivors are verified by their bits.
-5. A set of fingerprints that share such a key with more than ``DENSE`` others is a dense cluster: its pairs aren't listed.
-   There, reference fingerprints are local: each member's own and its one-bit neighbours. Members at distance 1 or less
-   from the same local reference are within 2 of each other (triangle inequality), and any two within 2 share one; so
+3. A pivot distance table: the Hamming distances of each class's fingerprint to ``PIVOTS`` reference fingerprints, computed once and carried packed, a byte each.
+4. Classes meet by the pigeonhole rule: two differing bits touch at most two of the four 16-bit lanes, so fingerprints within ``RADIUS`` = 2 bits have two
+   whole lanes in common, and an equi-join on each of the six pairs of lanes loses none. Of those that meet, pairs whose largest coordinate difference exceeds the radius are
+   discarded (by the triangle inequality they are too far apart); survivors are verified by their bits.
+5. A set of fingerprints that share such a key with more than ``DENSE`` others is a dense cluster: its pairs aren't listed. There, references are local: each member's own fingerprint
+   and its one-bit neighbours. Members at distance 1 or less from the same local reference are within 2 of each other (triangle inequality), and any two within 2 share one; so
    each reference links its members to the least of them. That is exact and linear in the cluster's size.
 6. Components of the links, by stars.
 
-Nulls and empty texts have fingerprint zero, linked like any other. Rows without a doc_id get a fingerprint and no
-component. Repeated ids are one node.
+Results by case. Null and empty texts, or texts of white space, have fingerprint zero, linked like any other. Very long texts are read whole, in runs of shingles. Rows without a doc_id
+get a fingerprint and a null component, and link nothing. A repeated doc_id is one node: each row has its own fingerprint, and what any of its rows links is tied
+together. Equal rows are returned as often as they occur. Ties don't arise (a bit is set by more than half). An empty table gives an empty result. Columns beyond the id and
+the text are not read, whatever their names.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -36,9 +36,8 @@ from decafix.plans.lineage import cut
 
 RADIUS = 2
 LANES, LANE_BITS = 4, 16
-#: References of a family: the lane's words that each distance is taken to. The 16 unit words and zero determine a lane's
-#: coordinates; the three half-split words are further coordinates for the difference test.
-SPLITS = (0x00FF, 0x0F0F, 0x3333)
+#: Reference fingerprints of the pivot distance table, drawn from a fixed seed.
+PIVOTS = 16
 #: Classes that share a key up to which their pairs are listed.
 DENSE = 32
 _SHINGLES = 1 << 18
@@ -90,39 +89,35 @@ def hamming(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
 
-def reference(lane: int, word: int) -> int:
-    """A reference fingerprint of a family: ``word`` in its lane, zeros elsewhere, as a signed 64-bit value."""
-    x = word << (lane * LANE_BITS)
-    return x - (1 << 64) if x >> 63 else x
+def references() -> list[int]:
+    return np.random.default_rng(64).integers(-(1 << 63), 1 << 63, PIVOTS).tolist()
 
 
-def families(fps: DataFrame) -> DataFrame:
-    """Adds each family's key. Distances to its 17 references zero and 2^i are d0 and d0 +- 1, the sign being bit i of the
-    lane: so relative to d0, a family's coordinates are together the lane's word, which stands for them as one key."""
-    return fps.withColumns({f"k{n}": F.shiftrightunsigned("fp", n * LANE_BITS).bitwiseAND(F.lit(0xFFFF)) for n in range(LANES)})
-
-
-COORDINATES = [f"c{n}_{i}" for n in range(LANES) for i in range(len(SPLITS))]
+def coordinates(fps: DataFrame) -> DataFrame:
+    """The pivot distance table: distances to the references in BIGINTs p0, p1, ..., eight to each."""
+    far = [F.shiftleft(hamming(F.col("fp"), F.lit(r)).cast("long"), 8 * (i % 8)) for i, r in enumerate(references())]
+    return fps.withColumns({f"p{i // 8}": reduce(lambda x, y: x.bitwiseOR(y), far[i : i + 8]) for i in range(0, PIVOTS, 8)})
 
 
-def coordinates(fps: DataFrame) -> DataFrame:
-    """The pivot distance table: Hamming distances to the references whose words split a lane, for the difference test."""
-    return fps.withColumns({f"c{n}_{i}": hamming(F.col("fp"), F.lit(reference(n, w))) for n in range(LANES) for i, w in enumerate(SPLITS)})
+def within(p: str, q: str) -> Column:
+    """No coordinate of two packed words differs by more than the radius."""
+    at = lambda c, i: F.shiftright(F.col(c), 8 * i).bitwiseAND(F.lit(255))
+    return F.greatest(*[F.abs(at(p, i) - at(q, i)) for i in range(8)]) <= RADIUS
 
 
 def links(fps: DataFrame) -> DataFrame:
     """Links (a, b) between classes, rows of (fp, id): enough of them to connect every two within the radius."""
-    pairs = list(combinations(range(LANES), 2))
-    keys = F.array(*[F.struct(F.lit(i).cast("byte").alias("family"), (F.shiftleft(F.col(f"k{x}"), LANE_BITS) + F.col(f"k{y}")).alias("key")) for i, (x, y) in enumerate(pairs)])
-    rows = families(fps).select("fp", "id", F.explode(keys).alias("f")).select("fp", "id", "f.family", "f.key")
-    sizes = rows.groupBy("family", "key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    rows = cut(rows.join(sizes, ["family", "key"]))
+    lane = [F.shiftrightunsigned("fp", n * LANE_BITS).bitwiseAND(F.lit((1 << LANE_BITS) - 1)) for n in range(LANES)]
+    keys = F.array(*[F.struct(F.lit(i).cast("byte").alias("lanes"), (F.shiftleft(lane[x], LANE_BITS) + lane[y]).alias("key")) for i, (x, y) in enumerate(combinations(range(LANES), 2))])
+    rows = fps.select("fp", "id", F.explode(keys).alias("f")).select("fp", "id", "f.lanes", "f.key")
+    sizes = rows.groupBy("lanes", "key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    rows = cut(rows.join(sizes, ["lanes", "key"]))
     few = coordinates(rows.where(F.col("size") <= DENSE)).drop("size")
-    a, b = few, few.select("family", "key", *[F.col(c).alias(f"{c}_2") for c in ("fp", "id", *COORDINATES)])
-    near = [F.abs(F.col(c) - F.col(f"{c}_2")) <= RADIUS for c in COORDINATES]
-    survive = a.join(b, ["family", "key"]).where("id < id_2")
-    for n in near:
-        survive = survive.where(n)
+    words = [f"p{i}" for i in range(PIVOTS // 8)]
+    other = few.select("lanes", "key", *[F.col(c).alias(f"{c}_2") for c in ("fp", "id", *words)])
+    survive = few.join(other, ["lanes", "key"]).where("id < id_2")
+    for w in words:
+        survive = survive.where(within(w, f"{w}_2"))
     sparse = survive.where(hamming(F.col("fp"), F.col("fp_2")) <= RADIUS).select(F.col("id").alias("a"), F.col("id_2").alias("b"))
     return sparse.unionByName(_dense(rows.where(F.col("size") > DENSE).select("fp", "id").distinct()))
 
@@ -140,7 +135,11 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     """(doc_id, fingerprint hex, component_id) for every row of ``docs``."""
     fp = cut(fingerprints(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))))
     classes = cut(fp.where("doc_id IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("id")))
-    linked = components(links(classes))
+    # ids with several fingerprints tie their classes together
+    known = fp.where("doc_id IS NOT NULL")
+    again = known.groupBy("doc_id").agg(F.min("fp").alias("low"), F.max("fp").alias("high")).where("low <> high").select("doc_id")
+    ties = known.join(again, "doc_id", "left_semi").join(classes, "fp").select(F.col("id").alias("a"), F.col("doc_id").alias("b"))
+    linked = components(links(classes).unionByName(ties))
     least = classes.join(linked, classes["id"] == linked["node"], "left").select("fp", F.coalesce("component", "id").alias("component_id"))
     out = fp.join(least, "fp", "left")
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))

@@ -124,6 +124,30 @@ def test_nulls_ties_and_empty_table(spark):
     assert simhash.near_duplicates(df.limit(0)).count() == 0 and simhash.keep_one(df.limit(0)).count() == 0
 
 
+def test_repeated_id_is_one_node(spark):
+    r = random.Random(2)
+    a, b, c = (" ".join(f"{x}{r.randrange(999)}" for _ in range(80)) for x in "abc")
+    df = spark.createDataFrame([(1, a), (2, b), (2, a), (3, b), (9, c), (7, c), (8, None), (7, ""), (None, a)], "doc_id long, text string")
+    got = defaultdict(set)
+    for x in simhash.near_duplicates(df).collect():
+        got[x["doc_id"]].add(x["component_id"])
+    assert got == {1: {1}, 2: {1}, 3: {1}, 7: {7}, 8: {7}, 9: {7}, None: {None}}
+
+
+def test_pivot_table_discards_only_what_is_too_far(spark):
+    r = random.Random(4)
+    fps = [r.getrandbits(64) for _ in range(40)]
+    pairs = [(x, x ^ sum(1 << k for k in r.sample(range(64), n))) for x in fps for n in (1, 2, 3, 30)]
+    signed = lambda v: v - (1 << 64) if v >> 63 else v
+    rows = simhash.coordinates(spark.createDataFrame([(i, signed(x)) for i, (x, _) in enumerate(pairs)], "i long, fp long"))
+    other = simhash.coordinates(spark.createDataFrame([(i, signed(y)) for i, (_, y) in enumerate(pairs)], "i long, fp long")).selectExpr("i", "p0 as p0_2", "p1 as p1_2")
+    met = rows.join(other, "i").where(simhash.within("p0", "p0_2") & simhash.within("p1", "p1_2"))
+    left = {x["i"] for x in met.collect()}
+    near = {i for i, (x, y) in enumerate(pairs) if (x ^ y).bit_count() <= 2}
+    far = {i for i, (x, y) in enumerate(pairs) if (x ^ y).bit_count() == 30}
+    assert near <= left and len(far & left) <= 2
+
+
 def variants(r, base, n, share, new):
     """n texts of base's words, each with a passage of its own of so many new words in place of a share of them."""
     out = []
