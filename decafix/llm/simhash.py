@@ -149,7 +149,10 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 
 #: Five-word shingles, compared as sets. Fingerprints of 256 bits of those sets only link in advance; what they miss, the join of shingle sets finds.
 SHINGLE, SIMILARITY = 5, 0.8
-WIDE, FAMILIES, FAMILY_BITS, WIDE_RADIUS = 4, 64, 24, 64
+WIDE, FAMILIES, FAMILY_BITS = 4, 24, 57
+#: In the search that links in advance: rows before a class in a family's order that are looked at, the nearest of them that are candidates within WIDE_RADIUS bits, and the nearest
+#: candidates of a class that are verified. None of them bounds what is found in the end.
+BESIDE, NEAREST, WIDE_RADIUS, TRIED = 8, 2, 56, 4
 #: Classes of a shingle's run beyond which it is cut into tiles.
 TILE = 4096
 #: One in so many documents is read for shingles that are frequent (FREQUENT or more of those documents), and so many of them are sent to all tasks. They only set the order in which
@@ -175,34 +178,41 @@ def wide_of(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def family_bits() -> np.ndarray:
-    """The bits of each family, drawn from a fixed seed: its references are zero and those single bits, whose distances relative to zero's are the bits."""
+    """The bits of each family in order, drawn from a fixed seed: its references are zero and those single bits, whose distances relative to zero's are the bits."""
     g = np.random.default_rng(20_240)
     return np.stack([g.permutation(64 * WIDE)[:FAMILY_BITS] for _ in range(FAMILIES)])
 
 
 def _family_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    places, weights = family_bits(), 1 << np.arange(FAMILY_BITS, dtype=np.int64)
+    """(key, id, fingerprint): for each family its number and its bits, the first of them highest, so that fingerprints that agree in many of the first bits are sorted side by side."""
+    places, weights = family_bits(), 1 << np.arange(FAMILY_BITS, dtype=np.int64)[::-1]
     for batch in batches:
         for at in range(0, batch.num_rows, 4096):
             part = batch.slice(at, 4096)
             wide = np.stack([part.column(i).to_numpy() for i in range(1, WIDE + 1)], axis=1).astype("<i8")
             bits = np.unpackbits(np.ascontiguousarray(wide).view(np.uint8), axis=1, bitorder="little")
             for f, p in enumerate(places):
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array((bits[:, p] @ weights) | (f << FAMILY_BITS))], names=["id", "key"])
+                yield pa.RecordBatch.from_arrays([pa.array((bits[:, p] @ weights) | (f << FAMILY_BITS)), *part.columns], names=["key", "id", *[f"f{i}" for i in range(WIDE)]])
 
 
-def _key_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs (a, b), a < b, of rows sorted by (key, id): each with the key's first member. A run of a key is never held."""
-    key, first = None, None
+def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, bits, other) of rows sorted by key: each with the nearest ``NEAREST`` of the ``BESIDE`` rows before it, as far as they differ in at most ``WIDE_RADIUS`` bits. No run is held."""
+    ids, fps = np.zeros(0, np.int64), np.zeros((0, WIDE), np.int64)
     for batch in batches:
-        a, b = [], []
-        for i, k in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            if k != key:
-                key, first = k, i
-            else:
-                a.append(first)
-                b.append(i)
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+        if not batch.num_rows:
+            continue
+        first = min(len(ids), BESIDE)
+        ids = np.concatenate([ids[-BESIDE:], batch.column(1).to_numpy()])
+        fps = np.concatenate([fps[-BESIDE:], np.stack([batch.column(2 + i).to_numpy() for i in range(WIDE)], axis=1)])
+        own = np.arange(first, len(ids))
+        far = np.full((len(own), BESIDE), 64 * WIDE + 1)
+        for step in range(1, min(BESIDE, len(ids) - 1) + 1):
+            i = own[own >= step]
+            far[i - first, step - 1] = np.bitwise_count((fps[i] ^ fps[i - step]).view(np.uint64)).sum(1)
+        best = np.argsort(far, axis=1, kind="stable")[:, :NEAREST]
+        row, col = np.nonzero(np.take_along_axis(far, best, 1) <= WIDE_RADIUS)
+        step = best[row, col] + 1
+        yield pa.RecordBatch.from_arrays([pa.array(ids[own[row]]), pa.array(far[row, step - 1]), pa.array(ids[own[row] - step])], names=["id", "bits", "other"])
 
 
 def shingle_hashes(text: bytes, seed: int = 42) -> np.ndarray:
@@ -387,16 +397,17 @@ def verified(docs: DataFrame, sketches: DataFrame, pairs: DataFrame) -> DataFram
     wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
     texts = cut(docs.select("id", "text").join(wanted, "id", "left_semi"))
     both = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("y")), "b")
-    return both.select("a", "b", "x", "y").mapInArrow(_similar, "a long, b long")
+    return cut(both.select("a", "b", "x", "y").mapInArrow(_similar, "a long, b long"))
 
 
 def similar_texts(docs: DataFrame) -> DataFrame:
     """(id, component) of documents that share a group of near-duplicate texts with another: rows of (id, text), ids distinct and not null.
 
     Texts with equal word sequences are one class. Two searches find candidates, and both verify them by the similarity of their sets of five-word shingles (fewer words: the whole
-    sequence). First, classes that agree in all coordinates of one of the families: each with the first of its key, unless they are farther apart than
-    ``WIDE_RADIUS`` bits (bit sampling; distances to pivots would discard next to nothing before that). That links most of a large group at few pairs a member, and may miss links. Then all that is left: classes of different groups that share a shingle
-    of their prefixes (``prefix_of``), every one with every other. So groups are exact, and pairs within what the first search has linked aren't listed."""
+    sequence). First, nearest neighbours by fingerprint: classes are sorted by the bits of each family (bit sampling), looked at beside the rows before them, and the nearest few of all
+    families verified. That links most of a large group at a few pairs a member, and may miss links. Then all that is left: classes of different groups that share a shingle of their
+    prefixes (``prefix_of``), every one with every other. So groups are exact, and pairs within what the first search has linked aren't listed. (Distances to a table of pivots would
+    discard next to nothing at these radii: sets that are 0.8 alike differ in some 37 of 256 bits, and unrelated ones differ in their distances to a pivot by 11 bits or so.)"""
     kinds = ", ".join(f"f{i} long" for i in range(WIDE))
     frequent, counts = frequent_shingles(docs)
 
@@ -415,12 +426,10 @@ def similar_texts(docs: DataFrame) -> DataFrame:
     table = cut(docs.select("id", "text").mapInArrow(run, f"id long, same long, size long, {kinds}, n long, prefix array<long>, sketch binary"))
     classes = cut(table.groupBy("same", "size", *[f"f{i}" for i in range(WIDE)]).agg(F.min("id").alias("id")))
     fps = classes.select("id", *[f"f{i}" for i in range(WIDE)])
-    keys = fps.mapInArrow(_family_keys, "id long, key long").repartition("key").sortWithinPartitions("key", "id")
-    pairs = cut(keys.mapInArrow(_key_pairs, "a long, b long").distinct())
-    other = [F.col(f"f{i}").alias(f"g{i}") for i in range(WIDE)]
-    met = pairs.join(fps.withColumnRenamed("id", "a"), "a").join(fps.select(F.col("id").alias("b"), *other), "b")
-    apart = sum((hamming(F.col(f"f{i}"), F.col(f"g{i}")) for i in range(1, WIDE)), hamming(F.col("f0"), F.col("g0")))
-    near = met.where(apart <= WIDE_RADIUS).select("a", "b")
+    keys = fps.mapInArrow(_family_keys, f"key long, id long, {kinds}").repartitionByRange("key", "id").sortWithinPartitions("key", "id")
+    best = keys.mapInArrow(_neighbours, "id long, bits long, other long").groupBy("id").agg(F.slice(F.sort_array(F.collect_set(F.struct("bits", "other"))), 1, TRIED).alias("best"))
+    tried = best.select("id", F.explode("best.other").alias("other"))
+    near = cut(tried.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct())
     sketches = table.select("id", "n", "sketch")
     groups = components(verified(docs, sketches, near))
     sets = table.select("id", "n", "prefix").join(classes.select("id"), "id").join(groups.withColumnRenamed("node", "id"), "id", "left")
