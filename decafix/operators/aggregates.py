@@ -27,15 +27,11 @@ def sum_reduced(df: DataFrame, x: str, precision: int, asked: int) -> DataFrame:
 
 
 def extreme(df: DataFrame, x: str, precision: int, largest: bool = True) -> DataFrame:
-    """The extreme value and how many rows attain it, in one pass: counts by value, reduced by the map side first.
-
-    The map side keeps (extreme, count) per distinct value, so the only shuffle is of partial counts; ``max_by`` then
-    takes the count that belongs to the extreme.
-    """
-    counts = bounded(df, x, precision).groupBy("fx").agg(F.count(F.lit(1)).alias("n"))
-    end = F.max if largest else F.min
-    by = F.max_by if largest else F.min_by
-    return counts.agg(decode(end("fx"), precision).alias("value"), by("n", "fx").alias("n_attained"))
+    """The extreme value and how many rows attain it (null and 0 of no rows): an extreme by partial aggregates, then one counting pass beside that one row."""
+    rows = bounded(df, x, precision).select("fx")
+    top = rows.agg((F.max if largest else F.min)("fx").alias("__top"))
+    counted = rows.join(F.broadcast(top), F.col("fx") == F.col("__top"))
+    return counted.agg(decode(F.max("fx"), precision).alias("value"), F.count("fx").alias("n_attained"))
 
 
 def arg_extreme(df: DataFrame, x: str, precision: int, keep: list[str], largest: bool = True) -> DataFrame:
@@ -54,17 +50,22 @@ def bucket(pos: str, start: int, window: int) -> Column:
     return F.expr(f"(`{pos}` - {int(start)}L) div {int(window)}L")
 
 
-def windowed_max(df: DataFrame, x: str, precision: int, start: int, end: int, window: int, pos: str = "pos") -> DataFrame:
-    """A maximum for each ``window`` rows of [start, end); the last bucket may be short."""
+def _between(rows: DataFrame, pos: str, start: int, end: int | None) -> DataFrame:
+    rows = rows.where(F.col(pos) >= start)
+    return rows if end is None else rows.where(F.col(pos) < end)
+
+
+def windowed_max(df: DataFrame, x: str, precision: int, start: int, end: int | None, window: int, pos: str = "pos") -> DataFrame:
+    """A maximum for each ``window`` rows of [start, end), to the end of the series if that is None; the last bucket may be short."""
     if window <= 0:
         raise ValueError("window must be positive")
-    rows = bounded(df, x, precision).where((F.col(pos) >= start) & (F.col(pos) < end))
+    rows = _between(bounded(df, x, precision), pos, start, end)
     return rows.groupBy(bucket(pos, start, window).alias("bucket")).agg(decode(F.max("fx"), precision).alias("max_value"), F.count("fx").alias("n"))
 
 
-def windowed_argmax(df: DataFrame, x: str, precision: int, start: int, end: int, window: int, pos: str = "pos") -> DataFrame:
+def windowed_argmax(df: DataFrame, x: str, precision: int, start: int, end: int | None, window: int, pos: str = "pos") -> DataFrame:
     """All positions that attain their bucket's maximum. Bucket maxima come from partial aggregates and are joined back,
     so no bucket is sorted or gathered in one task."""
-    rows = bounded(df, x, precision).where((F.col(pos) >= start) & (F.col(pos) < end)).withColumn("bucket", bucket(pos, start, window))
+    rows = _between(bounded(df, x, precision), pos, start, end).withColumn("bucket", bucket(pos, start, window))
     tops = rows.groupBy("bucket").agg(F.max("fx").alias("fx"))
     return rows.join(tops, ["bucket", "fx"]).select("bucket", pos, decode(F.col("fx"), precision).alias("max_value"))

@@ -6,6 +6,8 @@ a window partition, and the value before a stripe comes from joining the stripes
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -69,3 +71,35 @@ def scaled_ceil(df: DataFrame, x: str, scale: int, keep: list[str], signed: bool
     """ceil(x * scale) as an integer, its magnitude if unsigned."""
     c = F.ceil(F.col(x) * F.lit(float(scale)))
     return df.where(F.col(x).isNotNull()).select(*keep, (c if signed else F.abs(c)).cast("bigint").alias("scaled"))
+
+
+def bitpack(df: DataFrame, x: str, pos: str = "pos", rows: int = STRIPE, delta: bool = False) -> DataFrame:
+    """Integers as bit-packed segments (segment, first_pos, n, base, width, delta, at, payload): offsets from the segment's least value at the fewest bits that hold them; with ``delta``,
+    zigzag differences within the segment. ``at`` are positions' offsets where they aren't dense."""
+    from decafix.operators.codecs import pack
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("pos", kind="stable")
+        at, v = pdf["pos"].to_numpy(np.int64), pdf["v"].to_numpy(np.int64)
+        d = np.diff(v, prepend=v[0])
+        base, off = (int(v[0]), (d << 1) ^ (d >> 63)) if delta else (int(v.min()), v - v.min())
+        width = int(off.max()).bit_length()
+        dense = (np.diff(at) == 1).all()
+        return pd.DataFrame({"segment": [int(pdf["segment"].iloc[0])], "first_pos": [int(at[0])], "n": [len(v)], "base": [base], "width": [width], "delta": [delta], "at": [None if dense else (at - at[0]).tolist()], "payload": [pack(off, width)]})
+
+    slim = df.where(F.col(x).isNotNull()).select(F.expr(f"`{pos}` div {int(rows)}L").alias("segment"), F.col(pos).cast("long").alias("pos"), F.col(x).cast("long").alias("v"))
+    return slim.groupBy("segment").applyInPandas(run, "segment long, first_pos long, n int, base long, width int, delta boolean, at array<long>, payload binary")
+
+
+def bitunpack(segments: DataFrame) -> DataFrame:
+    """(pos, x) of bit-packed segments."""
+    from decafix.operators.codecs import unpack
+
+    def run(batches):
+        for b in batches:
+            for s in b.itertuples(index=False):
+                off = unpack(s.payload, s.width, s.n)
+                v = s.base + (np.cumsum((off >> 1) ^ -(off & 1)) if s.delta else off)
+                yield pd.DataFrame({"pos": s.first_pos + (np.arange(s.n) if s.at is None else np.asarray(s.at, np.int64)), "x": v})
+
+    return segments.mapInPandas(run, "pos long, x long")

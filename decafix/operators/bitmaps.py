@@ -124,8 +124,10 @@ def containers(a: DataFrame, pos: str = "pos") -> DataFrame:
 
 
 def portable_size(a: DataFrame, pos: str = "pos") -> DataFrame:
-    """Bytes of the portable form: 8, and for each container 8 and 2 a value or 8,192."""
-    return containers(a, pos).agg((F.lit(8) + F.coalesce(F.sum(F.lit(8) + F.least(2 * F.col("cardinality"), F.lit(8192))), F.lit(0))).cast("bigint").alias("n_bytes"))
+    """Bytes of the portable form of ids (repeats allowed): 8, and for each container 8 and 2 a value or 8,192. Ids become bits on the map side, so only bitmap values are shuffled."""
+    halves = packed(a.where(F.col(pos).isNotNull()), pos).select(F.expr("(bucket - 1) div 2").alias("key"), F.bitmap_count("bits").alias("c"))
+    sizes = halves.groupBy("key").agg(F.sum("c").alias("cardinality"))
+    return sizes.agg((F.lit(8) + F.coalesce(F.sum(F.lit(8) + F.least(2 * F.col("cardinality"), F.lit(8192))), F.lit(0))).cast("bigint").alias("n_bytes"))
 
 
 def _container(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -139,12 +141,27 @@ def _container(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"hi": [int(pdf["hi"].iloc[0])], "key": [int(pdf["key"].iloc[0])], "cardinality": [len(low)], "body": [body]})
 
 
-def serialize(a: DataFrame, pos: str = "pos") -> DataFrame:
-    """A row (hi, data) for each upper 32 bits of the ids: the portable serialisation of the lower 32. Containers are
-    built apart (a group is at most 65,536 ids), then put together."""
+def container_rows(a: DataFrame, pos: str = "pos") -> DataFrame:
+    """(hi, key, cardinality, body): the portable form's containers as rows, the form to store and to pass on; a group is at most 65,536 ids."""
     parts = a.select(F.shiftright(F.col(pos), 32).alias("hi"), F.shiftright(F.col(pos), 16).bitwiseAND(F.lit(65_535)).alias("key"), F.col(pos).bitwiseAND(F.lit(65_535)).alias("low"))
-    done = parts.groupBy("hi", "key").applyInPandas(_container, "hi long, key long, cardinality long, body binary")
-    return done.groupBy("hi").applyInPandas(lambda pdf: pd.DataFrame({"hi": [int(pdf["hi"].iloc[0])], "data": [_assemble(pdf)]}), "hi long, data binary")
+    return parts.groupBy("hi", "key").applyInPandas(_container, "hi long, key long, cardinality long, body binary")
+
+
+def container_ids(rows: DataFrame, pos: str = "pos") -> DataFrame:
+    """The ids of container rows."""
+
+    def run(batches):
+        for b in batches:
+            for hi, key, n, body in zip(b["hi"], b["key"], b["cardinality"], b["body"], strict=True):
+                yield pd.DataFrame({pos: _low(bytes(body), 0, int(n))[0] + (int(hi) << 32) + (int(key) << 16)})
+
+    return rows.select("hi", "key", "cardinality", "body").mapInPandas(run, f"{pos} long")
+
+
+def serialize(a: DataFrame, pos: str = "pos") -> DataFrame:
+    """For export: a row (hi, data) for each upper 32 bits of the ids, the portable serialisation of the lower 32 (up to 512 MB, as the format is one value). Otherwise use
+    ``container_rows``."""
+    return container_rows(a, pos).groupBy("hi").applyInPandas(lambda pdf: pd.DataFrame({"hi": [int(pdf["hi"].iloc[0])], "data": [_assemble(pdf)]}), "hi long, data binary")
 
 
 def _assemble(pdf: pd.DataFrame) -> bytes:
@@ -155,6 +172,13 @@ def _assemble(pdf: pd.DataFrame) -> bytes:
     return head + at.astype("<u4").tobytes() + b"".join(pdf["body"])
 
 
+def _low(data: bytes, at: int, n: int) -> tuple[np.ndarray, int]:
+    """(lower 16 bits of a container's ids, its bytes) from its body at ``at``."""
+    if n <= _ARRAY_MAX:
+        return np.frombuffer(data, "<u2", n, at).astype(np.int64), 2 * n
+    return np.flatnonzero(np.unpackbits(np.frombuffer(data, np.uint8, 8192, at), bitorder="little")).astype(np.int64), 8192
+
+
 def parse(data: bytes) -> np.ndarray:
     """Ids of a portable serialisation without run containers."""
     cookie, n = struct.unpack_from("<II", data)
@@ -163,11 +187,8 @@ def parse(data: bytes) -> np.ndarray:
     at, out = 8 + 8 * n, []
     for i in range(n):
         key, c = struct.unpack_from("<HH", data, 8 + 4 * i)
-        if c + 1 <= _ARRAY_MAX:
-            low, size = np.frombuffer(data, "<u2", c + 1, at), 2 * (c + 1)
-        else:
-            low, size = np.flatnonzero(np.unpackbits(np.frombuffer(data, np.uint8, 8192, at), bitorder="little")), 8192
-        out.append(low.astype(np.int64) + (key << 16))
+        low, size = _low(data, at, c + 1)
+        out.append(low + (key << 16))
         at += size
     return np.concatenate(out) if out else np.zeros(0, np.int64)
 

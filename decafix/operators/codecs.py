@@ -7,6 +7,7 @@ payload is read. Layouts differ only in bytes, never in answers.
 
 from __future__ import annotations
 
+import io
 import struct
 import zlib
 
@@ -15,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from decafix.functions.bounded import fraction_bits, literal
+from decafix.functions.bounded import error_bound, fraction_bits, literal
 from decafix.operators.profile import MAJORITY_SHARE, OUTLIER_SHARE, SAMPLE_ROWS
 from decafix.operators.scan import bounded
 
@@ -48,6 +49,57 @@ def pack_fields(fields: list[tuple[int, int]]) -> bytes:
     return total.to_bytes(-(-at // 8), "little")
 
 
+class BitWriter:
+    """Fields written one after the other, lowest bit first."""
+
+    def __init__(self) -> None:
+        self.total, self.bits = 0, 0
+
+    def write(self, value: int, bits: int) -> BitWriter:
+        self.total |= (value & ((1 << bits) - 1)) << self.bits
+        self.bits += bits
+        return self
+
+    def align(self) -> BitWriter:
+        self.bits += -self.bits % 8
+        return self
+
+    def write_bytes(self, data: bytes) -> BitWriter:
+        return self.write(int.from_bytes(data, "little"), 8 * len(data))
+
+    def to_bytes(self) -> bytes:
+        return self.total.to_bytes(-(-self.bits // 8), "little")
+
+
+class BitReader:
+    """Reads fields back from bytes or from a binary stream, a byte at a time as they are needed."""
+
+    def __init__(self, source) -> None:
+        self.source, self.held, self.bits = io.BytesIO(source) if isinstance(source, (bytes, bytearray, memoryview)) else source, 0, 0
+
+    def read(self, bits: int) -> int:
+        while self.bits < bits:
+            more = self.source.read(-(-(bits - self.bits) // 8))
+            if not more:
+                raise EOFError(f"{bits} bits wanted, {self.bits} left")
+            self.held |= int.from_bytes(more, "little") << self.bits
+            self.bits += 8 * len(more)
+        value = self.held & ((1 << bits) - 1)
+        self.held >>= bits
+        self.bits -= bits
+        return value
+
+    def skip(self, bits: int) -> BitReader:
+        self.read(bits)
+        return self
+
+    def align(self) -> BitReader:
+        return self.skip(self.bits % 8)
+
+    def read_bytes(self, n: int) -> bytes:
+        return self.read(8 * n).to_bytes(n, "little")
+
+
 def _sparse(plane: np.ndarray, zero: bool) -> int | None:
     """The majority byte of a plane that is worth holding sparsely, from its first rows."""
     head = plane[:SAMPLE_ROWS]
@@ -130,13 +182,18 @@ def encode(df: DataFrame, x: str, precision: int, layout: str = "plain", pos: st
     return rows_.groupBy("segment").applyInPandas(run, _SCHEMA)
 
 
-def read_segment(s) -> tuple[np.ndarray, np.ndarray]:
-    """(positions, fixed values) of one segment row."""
+def positions_of(s) -> np.ndarray:
     (k,) = struct.unpack_from("<I", s.payload)
     gaps = np.frombuffer(zlib.decompress(s.payload[4 : 4 + k]), "<i8").copy() if k else np.ones(s.n, np.int64)
     gaps[:1] = 0
+    return s.first_pos + np.cumsum(gaps)
+
+
+def read_segment(s) -> tuple[np.ndarray, np.ndarray]:
+    """(positions, fixed values) of one segment row."""
+    (k,) = struct.unpack_from("<I", s.payload)
     width = (int(s.top) - int(s.base)).bit_length()
-    return s.first_pos + np.cumsum(gaps), int(s.base) + decode_offsets(s.payload[4 + k :], s.n, width, s.dlen, s.layout)
+    return positions_of(s), int(s.base) + decode_offsets(s.payload[4 + k :], s.n, width, s.dlen, s.layout)
 
 
 def decode_segments(segments: DataFrame) -> DataFrame:
@@ -155,60 +212,52 @@ def prune(segments: DataFrame, op: str, value: float, precision: int) -> DataFra
     return segments.where({">": F.col("top") > c, "<": F.col("base") < c, "=": (F.col("base") <= c) & (F.col("top") >= c)}[op])
 
 
-def filter_segments(segments: DataFrame, op: str, value: float, precision: int) -> DataFrame:
-    """Positions whose value satisfies ``op``; only segments that survive pruning are decoded."""
-    c = literal(value, precision)
-
-    def run(batches):
-        for b in batches:
-            for s in b.itertuples(index=False):
-                at, fx = read_segment(s)
-                yield pd.DataFrame({"pos": at[(fx > c) if op == ">" else (fx < c) if op == "<" else (fx == c)]})
-
-    return prune(segments, op, value, precision).mapInPandas(run, "pos long")
-
-
 def ratio(segments: DataFrame) -> DataFrame:
     """Encoded over original bytes by layout; the original is 8 bytes a value and a header."""
     return segments.groupBy("layout").agg((F.sum(F.length("payload") + 36) / F.sum("org_size")).alias("ratio"), F.sum("n").cast("bigint").alias("n"))
 
 
+def precision_bounds(x: np.ndarray, precision: int) -> np.ndarray:
+    """Doubles with few mantissa bits within the bound of ``x``: bits below a place go and the bit at that place is set, at the highest place up to which all places stay
+    within the bound. Values that aren't finite stay."""
+    x = np.ascontiguousarray(x, np.float64)
+    bits, out, live = x.view(np.uint64), x.copy(), np.isfinite(x)
+    for place in range(53):
+        if not live.any():
+            break
+        y = (((bits >> np.uint64(place)) | np.uint64(1)) << np.uint64(place)).view(np.float64)
+        live &= np.abs(x - y) < error_bound(precision)
+        out[live] = y[live]
+    return out
+
+
 def precision_bound(x: float, precision: int) -> float:
-    """The double with the fewest mantissa bits within the bound of ``x``."""
-    if not np.isfinite(x) or x == 0:
-        return x
-    bound, bits = 0.49 * 10.0**-precision, struct.unpack("<Q", struct.pack("<d", x))[0]
-    for drop in range(52, -1, -1):
-        y = struct.unpack("<d", struct.pack("<Q", bits >> drop << drop))[0]
-        if abs(x - y) < bound:
-            return y
-    return x
+    return float(precision_bounds(np.array([x]), precision)[0])
 
 
 def bound_mantissa(df: DataFrame, x: str, precision: int, keep: list[str]) -> DataFrame:
     @F.pandas_udf("double")
     def run(s: pd.Series) -> pd.Series:
-        return s.map(lambda v: precision_bound(v, precision), na_action="ignore")
+        return pd.Series(precision_bounds(s.to_numpy(float, na_value=np.nan), precision)).where(s.notna().to_numpy(), None)
 
     return df.select(*keep, run(F.col(x).cast("double")).alias("value"))
 
 
-def finer(x: float, precision: int) -> str:
-    """Binary digits of |x| below 1, by halving, until they are within the bound of it."""
-    rest, out, step, bound = abs(x) - abs(x) // 1, [], 0.5, 0.49 * 10.0**-precision
-    while rest >= bound and step > 2.0**-64:
-        out.append("1" if rest >= step else "0")
-        rest -= step if out[-1] == "1" else 0.0
-        step /= 2
-    return "".join(out)
+#: Digits of a binary expansion at most.
+EXPANDED = 64
 
 
 def expand(df: DataFrame, x: str, precision: int, keep: list[str]) -> DataFrame:
-    @F.pandas_udf("string")
-    def run(s: pd.Series) -> pd.Series:
-        return s.map(lambda v: finer(v, precision) if np.isfinite(v) else None, na_action="ignore")
-
-    return df.select(*keep, run(F.col(x).cast("double")).alias("bits"))
+    """Binary digits of |x| below 1, as many as bring the rest within the bound; null for null and for what isn't finite. The number of digits follows from the
+    rest after each of them, so this is one expression: the digits of trunc(fraction * 2^64) as two halves."""
+    size = F.abs(F.col(x).cast("double"))
+    fraction = F.when(size < F.lit(2.0**53), size - F.floor(size)).otherwise(F.lit(0.0))
+    at = lambda k: F.col("__f") * F.lit(2.0**k) - F.floor(F.col("__f") * F.lit(2.0**k))  # noqa: E731  the rest after k digits, scaled by 2^k
+    depth = F.coalesce(*[F.when(at(k) * F.lit(2.0**-k) < error_bound(precision), F.lit(k)) for k in range(EXPANDED)], F.lit(EXPANDED))
+    half = lambda v: F.lpad(F.bin(F.floor(v).cast("long")), 32, "0")
+    digits = F.concat(half(F.col("__f") * F.lit(2.0**32)), half(at(32) * F.lit(2.0**32)))
+    rows = df.withColumn("__f", F.when(size < F.lit(float("inf")), fraction))
+    return rows.select(*keep, F.when(F.col("__f").isNotNull(), F.substring(digits, F.lit(1), depth)).alias("bits"))
 
 
 def lengths(df: DataFrame, x: str, precision: int) -> DataFrame:

@@ -6,10 +6,20 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def link(segments: DataFrame) -> DataFrame:
-    """(signal, timestamp, …) rows with the previous segment's timestamp and offset; null for a series' head."""
-    prev = F.lag("timestamp").over(Window.partitionBy("signal").orderBy("timestamp"))
-    return segments.withColumn("prev_timestamp", prev).withColumn("prev_seg_offset", F.col("timestamp") - F.col("prev_timestamp"))
+#: Span of time within which a series is ordered by one task.
+STRIPE = "1 day"
+
+
+def link(segments: DataFrame, ties: tuple[str, ...] = (), stripe: str = STRIPE) -> DataFrame:
+    """(signal, timestamp, …) rows with the previous segment's timestamp and offset; null for a series' head. Equal timestamps are ordered by ``ties``. A series is cut
+    into stripes of time: within one, a window; the timestamp before a stripe comes from the stripes' last ones (a row a stripe), so a busy series is many tasks."""
+    rows = segments.withColumn("__s", F.window(F.col("timestamp").cast("timestamp"), stripe)["start"])
+    ends = rows.groupBy(F.col("signal").alias("__g"), F.col("__s").alias("__at")).agg(F.max("timestamp").alias("__end"))
+    before = ends.select("__g", "__at", F.lag("__end").over(Window.partitionBy("__g").orderBy("__at")).alias("__before"))
+    own = F.lag("timestamp").over(Window.partitionBy("signal", "__s").orderBy("timestamp", *ties))
+    out = rows.withColumn("prev_timestamp", own).join(before, F.col("signal").eqNullSafe(F.col("__g")) & (F.col("__s") == F.col("__at")), "left")
+    out = out.withColumn("prev_timestamp", F.coalesce("prev_timestamp", "__before")).drop("__s", "__g", "__at", "__before")
+    return out.withColumn("prev_seg_offset", F.col("timestamp") - F.col("prev_timestamp"))
 
 
 def previous(segments: DataFrame, keys: DataFrame) -> DataFrame:

@@ -61,29 +61,35 @@ def ifft(spectra: DataFrame, key: str = "signal", normalised: bool = False) -> D
     return spectra.mapInPandas(run, f"{key} {dict(spectra.dtypes)[key]}, data array<double>")
 
 
-def nearest_neighbour(train: DataFrame, test: DataFrame, precision: int, key: str = "vec_id", values: str = "embedding", label: str = "label") -> DataFrame:
-    """1-NN at reduced precision: each test row with the label of the training row at the least squared distance of
-    fixed-point values (ties: the least key). A stated query set against all rows: training rows stream by block."""
-    scale = float(2 ** fraction_bits(precision))
-    queries = test.select(key, values).where(F.col(values).isNotNull()).toPandas()
-    ids = queries[key].to_numpy()
-    q = np.trunc(np.stack(queries[values].to_numpy()).astype(float) * scale) if len(queries) else np.zeros((0, 1))
+#: Rows of a block of either side of the nearest-neighbour search.
+KNN_BLOCK = 4096
 
-    def run(batches):
-        best = {}
-        for b in batches:
-            b = b[b[values].notna()]
-            if not len(b) or not len(q):
-                continue
-            t = np.trunc(np.stack(b[values].to_numpy()).astype(float) * scale)
-            order = np.argsort(b[key].to_numpy(), kind="stable")
-            t, tid, lab = t[order], b[key].to_numpy()[order], b[label].to_numpy()[order]
-            d = (q * q).sum(1)[:, None] - 2 * q @ t.T + (t * t).sum(1)[None, :]
-            d[ids[:, None] == tid[None, :]] = np.inf
-            for i, j in enumerate(d.argmin(1)):
-                if np.isfinite(d[i, j]):
-                    best[i] = min(best.get(i, (np.inf,)), (float(d[i, j]), int(tid[j]), int(lab[j])))
-        yield pd.DataFrame([(int(ids[i]), *v) for i, v in best.items()], columns=["query_id", "distance", "near_id", "near_label"])
-
-    near = train.select(key, values, label).mapInPandas(run, "query_id long, distance double, near_id long, near_label int")
+
+def nearest_neighbour(train: DataFrame, test: DataFrame, precision: int, key: str = "vec_id", values: str = "embedding", label: str = "label", block: int = KNN_BLOCK) -> DataFrame:
+    """1-NN at reduced precision: each test row with the label of the training row at the least squared distance of fixed-point values (ties: the least key; a row
+    isn't its own neighbour). A stated query set against all rows, in blocks: both sides are dealt to blocks by a hash of the key, and each pair of blocks is a group of its own, so no
+    side is collected or sent whole. Null vectors have no neighbours and are none."""
+    scale = float(2 ** fraction_bits(precision))
+    one = train.select(F.col(key).alias("k"), F.col(values).alias("v"), F.col(label).alias("l")).where("v IS NOT NULL")
+    two = test.select(F.col(key).alias("k"), F.col(values).alias("v")).where("v IS NOT NULL")
+    i, j = (max(1, -(-df.count() // block)) for df in (one, two))
+    own = lambda n: F.pmod(F.xxhash64("k"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    one, two = one.withColumn("i", own(i)).withColumn("j", every(j)), two.withColumn("j", own(j)).withColumn("i", every(i))
+
+    def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(a) and len(b):
+            a = a.sort_values("k", kind="stable")
+            t, q = (np.trunc(np.stack(x["v"].to_numpy()).astype(float) * scale) for x in (a, b))
+            tid, qid, lab = a["k"].to_numpy(), b["k"].to_numpy(), a["l"].to_numpy()
+            for at in range(0, len(q), 512):
+                p = q[at : at + 512]
+                d = (p * p).sum(1)[:, None] - 2 * p @ t.T + (t * t).sum(1)[None, :]
+                d[qid[at : at + 512, None] == tid[None, :]] = np.inf
+                best = d.argmin(1)
+                out += [(int(qid[at + r]), float(d[r, c]), int(tid[c]), int(lab[c])) for r, c in enumerate(best) if np.isfinite(d[r, c])]
+        return pd.DataFrame(out, columns=["query_id", "distance", "near_id", "near_label"])
+
+    near = one.groupBy("i", "j").cogroup(two.groupBy("i", "j")).applyInPandas(run, "query_id long, distance double, near_id long, near_label int")
     return near.groupBy("query_id").agg(F.min(F.struct("distance", "near_id", "near_label")).alias("m")).select("query_id", "m.near_id", "m.near_label", (F.col("m.distance") / (scale * scale)).alias("distance"))

@@ -6,15 +6,17 @@ and are divided once, so results don't depend on the order of rows.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from decafix.functions import between, components, decode, eq, eq_by_planes, fixed, gt, gt_by_planes, is_bounded, kept_bits, lt, plane
-from decafix.operators import aggregates, baselines, bitmaps, bytes as planes_, codecs, profile, scan, segments, transforms
+from decafix.operators import aggregates, baselines, bitmaps, bytes as planes_, codecs, encoded, profile, scan, segments, transforms
 from decafix.plans import codec
-from decafix.sources import generators
+from decafix.plans.lineage import scratch
+from decafix.sources import clients, generators, scans
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -89,9 +91,10 @@ def _(spark, sf):
     return table(spark, sf, "customer").where(between("c_acctbal", -200.0, 100.25, 2)).select("c_custkey", decode(fixed("c_acctbal", 2), 2).alias("value"))
 
 
-@query("filter_chain", f"SELECT pos FROM {EV} WHERE fx > 5120 AND fx < 20480 AND pos % 3 = 0")
+@query("filter_chain", f"SELECT event_id AS pos FROM (SELECT *, {VAL} AS fx FROM events) WHERE fx > 5120 AND fx < 20480 AND event_type = 'click'")
 def _(spark, sf):
-    return scan.select_where(events(spark, sf), gt("x", 20.0, 2), lt("x", 80.0, 2), F.col("pos") % 3 == 0).select("pos")
+    rows = table(spark, sf, "events").select(F.col("event_id").alias("pos"), F.col("value").alias("x"), "event_type")
+    return scan.select_where(rows, gt("x", 20.0, 2), lt("x", 80.0, 2), F.col("event_type") == "click").select("pos")
 
 
 @query("filter_out_of_range", f"SELECT count(*) FILTER (fx > 256000000000) AS n_gt, count(*) FILTER (fx < 256000000000) AS n_lt, count(*) FILTER (fx > -256) AS n_all, count(*) FILTER (fx = -256) AS n_eq FROM {EV}")
@@ -162,23 +165,6 @@ def _(spark, sf):
     return profile.outliers(scan.bounded(events(spark, sf), "x", 2), plane(F.col("fx"), 16, 0), 0, ["pos"])
 
 
-def _kept_sql(q: int) -> str:
-    """The kept-bits rule at precision 2 (8 fraction bits), in SQL."""
-    whole = "CAST(ceil({0} / 8.0) * 8 AS INTEGER)"
-    i = "greatest(w - 8, 0)"
-    if q == 0:
-        return f"least({whole.format(i)}, w)"
-    need = f"({i} + {5 if q == 1 else 8})"
-    return f"least(CASE WHEN {need} // 8 < w // 8 THEN {whole.format(need)} ELSE {need} END, w)"
-
-
-for _q in (0, 1, 2):
-    _drop = f"CAST(w - {_kept_sql(_q)} AS INTEGER)"
-    _low = f"base + ((off >> {_drop}) << {_drop})"
-    query(f"decode_reduced_{_q}", f"SELECT pos, CAST({_low} AS DOUBLE) / 256 AS value FROM {EVOFF}")(lambda spark, sf, q=_q: scan.decode_reduced(events(spark, sf), "x", 2, q, ["pos"]))
-    query(f"sum_reduced_{_q}", f"SELECT CAST(sum({_low}) AS DOUBLE) / 256 AS sum_value, count(*) AS n FROM {EVOFF}")(lambda spark, sf, q=_q: aggregates.sum_reduced(events(spark, sf), "x", 2, q))
-
-
 # ---- aggregates and windows ----
 
 
@@ -217,14 +203,14 @@ def _(spark, sf):
     return events(spark, sf).where(gt("x", 60.5, 2)).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("max_window", f"SELECT (pos - 100) // 450 AS bucket, CAST(max(fx) AS DOUBLE) / 256 AS max_value, count(*) AS n FROM {EV} WHERE pos >= 100 AND pos < 9000 GROUP BY 1")
+@query("max_window", f"SELECT (pos - 100) // 450 AS bucket, CAST(max(fx) AS DOUBLE) / 256 AS max_value, count(*) AS n FROM {EV} WHERE pos >= 100 GROUP BY 1")
 def _(spark, sf):
-    return aggregates.windowed_max(events(spark, sf), "x", 2, 100, 9000, 450)
+    return aggregates.windowed_max(events(spark, sf), "x", 2, 100, None, 450)
 
 
-@query("argmax_window", f"SELECT bucket, pos, CAST(fx AS DOUBLE) / 256 AS max_value FROM (SELECT *, pos // 500 AS bucket, max(fx) OVER (PARTITION BY pos // 500) AS top FROM {EV} WHERE pos < 9000) WHERE fx = top")
+@query("argmax_window", f"SELECT bucket, pos, CAST(fx AS DOUBLE) / 256 AS max_value FROM (SELECT *, pos // 500 AS bucket, max(fx) OVER (PARTITION BY pos // 500) AS top FROM {EV}) WHERE fx = top")
 def _(spark, sf):
-    return aggregates.windowed_argmax(events(spark, sf), "x", 2, 0, 9000, 500)
+    return aggregates.windowed_argmax(events(spark, sf), "x", 2, 0, None, 500)
 
 
 @query("paa_mean", f"SELECT pos // 50 AS chunk, CAST(sum(fx) AS DOUBLE) / 256 / count(*) AS mean_value FROM {EV} GROUP BY 1")
@@ -287,10 +273,15 @@ def _(spark, sf):
     return baselines.scaled_ceil(table(spark, sf, "events"), "value", 10, ["event_id"])
 
 
-@query("zigzag_roundtrip", "SELECT count(*) AS n FROM customer")
+@query("zigzag_roundtrip", f"SELECT c_custkey, CASE WHEN {BAL} >= 0 THEN 2 * {BAL} ELSE -2 * {BAL} - 1 END AS zz, {BAL} AS back FROM customer")
 def _(spark, sf):
-    fx = fixed("c_acctbal", 2)
-    return table(spark, sf, "customer").where(baselines.unzigzag(baselines.zigzag(fx)) == fx).agg(F.count(F.lit(1)).alias("n"))
+    zz = baselines.zigzag(fixed("c_acctbal", 2))
+    return table(spark, sf, "customer").select("c_custkey", zz.alias("zz"), baselines.unzigzag(zz).alias("back"))
+
+
+query("roundtrip_bitpack", f"SELECT pos, fx AS x FROM {EV}")(lambda s, d: baselines.bitunpack(baselines.bitpack(scan.bounded(events(s, d), "x", 2), "fx", rows=4096)))
+query("roundtrip_bitpack_delta", f"SELECT pos, fx AS x FROM {EV}")(lambda s, d: baselines.bitunpack(baselines.bitpack(scan.bounded(events(s, d), "x", 2), "fx", rows=4096, delta=True)))
+query("roundtrip_bitpack_scaled", "SELECT event_id AS pos, CAST(ceil(value * 10) AS BIGINT) AS x FROM events")(lambda s, d: baselines.bitunpack(baselines.bitpack(baselines.scaled_ceil(table(s, d, "events"), "value", 10, ["event_id"]), "scaled", pos="event_id", rows=4096)))
 
 
 # ---- bitmaps ----
@@ -358,12 +349,15 @@ def _(spark, sf):
 
 @query("roaring_size", "SELECT CAST(8 + sum(8 + least(2 * c, 8192)) AS BIGINT) AS n_bytes FROM (SELECT pos // 65536 AS k, count(*) AS c FROM (SELECT DISTINCT l_orderkey AS pos FROM lineitem) GROUP BY 1)")
 def _(spark, sf):
-    return bitmaps.portable_size(bitmaps.of(table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("pos"))))
+    return bitmaps.portable_size(table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("pos")))
 
 
 @query("roaring_roundtrip", "SELECT DISTINCT l_orderkey AS pos FROM lineitem")
 def _(spark, sf):
-    return bitmaps.deserialize(bitmaps.serialize(bitmaps.of(table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("pos")))))
+    return bitmaps.container_ids(bitmaps.container_rows(bitmaps.of(table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("pos")))))
+
+
+query("roaring_export", "SELECT DISTINCT l_orderkey AS pos FROM lineitem")(lambda s, d: bitmaps.deserialize(bitmaps.serialize(bitmaps.of(table(s, d, "lineitem").select(F.col("l_orderkey").alias("pos"))))))
 
 
 @query("roaring_buckets", "SELECT pos // 4294967296 AS hi, count(*) AS n FROM (SELECT DISTINCT l_orderkey * 3000000 AS pos FROM lineitem) GROUP BY 1")
@@ -377,8 +371,49 @@ def _(spark, sf):
 for _layout in codecs.LAYOUTS:
     query(f"roundtrip_{_layout}", f"SELECT pos, CAST(fx AS DOUBLE) / 256 AS value FROM {EV}")(lambda spark, sf, n=_layout: codecs.decode_segments(codecs.encode(events(spark, sf), "x", 2, n, rows=4096)))
 
-for _op, _word in ((">", "gt"), ("<", "lt"), ("=", "eq")):
-    query(f"segment_filter_{_word}", f"SELECT pos FROM {EV} WHERE fx {_op} 15488")(lambda spark, sf, o=_op: codecs.filter_segments(codecs.encode(events(spark, sf), "x", 2, "slice", rows=4096), o, 60.5, 2))
+KNOWN = (-(1 << 20), 1 << 22)
+SOFF = f"(SELECT pos, fx - {KNOWN[0]} AS off, {KNOWN[0]} AS base, {(KNOWN[1] - KNOWN[0]).bit_length()} AS w FROM {EV})"
+CLICKS = "(SELECT event_id FROM events WHERE event_type = 'click')"
+
+
+def _segments(spark, sf, layout: str, known: bool = False) -> DataFrame:
+    return codecs.encode(events(spark, sf), "x", 2, layout, rows=4096, known=KNOWN if known else None)
+
+
+def _clicks(spark, sf) -> DataFrame:
+    return table(spark, sf, "events").where("event_type = 'click'").select(F.col("event_id").alias("pos"))
+
+
+for _layout in codecs.LAYOUTS:
+    for _op, _word in ((">", "gt"), ("<", "lt"), ("=", "eq")):
+        query(f"segment_filter_{_word}_{_layout}", f"SELECT pos FROM {EV} WHERE fx {_op} 15488")(lambda spark, sf, n=_layout, o=_op: encoded.filter_segments(_segments(spark, sf, n), o, 60.5, 2))
+    for _op, _word in ((">", "gt"), ("<", "lt")):
+        query(f"segment_select_{_word}_{_layout}", f"SELECT pos FROM {EV} WHERE fx {_op} 15488 AND pos IN {CLICKS}")(lambda spark, sf, n=_layout, o=_op: encoded.filter_segments(_segments(spark, sf, n), o, 60.5, 2, _clicks(spark, sf), 4096))
+    query(f"segment_sum_{_layout}", f"SELECT CAST(sum(fx) AS DOUBLE) / 256 AS sum_value, count(*) AS n FROM {EV}")(lambda spark, sf, n=_layout: encoded.sum_segments(_segments(spark, sf, n), 2))
+    query(f"segment_max_{_layout}", f"SELECT CAST(max(fx) AS DOUBLE) / 256 AS value, count(*) FILTER (fx = (SELECT max(fx) FROM {EV})) AS n_attained FROM {EV}")(lambda spark, sf, n=_layout: encoded.max_segments(_segments(spark, sf, n), 2))
+    query(f"segment_argmax_{_layout}", f"SELECT pos, CAST(fx AS DOUBLE) / 256 AS value FROM {EV} WHERE fx = (SELECT max(fx) FROM {EV})")(lambda spark, sf, n=_layout: encoded.argmax_segments(_segments(spark, sf, n), 2))
+    query(f"segment_max_window_{_layout}", f"SELECT (pos - 100) // 450 AS bucket, CAST(max(fx) AS DOUBLE) / 256 AS max_value, count(*) AS n FROM {EV} WHERE pos >= 100 GROUP BY 1")(lambda spark, sf, n=_layout: encoded.windowed_max_segments(_segments(spark, sf, n), 2, 100, 450))
+    query(f"segment_gather_{_layout}", f"SELECT pos, CAST(fx AS DOUBLE) / 256 AS value FROM {EV} WHERE pos IN {CLICKS}")(lambda spark, sf, n=_layout: encoded.gather_segments(_segments(spark, sf, n), _clicks(spark, sf), 4096))
+
+
+def _kept_sql(q: int) -> str:
+    """The kept-bits rule at precision 2 (8 fraction bits), in SQL."""
+    whole = "CAST(ceil({0} / 8.0) * 8 AS INTEGER)"
+    i = "greatest(w - 8, 0)"
+    if q == 0:
+        return f"least({whole.format(i)}, w)"
+    need = f"({i} + {5 if q == 1 else 8})"
+    return f"least(CASE WHEN {need} // 8 < w // 8 THEN {whole.format(need)} ELSE {need} END, w)"
+
+
+for _q in (0, 1, 2):
+    _drop = f"CAST(w - {_kept_sql(_q)} AS INTEGER)"
+    _low = f"base + ((off >> {_drop}) << {_drop})"
+    query(f"decode_reduced_{_q}", f"SELECT pos, CAST({_low} AS DOUBLE) / 256 AS value FROM {EVOFF}")(lambda spark, sf, q=_q: scan.decode_reduced(events(spark, sf), "x", 2, q, ["pos"]))
+    query(f"sum_reduced_{_q}", f"SELECT CAST(sum({_low}) AS DOUBLE) / 256 AS sum_value, count(*) AS n FROM {EVOFF}")(lambda spark, sf, q=_q: aggregates.sum_reduced(events(spark, sf), "x", 2, q))
+    for _layout in ("plain", "slice", "majority", "residue"):
+        query(f"segment_reduced_{_q}_{_layout}", f"SELECT pos, CAST({_low} AS DOUBLE) / 256 AS value FROM {SOFF}")(lambda spark, sf, q=_q, n=_layout: encoded.decode_reduced(_segments(spark, sf, n, True), 2, q))
+        query(f"segment_sum_reduced_{_q}_{_layout}", f"SELECT CAST(sum({_low}) AS DOUBLE) / 256 AS sum_value, count(*) AS n FROM {SOFF}")(lambda spark, sf, q=_q, n=_layout: encoded.sum_segments(_segments(spark, sf, n, True), 2, q))
 
 
 @query("encode_known_stats", f"SELECT pos, CAST(fx AS DOUBLE) / 256 AS value FROM {EV}")
@@ -386,24 +421,33 @@ def _(spark, sf):
     return codecs.decode_segments(codecs.encode(events(spark, sf), "x", 2, "plain", rows=4096, known=(-(1 << 20), 1 << 22)))
 
 
-@query("compression_ratio")
-def _(spark, sf):
-    parts = [codecs.ratio(codecs.encode(events(spark, sf), "x", 2, layout)) for layout in codecs.LAYOUTS]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+def _ratios(spark, sf, layouts) -> DataFrame:
+    parts = [codecs.ratio(codecs.encode(events(spark, sf), "x", 2, layout)) for layout in layouts]
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
+query("compression_ratio", f"""WITH s AS (SELECT count(*) AS n, length(bin(max(fx) - min(fx))) AS w FROM {EV} GROUP BY pos // 65536)
+SELECT layout, sum(CASE layout WHEN 'offset' THEN (n * greatest(0, w - 8) + 7) // 8 + n ELSE n * (w // 8) + CASE WHEN layout = 'slice' AND w % 8 > 0 THEN n ELSE (n * (w % 8) + 7) // 8 END END + 40) / CAST(sum(8 * n + 40) AS DOUBLE) AS ratio, CAST(sum(n) AS BIGINT) AS n
+FROM s, (VALUES ('plain'), ('flipped'), ('slice'), ('offset')) l(layout) GROUP BY layout""")(lambda s, d: _ratios(s, d, ("plain", "flipped", "slice", "offset")))
+query("compression_ratio_sparse")(lambda s, d: _ratios(s, d, ("majority", "residue")))
+
+
+_MANTISSA = "(floor(abs(value) / pow(2.0, e - 51 + p)) * 2 + 1) * pow(2.0, e - 52 + p)"
+_TOP = "CASE WHEN (e + 1023) % 2 = 1 THEN pow(2.0, e) ELSE pow(2.0, e + 1) END"
 
 
-@query("bound_mantissa")
+@query("bound_mantissa", f"""WITH v AS (SELECT event_id AS pos, value, CASE WHEN value = 0 THEN NULL ELSE CAST(floor(log2(abs(value))) AS INTEGER) END AS e FROM events),
+t AS (SELECT pos, value, p, sign(value) * CASE WHEN p < 52 THEN {_MANTISSA} ELSE {_TOP} END AS y FROM v, (SELECT unnest(range(53)) AS p) WHERE e IS NOT NULL),
+f AS (SELECT pos, coalesce(min(p) FILTER (NOT abs(value - y) < 0.49 * 0.01), 53) AS stop FROM t GROUP BY pos)
+SELECT pos, y AS value FROM t JOIN f USING (pos) WHERE p = stop - 1 UNION ALL SELECT pos, pow(2.0, -1022) FROM v WHERE e IS NULL""")
 def _(spark, sf):
     return codecs.bound_mantissa(events(spark, sf), "x", 2, ["pos"])
 
 
-@query("segment_chain", "SELECT user_id AS signal, event_id, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS prev_timestamp FROM events".replace("ORDER BY ts, event_id", "ORDER BY ts"))
+@query("segment_chain", "SELECT user_id AS signal, event_id, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS prev_timestamp FROM events")
 def _(spark, sf):
     rows = table(spark, sf, "events").select(F.col("user_id").alias("signal"), F.col("ts").alias("timestamp"), "event_id")
-    return segments.link(rows).select("signal", "event_id", "prev_timestamp")
+    return segments.link(rows, ("event_id",)).select("signal", "event_id", "prev_timestamp")
 
 
 def _series(spark, sf):
@@ -417,9 +461,16 @@ def _(spark, sf):
     return back.select(F.col("segment").alias("signal"), F.posexplode("data").alias("i", "v")).select("signal", "i", F.round("v", 6).alias("value"))
 
 
-@query("fft_reduced")
+@query("fft_reduced", """WITH x AS (SELECT event_id // 1000 AS segment, event_id % 1000 AS t, value, count(*) OVER (PARTITION BY event_id // 1000) AS n FROM events),
+f AS (SELECT segment, k, max(n) AS n, sum(value * cos(2 * pi() * ((k * t) % n) / n)) AS re, sum(value * sin(2 * pi() * ((k * t) % n) / n)) AS im FROM x, (SELECT unnest(range(1000)) AS k) WHERE k < n GROUP BY segment, k),
+p AS (SELECT segment, n, re * re + im * im AS power, row_number() OVER (PARTITION BY segment ORDER BY re * re + im * im DESC) AS place FROM f)
+SELECT segment, count(*) FILTER (place <= greatest(1, n // 20)) AS n_kept, round(sum(power) FILTER (place <= greatest(1, n // 20)) / sum(power), 5) AS kept_share FROM p GROUP BY segment""")
 def _(spark, sf):
-    return transforms.fft(_series(spark, sf), 0.05, key="segment")
+    """Coefficients kept of each segment and their share of the power (a pair of equal ones counts the same whichever is kept)."""
+    series = _series(spark, sf)
+    power = lambda c: F.aggregate(F.zip_with("re", "im", lambda x, y: x * x + y * y), F.lit(0.0), lambda a, v: a + v).alias(c)
+    kept = transforms.fft(series, 0.05, key="segment").select("segment", F.size(F.filter(F.zip_with("re", "im", lambda x, y: (x != 0) | (y != 0)), lambda v: v)).cast("long").alias("n_kept"), power("kept"))
+    return kept.join(transforms.fft(series, key="segment").select("segment", power("all")), "segment").select("segment", "n_kept", F.round(F.col("kept") / F.col("all"), 5).alias("kept_share"))
 
 
 @query("knn_reduced", "WITH t AS (SELECT vec_id, label, list_transform(embedding, lambda v: trunc(CAST(v AS DOUBLE) * 32768)) AS q FROM embeddings), p AS (SELECT a.vec_id AS query_id, b.vec_id AS near_id, b.label AS near_label, list_sum(list_transform(list_zip(a.q, b.q), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d FROM t a JOIN t b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id) SELECT query_id, near_id, near_label, d / 1073741824.0 AS distance FROM p QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY d, near_id) = 1".replace("d / 1073741824.0", "d / CAST(1073741824 AS DOUBLE)"))
@@ -446,8 +497,8 @@ def _bytes(spark, sf):
 
 query("byte_filter_gt", f"SELECT pos FROM {BYTE} WHERE b > 60")(lambda s, d: planes_.range_filter(_bytes(s, d), "b", 60).select("pos"))
 query("byte_filter_eq", f"SELECT pos FROM {BYTE} WHERE b = 60")(lambda s, d: planes_.equal_filter(_bytes(s, d), "b", 60).select("pos"))
-query("byte_filter_progressive", f"SELECT pos FROM {BYTE} WHERE pos % 2 = 0 AND b > 60")(lambda s, d: planes_.progressive(_bytes(s, d), F.col("pos") % 2 == 0, "b", 60).select("pos"))
-query("byte_filter_progressive_eq", f"SELECT pos FROM {BYTE} WHERE pos % 2 = 0 AND b = 60")(lambda s, d: planes_.progressive(_bytes(s, d), F.col("pos") % 2 == 0, "b", 60, equal=True).select("pos"))
+query("byte_filter_progressive", f"SELECT pos FROM {BYTE} WHERE b % 2 = 0 AND b > 60")(lambda s, d: planes_.progressive(_bytes(s, d), F.col("b") % 2 == 0, "b", 60).select("pos"))
+query("byte_filter_progressive_eq", f"SELECT pos FROM {BYTE} WHERE b % 2 = 0 AND b = 60")(lambda s, d: planes_.progressive(_bytes(s, d), F.col("b") % 2 == 0, "b", 60, equal=True).select("pos"))
 query("byte_tie_share", f"SELECT count(*) FILTER (b = 60) / CAST(count(*) AS DOUBLE) AS tie_share FROM {BYTE}")(lambda s, d: planes_.tie_share(_bytes(s, d), "b", 60))
 query("byte_sum", f"SELECT CAST(sum(b) AS BIGINT) AS sum_value FROM {BYTE}")(lambda s, d: planes_.byte_sum(_bytes(s, d), "b"))
 query("sparse_plane_roundtrip", f"SELECT pos, b FROM {BYTE}")(lambda s, d: planes_.dense_plane(*planes_.sparse_plane(_bytes(s, d), "b", 69)))
@@ -455,7 +506,9 @@ query("components", "SELECT c_custkey, CAST(trunc(c_acctbal * 256) AS BIGINT) >>
 query("bitmap_append", f"SELECT pos FROM {SA} UNION ALL SELECT pos + 100000 FROM {SB}")(lambda s, d: bitmaps.append(_sets(s, d)[0], 100_000, _sets(s, d)[1]))
 query("bitmap_split_off", f"SELECT pos - 20 AS pos FROM {SA} WHERE pos >= 20")(lambda s, d: bitmaps.split_off(_sets(s, d)[0], 20)[1])
 query("bitmap_truncate", f"SELECT pos FROM {SA} WHERE pos < 20")(lambda s, d: bitmaps.truncate(_sets(s, d)[0], 20))
-query("bitmap_compare", f"SELECT pos AS first, in_a AS a_is_greater FROM (SELECT pos, true AS in_a FROM {SA} WHERE pos NOT IN (SELECT pos FROM {SB}) UNION ALL SELECT pos, false FROM {SB} WHERE pos NOT IN (SELECT pos FROM {SA})) ORDER BY pos LIMIT 1".replace("pos AS first", 'pos AS "first"'))(lambda s, d: bitmaps.first_difference(*_sets(s, d)))
+_FIRST = "SELECT min(pos) AS {q}first{q}, arg_min(in_a, pos) AS a_is_greater FROM (SELECT pos, true AS in_a FROM {a} EXCEPT SELECT pos, true FROM {b} UNION ALL (SELECT pos, false FROM {b} EXCEPT SELECT pos, false FROM {a}))"
+query("bitmap_compare", _FIRST.format(q='"', a=SA, b=SB))(lambda s, d: bitmaps.first_difference(*_sets(s, d)))
+query("bitmap_compare_equal", _FIRST.format(q='"', a=SA, b=SA))(lambda s, d: bitmaps.first_difference(_sets(s, d)[0], _sets(s, d)[0]))
 query("bitmap_binary_roundtrip", f"SELECT pos FROM {SA}")(lambda s, d: bitmaps.from_binary(bitmaps.to_binary(_sets(s, d)[0], 100_000, rows=64)))
 query("codec_paa", f"SELECT pos, avg_value AS value FROM {EV} JOIN (SELECT pos // 25 AS c, CAST(sum(fx) AS DOUBLE) / 256 / count(*) AS avg_value FROM {EV} GROUP BY 1) ON pos // 25 = c")(lambda s, d: (lambda c: c.decode(c.encode(events(s, d))))(codec.CODECS["paa"](2, 25)))
 query("codec_fourier", "SELECT event_id AS pos, round(value, 6) AS value FROM events")(lambda s, d: (lambda c: c.decode(c.encode(events(s, d))).withColumn("value", F.round("value", 6)))(codec.CODECS["fourier"]()))
@@ -466,20 +519,63 @@ query("generated_normal")(lambda s, d: generators.normal(s, 1000, 5.0, 2.0, 7))
 
 query("encode_forced_majority", f"SELECT pos, CAST(fx AS DOUBLE) / 256 AS value FROM {EV}")(lambda s, d: codecs.decode_segments(codecs.encode(events(s, d), "x", 2, "majority", rows=4096, known=(0, 1 << 20), forced=69)))
 query("component_lengths", f"SELECT CAST(max(CASE WHEN a >> 8 = 0 THEN 0 ELSE length(bin(a >> 8)) END) AS INTEGER) AS integer_bits, CAST(max(CASE WHEN a % 256 = 0 THEN 0 ELSE 9 - length(bin(a & -a)) END) AS INTEGER) AS fraction_bits FROM (SELECT abs({BAL}) AS a FROM customer)")(lambda s, d: codecs.lengths(table(s, d, "customer"), "c_acctbal", 2))
-query("binary_expansion")(lambda s, d: codecs.expand(events(s, d), "x", 2, ["pos"]))
+query("binary_expansion", """WITH v AS (SELECT event_id AS pos, abs(value) - floor(abs(value)) AS f FROM events),
+k AS (SELECT pos, f, k, f * pow(2.0, k) - floor(f * pow(2.0, k)) AS r FROM v, (SELECT unnest(range(65)) AS k)),
+n AS (SELECT pos, min(k) AS n FROM k WHERE r * pow(2.0, -k) < 0.49 * 0.01 GROUP BY pos)
+SELECT pos, coalesce(string_agg(CASE WHEN floor(f * pow(2.0, k)) % 2 = 1 THEN '1' ELSE '0' END, '' ORDER BY k) FILTER (k BETWEEN 1 AND n), '') AS bits FROM k JOIN n USING (pos) GROUP BY pos""")(lambda s, d: codecs.expand(events(s, d), "x", 2, ["pos"]))
 
 
 @query("stream_max_window", f"SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, CAST(max({VAL}) AS DOUBLE) / 256 AS max_value, count(*) AS n FROM events GROUP BY 1".replace("AS start", 'AS "start"'))
 def _(spark, sf):
     """Event-time windows over a file stream, run to its end into a table of this session."""
-    import uuid
-
     from decafix.streaming import paced
 
     schema = table(spark, sf, "events").select("ts", "value").schema
-    name = f"stream_{uuid.uuid4().hex}"
+    out = scratch(spark, "stream")
     stream = paced.windowed_max_stream(paced.parquet_source(spark, sf, schema, only="events.parquet").withColumn("ts", F.col("ts").cast("timestamp")), "ts", "value", 2, "1 hour")
-    q = stream.writeStream.format("memory").queryName(name).outputMode("complete").start()
-    q.processAllAvailable()
-    q.stop()
-    return spark.table(name).select(F.col("window.start").cast("timestamp_ntz").alias("start"), "max_value", "n")
+    write = lambda rows, epoch: rows.write.mode("overwrite").parquet(f"{out}/rows")  # noqa: E731  a complete result replaces the one before
+    q = stream.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", f"{out}/log").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.parquet(f"{out}/rows").select(F.col("window.start").cast("timestamp_ntz").alias("start"), "max_value", "n")
+
+
+# ---- sources: tables written as text or bytes to the shared folder, and read back by the scans ----
+
+
+def _text(spark, sf, table_: str, key: str, x: str) -> str:
+    """A folder of lines: a label, then some of the column's numbers and a cell that is none."""
+    path = scratch(spark, "text")
+    cells = F.concat_ws(",", F.lit("label"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(key, x))), lambda s: s[x].cast("string")), ","), F.lit("no number"))
+    table(spark, sf, table_).groupBy(F.expr(f"{key} div 10")).agg(cells.alias("value")).select("value").write.text(path)
+    return path
+
+
+query("csv_floats", "SELECT value AS x FROM events")(lambda s, d: scans.csv_floats(s, _text(s, d, "events", "event_id", "value"), skip=1).select("x"))
+query("csv_positions", "SELECT CAST(count(*) AS BIGINT) AS n, CAST(0 AS BIGINT) AS low, CAST(count(*) - 1 AS BIGINT) AS high, CAST(count(*) AS BIGINT) AS n_pos FROM events")(lambda s, d: scans.with_positions(scans.csv_floats(s, _text(s, d, "events", "event_id", "value"), skip=1), ["file", "line_at", "cell_at"]).agg(F.count("x").alias("n"), F.min("pos").alias("low"), F.max("pos").alias("high"), F.countDistinct("pos").alias("n_pos")))
+for _signed in (True, False):
+    _c = "CAST(ceil(CAST(c_acctbal AS FLOAT) * CAST(10 AS FLOAT)) AS BIGINT)"
+    query("csv_ints" if _signed else "csv_unsigned_ints", f"SELECT {_c if _signed else f'abs({_c})'} AS x FROM customer")(lambda s, d, g=_signed: scans.csv_ints(s, _text(s, d, "customer", "c_custkey", "c_acctbal"), 10, skip=1, signed=g).select("x"))
+
+
+@query("binary_records", "SELECT CAST(c_nationkey AS VARCHAR) AS file, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 AS at, CAST(c_custkey % 100 AS DOUBLE) AS x FROM customer".replace("AS at", 'AS "at"'))
+def _(spark, sf):
+    """Four-byte integers, one file's bytes for each nation, split on 0xFF."""
+    piece = lambda k: F.concat(F.lpad(F.hex(k % 100), 2, "0"), F.lit("000000FF"))
+    files = table(spark, sf, "customer").groupBy(F.col("c_nationkey").cast("string").alias("path")).agg(F.unhex(F.array_join(F.transform(F.sort_array(F.collect_list("c_custkey")), piece), "")).alias("content"))
+    return scans.records(files, 255, "<i")
+
+
+@query("client_file_stream", "SELECT value AS x FROM events")
+def _(spark, sf):
+    """A described file client, streamed to its end."""
+    out = scratch(spark, "client")
+    clients.described({"type": "file", "params": {"file": _text(spark, sf, "events", "event_id", "value"), "skip_val": 1}}).run(spark, f"{out}/rows", f"{out}/log")
+    return spark.read.parquet(f"{out}/rows").select("x")
+
+
+@query("client_batch_amount", "SELECT CAST(100 AS BIGINT) AS n, CAST(0 AS BIGINT) AS n_unknown")
+def _(spark, sf):
+    """A file client's first ``amount`` numbers: how many, and how many of them aren't in the table (the limit is the feature)."""
+    rows = clients.Client("file", amount=100, path=_text(spark, sf, "events", "event_id", "value"), skip=1).batch(spark)
+    known = table(spark, sf, "events").select(F.col("value").alias("x"), F.lit(1).alias("known")).distinct()
+    return rows.select("x").join(known, "x", "left").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("known").isNull(), 1)).alias("n_unknown"))

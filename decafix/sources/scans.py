@@ -51,8 +51,8 @@ def with_positions(rows: DataFrame, order: list[str], out: str = "pos") -> DataF
     return ranged.withColumn("__l", local).join(starts, "__p").withColumn(out, (F.col("__start") + F.col("__l")).cast("bigint")).drop("__p", "__l", "__start")
 
 
-def binary_records(spark: SparkSession, path: str, delim: int, fmt: str = "<d") -> DataFrame:
-    """Files split on a byte; pieces of the format's size are decoded, others dropped. A file is one value of its scan."""
+def records(files: DataFrame, delim: int, fmt: str = "<d") -> DataFrame:
+    """(file, at, x) of files (path, content), batch or stream, split on a byte; pieces of the format's size are decoded, others dropped. ``at`` counts pieces."""
     size = struct.calcsize(fmt)
 
     def run(batches):
@@ -63,4 +63,9 @@ def binary_records(spark: SparkSession, path: str, delim: int, fmt: str = "<d")
                 got = [(i, struct.unpack(fmt, piece)[0]) for i, piece in enumerate(bytes(data).split(bytes([delim]))) if len(piece) == size]
                 yield pd.DataFrame({"file": file, "at": [g[0] for g in got], "x": [float(g[1]) for g in got]})
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "file string, at long, x double")
+    return files.select("path", "content").mapInPandas(run, "file string, at long, x double")
+
+
+def binary_records(spark: SparkSession, path: str, delim: int, fmt: str = "<d") -> DataFrame:
+    """``records`` of the files at a path. A file is one value of its scan."""
+    return records(spark.read.format("binaryFile").load(path), delim, fmt)

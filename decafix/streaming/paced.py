@@ -29,6 +29,14 @@ def text_source(spark: SparkSession, path: str, skip: int = 0, delim: str = ",",
     return rows.where(F.col("x").isNotNull())
 
 
+def binary_source(spark: SparkSession, path: str, delim: int, fmt: str = "<d") -> DataFrame:
+    """Records of arriving binary files, as the batch scan decodes them."""
+    from decafix.sources.scans import records
+
+    files = spark.readStream.format("binaryFile").schema(spark.read.format("binaryFile").load(path).schema).load(path)
+    return records(files, delim, fmt)
+
+
 def parquet_source(spark: SparkSession, path: str, schema, files_per_trigger: int = 1, only: str = "*") -> DataFrame:
     """Arriving files of a folder, those whose names match ``only``."""
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).option("pathGlobFilter", only).parquet(path)

@@ -66,3 +66,38 @@ def test_generators(spark):
 def test_clients_from_toml(tmp_path, spark):
     (tmp_path / "c.toml").write_text('[clients.a]\nkind = "normal"\namount = 12\nmean = 3.0\n')
     assert clients.load(str(tmp_path / "c.toml"))["a"].batch(spark).count() == 12
+
+
+def test_described_clients_run(tmp_path, spark):
+    (tmp_path / "c.toml").write_text('[clients.g]\ntype = "gen"\ngen_type = "normal"\namount = 200\n[clients.g.params]\nmean = 3.0\nstd_dev = 0.5\n[clients.g.run_period]\nsec = 20\n[clients.g.frequency]\nnano_sec = 1000\n')
+    g = clients.load(str(tmp_path / "c.toml"))["g"]
+    assert (g.kind, g.amount, g.mean, g.std, g.run_s, g.interval_s) == ("normal", 200, 3.0, 0.5, 20, 1e-6)
+    assert clients.Client("normal", amount=200, run_s=30).run(spark, str(tmp_path / "out"), str(tmp_path / "log")) >= 200
+    assert spark.read.parquet(str(tmp_path / "out")).count() >= 200
+
+
+def test_binary_stream(spark, tmp_path):
+    from decafix.streaming import paced
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "b.bin").write_bytes(b"\xff".join([struct.pack("<d", 1.0), b"bad", struct.pack("<d", 2.0)]))
+    q = paced.binary_source(spark, str(tmp_path / "in"), 255).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "log")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert [r["x"] for r in spark.read.parquet(str(tmp_path / "out")).orderBy("at").collect()] == [1.0, 2.0]
+
+
+@pytest.mark.parametrize("kind,a,b,mean", [("exponential", 2.0, 1.0, 0.5), ("uniform", 1.0, 3.0, 2.0), ("bernoulli", 0.25, 0.0, 0.25), ("logistic", 5.0, 1.0, 5.0), ("weibull", 1.0, 1.0, 1.0), ("pareto", 1.0, 5.0, 1.25), ("lognormal", 0.0, 0.1, 1.005)])
+def test_distributions(spark, kind, a, b, mean):
+    from pyspark.sql import functions as F
+
+    assert abs(generators.distribution(spark, 20_000, kind, a, b, 1).agg(F.avg("x")).collect()[0][0] - mean) < 0.06
+
+
+def test_link_crosses_stripes_and_breaks_ties(spark):
+    rows = [(s, f"2024-01-0{d} 0{h}:00:00", e) for s in (1, None) for e, (d, h) in enumerate([(1, 1), (1, 1), (1, 5), (4, 2), (4, 2), (9, 9)])]
+    from decafix.operators import segments
+
+    df = spark.createDataFrame(rows, "signal int, t string, e int").selectExpr("signal", "cast(t as timestamp) as timestamp", "e")
+    got = {(r["signal"], r["e"]): str(r["prev_timestamp"])[:16] for r in segments.link(df, ("e",)).collect()}
+    want = ["None", "2024-01-01 01:00", "2024-01-01 01:00", "2024-01-01 05:00", "2024-01-04 02:00", "2024-01-04 02:00"]
+    assert got == {(s, i): w for s in (1, None) for i, w in enumerate(want)}
