@@ -2,12 +2,18 @@
 
 A page is read into a tree (tags, parents, text in page order; ends of paragraphs, list items and cells implied as browsers imply them).
 Branches that are navigation, headers, footers, asides, notices, adverts, forms, scripts, styles, comments or hidden, by tag, role or a word of
-class or id, take no part (names alone don't count against a box that holds the article, the main part or the page's h1, nor where nothing else would be left). Each paragraph earns points, 1 and one for each comma and up to 3 for length; it passes them to its ancestors, whole to
+class or id, take no part (names alone don't count against a box that holds the article, the main part or the page's h1, nor where nothing else would be left; inside an article
+or main part a name counts only if it says nothing else, so "related-posts" goes and "social-history" stays). An article element with text is the article; of several, the one with most.
+Without one, the main element is. Without either, paragraphs are scored: each earns points, 1 and one for each comma and up to 3 for length; it passes them to its ancestors, whole to
 the parent, half to the next, then a third of that distance. A container's points are discounted by its link density; the best one (the first of
-ties) is kept, grown to the article around it, with those siblings that score near it or read as text. Lists and boxes of links inside are left out.
+ties) is kept, with those siblings that score near it or read as text, and those boxes beside it or beside its ancestors that hold a part as good as half of it. There, lists and boxes
+of links are left out; in an article or main part they stay.
 
-Blocks are the text between block tags, character references decoded, white space one space, trimmed, joined by an empty line. Nulls and
-pages without text give an empty text. A page is worked on whole, alone; loops, not recursion, so depth is no limit.
+Blocks are the text between block tags, character references decoded, white space one space, trimmed, joined by an empty line.
+
+Results by case. Null and empty pages, and pages without text, give an empty text with 0 characters. A page is worked on whole, alone, however long; loops, not recursion, so depth is no
+limit. Broken markup is read as far as it goes. Repeated rows and ids, and rows without an id, are pages each. An empty table gives no rows. Columns beyond the three are not read,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -38,6 +44,9 @@ CLOSES_P = BLOCK - {"body", "html", "caption", "tbody", "thead", "tfoot", "tr",
 JUNK_TAGS = frozenset("head script style textarea title noscript iframe noframes template nav footer aside form button select object embed svg canvas audio video dialog menu map input label".split())
 JUNK_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form toolbar".split())
 JUNK_WORDS = frozenset("nav navbar navigation menu menubar breadcrumb breadcrumbs sidebar aside ad ads adv advert adverts advertisement advertising adsense sponsor sponsored sponsors promo promotion promoted banner cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup login share sharing social comment comments commentlist disqus respond reply replies related recommended recommendations pagination pager footer masthead toolbar widget widgets skip search copyright legal disclaimer paywall teaser teasers trending".split())
+#: Of the junk words, those that don't count inside an article; and words that say nothing beside a junk word.
+PART_WORDS = frozenset("legal copyright disclaimer teaser teasers".split())
+NEUTRAL_WORDS = frozenset("box block list section area container wrapper wrap inner outer bar link links post posts button buttons panel item items article content top bottom left right page site module unit heading title card cards row col column group in text".split())
 PAGE_WORDS = frozenset(["header", "topbar", "bottom"])
 CONTENT_WORDS = frozenset("article post entry content story main body text".split())
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
@@ -68,15 +77,21 @@ def is_junk(tag: str, attrs: str, tree: Tree, parent: int) -> int:
     inside = tag == "header" and tree.inside[parent]
     if tag == "header" and not inside:
         return HARD
-    if not attrs or tag in ("html", "body", "article", "main"):
+    if not attrs or tag in ("html", "body", "main"):
         return 0
+    part = tag == "article" or tree.inside[parent] or tag in PARAGRAPHS or tag in HEADINGS
     if "hidden" in attrs and (re.search(r"""(^|\s)hidden(\s|$|=(?!["']?until-found))""", re.sub(r'"[^"]*"|\'[^\']*\'', '""', attrs)) or re.search(r"aria-hidden\s*=\s*[\"']?true", attrs)):
         return HARD
     for m in ATTRIBUTE.finditer(attrs):
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if name == "role" and value.lower() in JUNK_ROLES or name == "style" and HIDDEN.search(value):
             return HARD
-        if name in ("class", "id"):
+        if name in ("class", "id") and part:
+            for token in value.split():
+                words = {w.lower() for w in WORDS.findall(token)}
+                if (said := words & JUNK_WORDS - PART_WORDS) and words <= said | NEUTRAL_WORDS:
+                    return SOFT
+        elif name in ("class", "id"):
             words = {w.lower() for w in WORDS.findall(value)}
             if words & JUNK_WORDS or words & PAGE_WORDS and not words & CONTENT_WORDS and not inside:
                 return SOFT
@@ -165,7 +180,7 @@ def _spared(tree: Tree) -> list[int]:
     """Junk without those boxes that are so by their names only, but hold the article, the main part or the heading of the page."""
     junk, seen = tree.junk[:], [False] * len(tree.junk)
     for i in range(1, len(junk)):
-        if tree.tag[i] in ("article", "main", "h1"):
+        if tree.tag[i] in ("article", "main", "h1") and not tree.junk[i]:
             at = tree.parent[i]
             while at and not seen[at]:
                 seen[at] = True
@@ -207,29 +222,20 @@ def _blocks(tree: Tree, junk: list[bool]) -> list[str]:
                 at, level = parent[at], level + 1
     density = [linked[i] / size[i] if size[i] else 0.0 for i in range(n)]
     points = [p * (1 - d) for p, d in zip(points, density, strict=True)]
-    best = max((i for i in range(n) if not junk[i]), key=lambda i: (points[i], -i), default=0)
-    if points[best] <= 0:
-        best = 0
-    at = best
-    while at and tag[at] != "article":
-        at = parent[at]
-    best = at or best
+    text = [size[i] - linked[i] for i in range(n)]
+    named = next((found for kind in ("article", "main") if (found := [i for i in range(1, n) if tag[i] == kind and not junk[i] and size[i]])), None)
     keep = [False] * n
+    if named:
+        best = max(named, key=lambda i: (text[i], size[i], -i))
+    else:
+        best = max((i for i in range(n) if not junk[i]), key=lambda i: (points[i], -i), default=0)
+        best = best if points[best] > 0 else 0
+        _beside(keep, best, tag, parent, junk, points, density, size, linked)
     keep[best] = True
-    if best and tag[best] not in ("article", "body", "main"):
-        up, before = parent[best], None
-        for i in range(1, n):
-            if parent[i] == up and i != best and not junk[i]:
-                if points[i] >= max(10, 0.2 * points[best]) or tag[i] in PARAGRAPHS and density[i] < 0.25 and (size[i] > 80 or size[i] and not linked[i]):
-                    keep[i] = True
-                if i < best:
-                    before = i
-        if before and tag[before] in HEADINGS and density[before] < 0.25:
-            keep[before] = True
     drop = junk
     for i in range(1, n):
         keep[i] = keep[i] or keep[parent[i]]
-        if keep[i] and i != best and size[i] and density[i] > 0.5 and tag[i] in ("ul", "ol", "dl", "div", "section", "table", "header"):
+        if not named and keep[i] and i != best and size[i] and density[i] > 0.5 and tag[i] in ("ul", "ol", "dl", "div", "section", "table", "header"):
             drop[i] = True
         drop[i] = drop[i] or drop[parent[i]]
     blocks, part = [], []
@@ -244,6 +250,30 @@ def _blocks(tree: Tree, junk: list[bool]) -> list[str]:
     return [b for b in blocks if b]
 
 
+def _beside(keep: list[bool], best: int, tag: list[str], parent: list[int], junk: list[bool], points: list[float], density: list[float], size: list[int], linked: list[int]) -> None:
+    """Marks what else belongs to the best container: siblings, and at each level above it boxes that hold a part as good as half of it."""
+    if not best or tag[best] == "body":
+        return
+    good, kids = points[:], [[] for _ in tag]
+    for i in range(len(tag) - 1, 0, -1):
+        kids[parent[i]].append(i)
+        if not junk[i]:
+            good[parent[i]] = max(good[parent[i]], good[i])
+    at, before = best, None
+    while at and tag[at] not in ("body", "html"):
+        for i in reversed(kids[parent[at]]):
+            if i == at or junk[i]:
+                continue
+            alike = density[i] < 0.25 and good[i] >= 0.5 * points[best]
+            if at == best:
+                alike = alike or points[i] >= max(10, 0.2 * points[best]) or tag[i] in PARAGRAPHS and density[i] < 0.25 and (size[i] > 80 or size[i] and not linked[i])
+                before = i if i < best else before
+            keep[i] = keep[i] or alike
+        at = parent[at]
+    if before and tag[before] in HEADINGS and density[before] < 0.25:
+        keep[before] = True
+
+
 def extract(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) of every row of (page_id, url, html)."""
 

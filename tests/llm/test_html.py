@@ -26,6 +26,26 @@ def test_junk_goes_and_article_stays(page):
     assert main_blocks(page) == P
 
 
+LINKS = "<ul><li><a href=a>Reference one</a></li><li><a href=b>Reference two</a></li></ul>"
+
+
+@pytest.mark.parametrize("page,want", [
+    (f"<article><p class=teaser>{P[0]}</p><p>{P[1]}</p></article>", P[:2]),
+    (f"<article><p>{P[0]}</p><section class=legal><p>{P[1]}</p></section></article>", P[:2]),
+    (f"<article><p>{P[0]}</p><p id=social-history>{P[1]}</p></article>", P[:2]),
+    (f"<article><p>{P[0]}</p>{LINKS}</article>", [P[0], "Reference one", "Reference two"]),
+    (f"<article><p>{P[0]}</p><table><tr><td><a href=a>Reference one</a></td></tr></table></article>", [P[0], "Reference one"]),
+    (f"<body><article><p>A short one, this.</p></article><div><p>{P[0]}</p><p>{P[1]}</p></div></body>", ["A short one, this."]),
+    (f"<body><div class=part><div><p>{P[0]}</p></div></div><div class=part><div><p>{P[1]}</p></div></div><div class=part><div><p>{P[0]}</p></div></div></body>", [P[0], P[1], P[0]]),
+    (f"<body><div>{P[0]}</div><div>{P[1]}</div><div>{P[0]}</div></body>", [P[0], P[1], P[0]]),
+    (f"<main><h1>Head</h1><p>{P[0]}</p><div class='share-buttons'>Share, this</div></main>", ["Head", P[0]]),
+    (f"<article>{BODY}<div class='related'><p>{P[0]}</p></div><div class='notice'><p>{P[0]}</p></div><p class=advert>Buy, now</p></article>", P),
+    (f"<article>{BODY}</article><div id=comments><article class=comment><p>{P[0]} {P[1]} {P[0]} {P[1]} I say</p></article></div>", P),
+])
+def test_article_keeps_its_parts(page, want):
+    assert main_blocks(page) == want
+
+
 def test_white_space_references_and_order():
     got = main_blocks("<article><h1> T&eacute;st &amp; &#x41;&#66; </h1><p>a<b>b</b> c<br>d\n\n e&nbsp;f</p>tail<ul><li>one<li>two</ul><pre>x\n y</pre></article>")
     assert got == ["Tést & AB", "ab c d e f", "tail", "one", "two", "x y"]
