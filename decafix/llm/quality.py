@@ -4,10 +4,12 @@ Two zstandard dictionaries are built from good and from bad labelled texts. A wh
 the difference of the two sizes over the text's size says which kind it resembles. A logistic curve fitted on labelled
 texts (each measured with dictionaries that it took no part in) turns the difference into a probability of good quality.
 
-Only a bounded number of labelled texts is learnt from (``Sample``); scoring reads every byte of every text. Nulls and
-empty texts have no sizes to compare and get the share of good labels as score. Rows with repeated ids are scored each by its own text.
-A label counts if its id has one distinct quality, 0 or 1. Without labels of both kinds nothing can be learnt: every score is the share of
-good labels, or 0.5 if there are none.
+Only a bounded number of labelled texts is learnt from (``Sample``); scoring reads every byte of every text, however long, piece by piece.
+
+Results by case. Null and empty texts have no sizes to compare and get the share of good labels as score. Rows with repeated ids, and rows without one, are scored each
+by its own text; equal rows get equal scores. A label counts if its id has one distinct quality, 0 or 1; of an id's several texts the least is learnt from. Without labels of both
+kinds (or with an empty table of either sort) nothing can be learnt: every score is the share of good labels, or 0.5 if there are none; no documents give no rows. A score at the
+threshold is kept. Extra columns are kept by ``keep_good`` and not read by ``score``, whatever their names.
 """
 
 from __future__ import annotations
@@ -110,13 +112,12 @@ def labelled(docs: DataFrame, labels: DataFrame, sample: Sample, learn: Column)
     ok = labels.select(F.col("doc_id").cast("long").alias("id"), F.col("quality").alias("q")).where("id IS NOT NULL AND q IN (0, 1)")
     ok = ok.groupBy("id").agg(F.min("q").alias("q"), F.max("q").alias("__top")).where("q = __top").select("id", "q").where(learn)
     share = ok.agg(F.avg("q")).collect()[0][0]
-    kinds = []
-    for q in (1, 0):
-        ids = ok.where(F.col("q") == q).orderBy(F.xxhash64("id", F.lit(sample.seed)), "id").limit(sample.rows)
-        rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("binary").alias("t")).where(F.length("t").between(1, sample.longest))
-        got = rows.join(F.broadcast(ids), "id", "left_semi").groupBy("id").agg(F.min("t").alias("t")).toPandas()
-        kinds.append([bytes(t) for t in got.sort_values("id")["t"]] if len(got) else [])
-    return kinds[0], kinds[1], 0.5 if share is None else float(share)
+    first = lambda q: ok.where(F.col("q") == q).orderBy(F.xxhash64("id", F.lit(sample.seed)), "id").limit(sample.rows)
+    ids = first(1).unionByName(first(0))
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("binary").alias("t")).where(F.length("t").between(1, sample.longest))
+    got = rows.join(F.broadcast(ids), "id").groupBy("id").agg(F.min("q").alias("q"), F.min("t").alias("t")).toPandas().sort_values("id")
+    good, bad = ([bytes(t) for t in got["t"][got["q"] == q]] for q in (1, 0))
+    return good, bad, 0.5 if share is None else float(share)
 
 
 def _tools(dictionaries: list[bytes]) -> list[zstandard.ZstdCompressor]:
