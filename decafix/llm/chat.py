@@ -9,12 +9,13 @@ string occurs in them and unescaping (drop the backslash before a character, kee
 The loss mask covers the text of assistant turns, nothing else.
 
 Rows are dealt by conversation and sorted by (turn, role, text), nulls first; batches then stream. For a batch, numpy computes the lengths of
-all segments (headers, escaped roles and texts, trailers), their offsets in one preallocated buffer by a cumulative sum, and the scatter
-indices of every content byte; headers are copied at their offsets. A conversation that continues in the next batch is carried over
-as finished bytes. The formatted conversation is the operator's output value; that value is the most that a task holds of one
-conversation besides a batch, however many turns it has.
+all segments (headers, escaped roles and texts, trailers), their offsets in one preallocated Arrow buffer by a cumulative sum, and the scatter
+indices of every content byte; headers are copied at their offsets. Conversations that lie whole in a batch are that buffer, cut by offsets; one that goes on in the next batch is
+carried over as finished bytes. The formatted conversation is the operator's output value; that value is the most that a task holds of one
+conversation besides a batch, however many turns it has. A conversation is one value, so the format's own limit for one is 2 GB.
 
-A null text or role is empty. A null conv_id is a conversation of its own (all such rows). Repeated rows are repeated turns.
+Results by case. A null text or role is empty; empty texts are turns. Very long texts are escaped whole. A null conv_id is a conversation of its own (all such rows). Turns with equal
+numbers are ordered by role and text. Repeated rows are repeated turns. An empty table gives no rows. Columns beyond the four are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -70,7 +71,7 @@ def assemble(roles: list[bytes], texts: list[bytes]) -> tuple[np.ndarray, np.nda
     n, r_len, t_len = len(texts), np.diff(rb), np.diff(tb)
     bounds = np.zeros(n + 1, np.int64)
     np.cumsum(r_len + t_len + len(OPEN) + len(MIDDLE) + len(CLOSE), out=bounds[1:])
-    out = np.empty(int(bounds[-1]), np.uint8)
+    out = np.frombuffer(pa.allocate_buffer(int(bounds[-1])), np.uint8)
     role_at = bounds[:-1] + len(OPEN)
     text_at = role_at + r_len + len(MIDDLE)
     for data, lens, own, at in ((rd, r_len, rb, role_at), (td, t_len, tb, text_at)):
@@ -80,40 +81,61 @@ def assemble(roles: list[bytes], texts: list[bytes]) -> tuple[np.ndarray, np.nda
     return out, bounds, text_at, text_at + t_len
 
 
-def _rows(items: list[tuple]) -> pa.RecordBatch:
-    conv, turns, data, starts, ends = map(list, zip(*items, strict=True)) if items else ([], [], [], [], [])
-    return pa.RecordBatch.from_arrays([pa.array(conv, pa.int64()), pa.array(turns, pa.int64()), pa.array(data, pa.binary()), pa.array(starts, pa.list_(pa.int64())), pa.array(ends, pa.list_(pa.int64()))], names=["conv_id", "n_turns", "formatted", "loss_starts", "loss_ends"])
+_NAMES = ["conv_id", "n_turns", "formatted", "loss_starts", "loss_ends"]
+
+
+def _one(conv, turns: int, parts: list[bytes], starts: list[int], ends: list[int]) -> pa.RecordBatch:
+    """A conversation that went on over several pieces."""
+    lists = [pa.array([x], pa.list_(pa.int64())) for x in (starts, ends)]
+    return pa.RecordBatch.from_arrays([pa.array([conv], pa.int64()), pa.array([turns], pa.int64()), pa.array([b"".join(parts)], pa.binary()), *lists], names=_NAMES)
+
+
+def _whole(conv: pa.Array, out: np.ndarray, bounds: np.ndarray, heads: np.ndarray, start: np.ndarray, end: np.ndarray, trained: np.ndarray) -> pa.RecordBatch:
+    """Conversations that lie whole in a piece, turns heads[i] to heads[i + 1] each: their bytes are the piece's buffer itself, cut by offsets."""
+    at = bounds[heads]
+    data = pa.BinaryArray.from_buffers(pa.binary(), len(heads) - 1, [None, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(out)])
+    mine = np.flatnonzero(trained[heads[0] : heads[-1]]) + heads[0]
+    cuts = pa.array(np.searchsorted(mine, heads), pa.int32())
+    own = at[np.searchsorted(heads, mine, "right") - 1]
+    lists = [pa.ListArray.from_arrays(cuts, pa.array(x[mine] - own, pa.int64())) for x in (start, end)]
+    return pa.RecordBatch.from_arrays([conv.take(pa.array(heads[:-1])), pa.array(np.diff(heads)), data, *lists], names=_NAMES)
 
 
 def _stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted turns (conv_id, role, text) to conversations."""
+    """Sorted turns (conv_id, role, text) to conversations. The last of a piece may go on in the next one, so it is held back."""
     held = None  # conv_id, turns, parts of bytes, loss starts, loss ends, length so far
 
-    def close():
-        return (held[0], held[1], b"".join(held[2]), held[3], held[4])
-
     for batch in batches:
         for piece in pieces(batch, 2):
             conv, roles = piece.column(0).to_pylist(), blobs(piece.column(1))
             out, bounds, start, end = assemble(roles, blobs(piece.column(2)))
             heads = [0, *[i for i in range(1, len(conv)) if conv[i] != conv[i - 1]], len(conv)]
-            trained, done, whole = np.array([r == TRAINED for r in roles]), [], memoryview(out)
-            for a, b in zip(heads[:-1], heads[1:], strict=True):
-                if held is not None and held[0] != conv[a]:
-                    done.append(close())
+            trained, first = np.array([r == TRAINED for r in roles]), 0
+            if held is not None and held[0] != conv[0]:
+                yield _one(*held[:5])
+                held = None
+            if held is not None:
+                first = 1
+                _extend(held, out, bounds, 0, heads[1], start, end, trained)
+                if len(heads) > 2:
+                    yield _one(*held[:5])
                     held = None
-                if held is None:
-                    held = [conv[a], 0, [], [], [], 0]
-                shift, mine = held[5] - int(bounds[a]), np.flatnonzero(trained[a:b]) + a
-                held[1] += b - a
-                held[2].append(bytes(whole[int(bounds[a]) : int(bounds[b])]))
-                held[3] += (start[mine] + shift).tolist()
-                held[4] += (end[mine] + shift).tolist()
-                held[5] += int(bounds[b] - bounds[a])
-            if done:
-                yield _rows(done)
+            if len(heads) - 2 > first:
+                yield _whole(piece.column(0), out, bounds, np.array(heads[first:-1]), start, end, trained)
+            if held is None:
+                held = [conv[-1], 0, [], [], [], 0]
+                _extend(held, out, bounds, heads[-2], heads[-1], start, end, trained)
     if held is not None:
-        yield _rows([close()])
+        yield _one(*held[:5])
+
+
+def _extend(held: list, out: np.ndarray, bounds: np.ndarray, a: int, b: int, start: np.ndarray, end: np.ndarray, trained: np.ndarray) -> None:
+    shift, mine = held[5] - int(bounds[a]), np.flatnonzero(trained[a:b]) + a
+    held[1] += b - a
+    held[2].append(out[int(bounds[a]) : int(bounds[b])].tobytes())
+    held[3] += (start[mine] + shift).tolist()
+    held[4] += (end[mine] + shift).tolist()
+    held[5] += int(bounds[b] - bounds[a])
 
 
 def format_conversations(turns: DataFrame) -> DataFrame:
