@@ -78,8 +78,8 @@ def op6_decontaminate(spark, sf):
 
 
 SQL["op6_decontaminate"] = r"""
-WITH d AS (SELECT doc_id, generate_subscripts(w, 1) AS p, unnest(w) AS x FROM (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents)),
-b AS (SELECT item_id, len(w) AS n, generate_subscripts(w, 1) AS i, unnest(w) AS x FROM (SELECT item_id, regexp_extract_all(lower(coalesce(text, '')), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark) WHERE len(w) >= 7),
+WITH d AS (SELECT doc_id, generate_subscripts(w, 1) AS p, unnest(w) AS x FROM (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents)),
+b AS (SELECT item_id, len(w) AS n, generate_subscripts(w, 1) AS i, unnest(w) AS x FROM (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark) WHERE len(w) >= 7),
 m AS (SELECT doc_id, item_id, n, p - i AS diagonal, i FROM d JOIN b USING (x)),
 f AS (SELECT *, count(*) OVER (PARTITION BY doc_id, item_id, diagonal ORDER BY i RANGE BETWEEN CURRENT ROW AND 12 FOLLOWING) AS near, count(*) OVER (PARTITION BY doc_id, item_id, diagonal) AS matched
   FROM m QUALIFY matched >= 7),
@@ -98,7 +98,7 @@ def _license_sql() -> str:
     phrases = ", ".join(f"('{p}', '{label}')" for p, label in licenses.PHRASES.items())
     return rf"""
 WITH t(s, label, words, need) AS (VALUES {rows}), p(phrase, label) AS (VALUES {phrases}),
-d AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 places AS (SELECT doc_id, label, k FROM (SELECT doc_id, w, label, string_split(phrase, ' ') AS q, unnest(range(len(w))) AS k FROM d, p WHERE list_has_all(w, string_split(phrase, ' '))) WHERE w[k + 1 : k + len(q)] = q),
 b AS (SELECT doc_id, count(*) AS n_base, min(k) AS first_word, max(k) AS last_word, list_distinct(list(label)) AS base FROM places GROUP BY 1),
 blocks AS (SELECT doc_id, s, list_distinct(w[k + 1 : k + 2 * s]) AS x FROM (SELECT doc_id, w, s, unnest(range(0, len(w), s)) AS k FROM d, (SELECT DISTINCT s FROM t))),
@@ -135,7 +135,7 @@ def op4_mixing(spark, sf):
 
 
 SQL["op4_mixing"] = r"""
-WITH RECURSIVE d AS (SELECT doc_id, source, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS t, CAST('0x' || substr(md5('b' || doc_id), 1, 4) AS BIGINT) % 128 AS block FROM documents WHERE len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) > 0),
+WITH RECURSIVE d AS (SELECT doc_id, source, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS t, CAST('0x' || substr(md5('b' || doc_id), 1, 8) AS BIGINT) % (SELECT greatest(128, count(*) // 65536) FROM documents) AS block FROM documents WHERE len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) > 0),
 s AS (SELECT source, sum(t)::BIGINT AS t, sum(t) / CAST(sum(sum(t)) OVER () AS DOUBLE) AS p, CAST(sum(sum(t)) OVER () AS BIGINT) AS budget, count(*) OVER () AS n FROM d GROUP BY source),
 g AS (SELECT 0.0::DOUBLE AS a, 1.0::DOUBLE AS w, 0 AS i UNION ALL
   SELECT CASE WHEN ok THEN a ELSE a + w / 2 END, w / 2, i + 1 FROM (SELECT a, w, i, (SELECT ln(sum(pow(p, a + w / 2))) - (a + w / 2) * sum(pow(p, a + w / 2) * ln(p)) / sum(pow(p, a + w / 2)) <= 0.95 * ln(max(n))

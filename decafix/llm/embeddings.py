@@ -13,7 +13,8 @@ task's work of its own, so no cell is held whole. Identical vectors of a label a
 
 A vector that is null, empty, zero or holds a null or a non-finite component links with nothing, nor does one with a null label. Vectors of different
 lengths don't link. Rows without a vec_id count as neighbours and connect others, but have no component; rows that repeat a vec_id with different
-vectors are one node of the graph, each row with its own links.
+vectors are one node of the graph, each row with its own links. Long vectors are worked on whole. A cosine of exactly the threshold links. Equal vectors of a label link with each other
+(ties in order go to the least vec_id). An empty table gives no rows. Columns beyond the three are not read, whatever their names.
 """
 
 from __future__ import annotations

@@ -10,7 +10,9 @@ filter, first on whole texts, which settles nearly all); B and T must share one
 of T (prefix filter, an equi-join); with i and j words before the shared one, min(|T| - i, |B| - j) + min(i, j) >= need (positional filter); survivors are
 verified by their whole intersection.
 
-A null text is empty. Repeated rows and null ids are rows like any other, each with its own result.
+Results by case. A null text is empty; an empty one, or one without words, has no label and score 0. Texts of any length are read whole, block by block. Repeated rows, repeated ids and null
+ids are rows like any other, each with the result of its own text. Ties between templates of one label go to the greater containment. An empty table gives no rows. Columns beyond the
+id and the text are not read, whatever their names.
 """
 
 from __future__ import annotations

@@ -8,8 +8,11 @@ Documents are dealt to ``blocks`` blocks by a hash of the id. Each pass of a sou
 last, partial pass takes blocks in that order while they fit, then documents of the next block in a hashed order while they fit. So totals by (source, block) decide almost everything, and only
 one block of a source is ever ordered by document: a source with a third of all rows is no large group.
 
-Tokens are runs of other than white space. Rows without tokens are no part of a mixture. A null source is a source of its own. Rows
-without an id, or that repeat one, are told apart by their text; equal rows go together. An empty table gives an empty mixture.
+Tokens are runs of other than white space, of whole texts of any length.
+
+Results by case. Rows without tokens (null, empty, white space) are no part of a mixture. A null source is a source of its own. Rows
+without an id, or that repeat one, are told apart by their text; equal rows go together. Equal hashes are ordered by the row's key. An empty table gives an empty mixture.
+Extra columns are kept by ``mix``, but for ``epoch`` and ``block_rank``, which it replaces.
 """
 
 from __future__ import annotations
@@ -29,10 +32,16 @@ class Target:
     entropy: float = 0.95
     max_epochs: float = 4.0
     budget: int | None = None  # tokens; None: as many as there are
-    blocks: int = 128
+    blocks: int | None = None  # None: one for each BLOCK_ROWS rows, LEAST_BLOCKS at least
     seed: int = 42
 
 
+#: Hex digits of the hash that deals documents to blocks.
+DIGITS = 8
+#: Rows that one block has on average where the number of blocks follows from the table, and the least number of blocks.
+BLOCK_ROWS, LEAST_BLOCKS = 65_536, 128
+
+
 #: Bisection: ROUNDS jobs, each halving the interval BITS times by looking at all points that those halvings could reach.
 ROUNDS, BITS = 4, 5
 
@@ -84,8 +93,9 @@ def plan(slim: DataFrame, target: Target) -> DataFrame:
 def choose(docs: DataFrame, target: Target = Target()) -> DataFrame:
     """(key, doc_id, source, epoch, block_rank, tokens) of every place of a document in the mixture; ``key`` names the row."""
     name = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("k"), "key"))
+    blocks = target.blocks or max(LEAST_BLOCKS, docs.count() // BLOCK_ROWS)
     slim = docs.select(row_key(F.col("doc_id"), F.col("text")).alias("key"), "doc_id", F.col("source").cast("string").alias("source"), tokens(F.col("text")).alias("t")).where("t > 0")
-    slim = cut(slim.withColumn("block", F.conv(F.substring(F.md5(F.concat(F.lit("b"), name).cast("binary")), 1, 4), 16, 10).cast("int") % target.blocks))
+    slim = cut(slim.withColumn("block", F.conv(F.substring(F.md5(F.concat(F.lit("b"), name).cast("binary")), 1, DIGITS), 16, 10).cast("long") % blocks))
     p = cut(plan(slim, target)).withColumnRenamed("source", "s").withColumnRenamed("block", "k")
     met = slim.join(p, F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("k")))
     out = ["key", "doc_id", "source", "epoch", "block_rank", F.col("t").alias("tokens")]

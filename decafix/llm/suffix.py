@@ -15,7 +15,11 @@ rows with a null id after all others by their content; rows that repeat an id ar
    matching statistics are streamed against it; a window whose match reaches 100 bytes is a repeat if the index's interval of that match holds an earlier string.
 5. Repeats come back to their documents; runs of covered bytes are removed.
 
-Entries travel in packed columns, many to a row. Texts are whole, as UTF-8; null is empty and has nothing to remove.
+Entries travel in packed columns, many to a row. Entries with equal anchors are told apart by 64 bits of content and 64 of the anchor; strings of step 4 are compared by their bytes.
+
+Results by case. Texts are whole, as UTF-8, however long; a null is empty, and it and texts under 100 bytes have nothing to remove. Ties in id are ordered by content. Equal rows (id and text)
+are one document and have one result each. An empty table gives no rows. ``remove`` keeps extra columns, whatever their names (but for names that start with two underscores), and
+counts ``n_chars`` anew.
 """
 
 from __future__ import annotations

@@ -9,13 +9,21 @@ from pyspark.sql import functions as F
 GAPS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def lowered(text: Column) -> Column:
+    """A-Z alone in lower case; a null is empty. (Where all is ASCII that is what ``lower`` does, which is faster.)"""
+    text = F.coalesce(text.cast("string"), F.lit(""))
+    return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
+
+
 def words(text: Column) -> Column:
-    """ARRAY<STRING>; a null text has no words. Lower-casing may change characters beyond ASCII, which are word characters
-    before and after, so it moves no boundary."""
-    return F.array_remove(F.split(F.lower(F.coalesce(text.cast("string"), F.lit(""))), GAPS), "")
+    """ARRAY<STRING>; a null text has no words."""
+    return F.array_remove(F.split(lowered(text), GAPS), "")
 
 
 def row_key(doc_id: Column, text: Column) -> Column:
-    """Names a row by what it holds, so that results can be joined back: equal rows share it, null ids and repeated ids
+    """Names a row by what it holds, in 128 bits, so that results can be joined back: equal rows share it, null ids and repeated ids
     with other texts don't."""
-    return F.xxhash64(doc_id, text, F.length(text))
+    return F.concat(F.hex(F.xxhash64(doc_id, text, F.length(text))), F.lit(":"), F.hex(F.xxhash64(F.lit("second"), text, doc_id)))

@@ -46,3 +46,13 @@ def test_edges(spark):
     assert mixing.mix(docs.limit(0)).count() == 0
     small = mixing.choose(table(spark, {"a": 100, "b": 100}), mixing.Target(budget=500))
     assert sum(r["tokens"] for r in small.collect()) in range(480, 501)
+
+
+def test_own_epoch_is_replaced_and_blocks_grow(spark, monkeypatch):
+    docs = table(spark, {"a": 60, "b": 6})
+    out = mixing.mix(docs, mixing.Target(0.9, 4.0, blocks=4))
+    assert out.columns == ["doc_id", "text", "source", "t", "epoch", "block_rank"] and {r["t"] for r in out.collect()} == {9}
+    monkeypatch.setattr(mixing, "BLOCK_ROWS", 1)
+    monkeypatch.setattr(mixing, "LEAST_BLOCKS", 2)
+    fine = mixing.choose(docs, mixing.Target(0.5, 4.0)).collect()
+    assert 640 <= sum(r["tokens"] for r in fine) <= 660 and max(r["block_rank"] for r in fine) > 30
