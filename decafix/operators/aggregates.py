@@ -21,8 +21,8 @@ def sum_bounded(df: DataFrame, x: str, precision: int, *keys: str) -> DataFrame:
     return bounded(df, x, precision).groupBy(*keys).agg(decode(exact_sum(F.col("fx")), precision).alias("sum_value"), F.count("fx").alias("n"))
 
 
-def sum_reduced(df: DataFrame, x: str, precision: int, asked: int) -> DataFrame:
-    rows = with_stats(bounded(df, x, precision))
+def sum_reduced(df: DataFrame, x: str, precision: int, asked: int, known: tuple[int, int] | None = None) -> DataFrame:
+    rows = with_stats(bounded(df, x, precision), known=known)
     return rows.agg(decode(exact_sum(reduced(F.col("fx"), F.col("base"), F.col("width"), precision, asked)), precision).alias("sum_value"), F.count("fx").alias("n"))
 
 

@@ -8,9 +8,6 @@ from pyspark.sql import functions as F
 from decafix.functions import decode, fixed, reduced
 from decafix.functions.planes import bit_length
 
-#: Rows of a position list up to which it is sent to every executor.
-GATHER_BROADCAST_ROWS = 1_000_000
-
 
 def bounded(df: DataFrame, x: str, precision: int, out: str = "fx") -> DataFrame:
     """``df`` with the fixed-point column; rows without a fixed form are left out."""
@@ -22,8 +19,11 @@ def segment_stats(df: DataFrame, fx: str = "fx") -> DataFrame:
     return df.agg(F.count(fx).alias("n"), F.min(fx).alias("base"), F.max(fx).alias("top")).withColumn("width", bit_length(F.col("top") - F.col("base")))
 
 
-def with_stats(df: DataFrame, fx: str = "fx") -> DataFrame:
-    """Every row beside the single row of ``segment_stats``; that side is one row, so it is sent, not shuffled."""
+def with_stats(df: DataFrame, fx: str = "fx", known: tuple[int, int] | None = None) -> DataFrame:
+    """Every row beside base and width: of ``known`` least and greatest fixed values, or else of the single row of ``segment_stats`` (a pass of its own; that side is one row, so it
+    is sent, not shuffled)."""
+    if known:
+        return df.withColumns({"base": F.lit(known[0]).cast("long"), "width": F.lit((known[1] - known[0]).bit_length())})
     return df.crossJoin(F.broadcast(segment_stats(df, fx).select("base", "width")))
 
 
@@ -31,8 +31,8 @@ def decode_all(df: DataFrame, x: str, precision: int, keep: list[str]) -> DataFr
     return bounded(df, x, precision).select(*keep, decode(F.col("fx"), precision).alias("value"))
 
 
-def decode_reduced(df: DataFrame, x: str, precision: int, asked: int, keep: list[str]) -> DataFrame:
-    rows = with_stats(bounded(df, x, precision))
+def decode_reduced(df: DataFrame, x: str, precision: int, asked: int, keep: list[str], known: tuple[int, int] | None = None) -> DataFrame:
+    rows = with_stats(bounded(df, x, precision), known=known)
     return rows.select(*keep, decode(reduced(F.col("fx"), F.col("base"), F.col("width"), precision, asked), precision).alias("value"))
 
 
@@ -44,7 +44,5 @@ def select_where(df: DataFrame, *predicates: Column) -> DataFrame:
 
 
 def gather(df: DataFrame, positions: DataFrame, pos: str = "pos") -> DataFrame:
-    """Rows at the listed positions. A short list (its size is looked at first) is sent; a longer one is shuffled."""
-    wanted = positions.select(pos).distinct()
-    few = wanted.limit(GATHER_BROADCAST_ROWS + 1).count() <= GATHER_BROADCAST_ROWS
-    return df.join(F.broadcast(wanted) if few else wanted, pos, "left_semi")
+    """Rows at the listed positions (each once, however often it is listed). Whether the list is sent or shuffled is left to its size at run time."""
+    return df.join(positions.select(pos), pos, "left_semi")

@@ -411,6 +411,8 @@ for _q in (0, 1, 2):
     _low = f"base + ((off >> {_drop}) << {_drop})"
     query(f"decode_reduced_{_q}", f"SELECT pos, CAST({_low} AS DOUBLE) / 256 AS value FROM {EVOFF}")(lambda spark, sf, q=_q: scan.decode_reduced(events(spark, sf), "x", 2, q, ["pos"]))
     query(f"sum_reduced_{_q}", f"SELECT CAST(sum({_low}) AS DOUBLE) / 256 AS sum_value, count(*) AS n FROM {EVOFF}")(lambda spark, sf, q=_q: aggregates.sum_reduced(events(spark, sf), "x", 2, q))
+    query(f"decode_reduced_{_q}_known", f"SELECT pos, CAST({_low} AS DOUBLE) / 256 AS value FROM {SOFF}")(lambda spark, sf, q=_q: scan.decode_reduced(events(spark, sf), "x", 2, q, ["pos"], KNOWN))
+    query(f"sum_reduced_{_q}_known", f"SELECT CAST(sum({_low}) AS DOUBLE) / 256 AS sum_value, count(*) AS n FROM {SOFF}")(lambda spark, sf, q=_q: aggregates.sum_reduced(events(spark, sf), "x", 2, q, KNOWN))
     for _layout in ("plain", "slice", "majority", "residue"):
         query(f"segment_reduced_{_q}_{_layout}", f"SELECT pos, CAST({_low} AS DOUBLE) / 256 AS value FROM {SOFF}")(lambda spark, sf, q=_q, n=_layout: encoded.decode_reduced(_segments(spark, sf, n, True), 2, q))
         query(f"segment_sum_reduced_{_q}_{_layout}", f"SELECT CAST(sum({_low}) AS DOUBLE) / 256 AS sum_value, count(*) AS n FROM {SOFF}")(lambda spark, sf, q=_q, n=_layout: encoded.sum_segments(_segments(spark, sf, n, True), 2, q))
