@@ -64,3 +64,27 @@ def test_mixture(stages):
 
 def test_run(spark, stages):
     assert sorted(map(str, corpus_pipeline.run(spark, SF).collect())) == sorted(map(str, stages[-1].collect()))
+
+
+def test_odd_tables(spark, tmp_path):
+    """Nulls, repeated ids and rows, clashing names, a very long text; and an empty table."""
+    from pyspark.sql import functions as F
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    some = docs.orderBy("doc_id").limit(60)
+    body = " ".join(f"word{k}" for k in range(200))
+    odd = [(None, body, "en", None, 1), (None, None, None, "s", None), (7_000, None, "en", "s", 0), (7_001, "", "en", "s", 0), (7_002, body + " and more", None, None, None), (7_002, "another text under this id " * 3, "en", "s", 5)]
+    odd += [(7_003, "the long one " + " ".join(f"w{k % 5000}x{k}" for k in range(60_000)), "en", "s", 1)] + [(7_004, "twice the very same row of the table, which is short", "en", "s", 1)] * 2
+    own = {c: F.lit(1) for c in ("id", "h", "d", "key", "a", "b", "block", "epoch", "places", "component")}
+    rows = some.unionByName(spark.createDataFrame(odd, "doc_id long, text string, lang string, source string, n_chars long")).withColumns(own)
+    for name, table in (("documents", rows), ("labels", spark.read.parquet(f"{SF}/labels.parquet")), ("benchmark", spark.read.parquet(f"{SF}/benchmark.parquet"))):
+        table.write.parquet(f"{tmp_path}/{name}.parquet")
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    got = out.collect()
+    assert set(rows.columns) <= set(out.columns) and got and all((r["text"] or "").strip() and r["h"] == r["id"] == r["component"] == 1 for r in got)
+    assert {r["doc_id"] for r in got} <= {r["doc_id"] for r in rows.collect()}
+    (tmp_path / "none").mkdir()
+    rows.limit(0).write.parquet(f"{tmp_path}/none/documents.parquet")
+    for name in ("labels", "benchmark"):
+        spark.read.parquet(f"{SF}/{name}.parquet").write.parquet(f"{tmp_path}/none/{name}.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
