@@ -2,14 +2,17 @@
 
 Two unit vectors have cosine c exactly where their squared distance is 2 - 2c. Vectors are scaled to length 1, rotated by a fixed random rotation and cut
 into ``BLOCKS`` low-dimensional blocks; the blocks' squared distances add up, so a pair within the whole budget is within the block's share of it
-(the budget times the block's share of the dimensions) in at least one block. Each block is searched by a range join: its first ``GRID`` coordinates
-are laid on a grid of cells twice as wide as the block's radius, a vector is at home in one cell and visits those that its box of that radius meets, and
-homes meet visitors of the same label, block and cell. Candidates are pairs whose block distance is within the share; a pair counts in the first block in which it is one,
-and is verified there by its cosine in double precision.
+(the budget times the block's share of the dimensions) in at least one block. Each block is range-joined by ``near_pairs``: homes are halved at the median of
+their widest coordinate and visitors go on to the halves that lie within the block's radius, until few are left. A pair counts in the first block in which it is within the
+share, and is verified there by its cosine in double precision.
+
+How vectors meet depends on the size of their label, in tiles of ``TILE`` rows. A label of one tile is one task's work and each vector is sent once. One of up to ``DIRECT``
+tiles is joined tile by tile, all blocks at once. A larger label is distributed by block: some coordinates of the block, more for larger labels, are laid on a grid of cells twice as wide as
+the block's radius; a vector is at home in one cell and visits those that its box of that radius meets. Cells beyond a tile are cut into tiles of homes and of visitors, so no cell
+or label is held whole. Results don't depend on any of these sizes.
 
 Pairs aren't listed. Where homes and visitors meet, each home's verified neighbours are counted, and of the links a spanning forest goes on; so a dense cluster of
-different vectors sends a number of rows that is linear in its size. A cell with more than ``TILE`` rows is cut into tiles of homes and of visitors, each a
-task's work of its own, so no cell is held whole. Identical vectors of a label are one class with a count, so copies cost one row.
+different vectors sends a number of rows that is linear in its size. Identical vectors of a label are one class with a count, so copies cost one row.
 
 A vector that is null, empty, zero or holds a null or a non-finite component links with nothing, nor does one with a null label. Vectors of different
 lengths don't link. Rows without a vec_id count as neighbours and connect others, but have no component; rows that repeat a vec_id with different
@@ -19,6 +22,7 @@ vectors are one node of the graph, each row with its own links. Long vectors are
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,11 +35,17 @@ from decafix.llm.components import components, spanning
 from decafix.plans.lineage import cut
 
 COSINE = 0.98
-BLOCKS, GRID = 8, 2
-#: Rows of a cell beyond which it is cut into tiles; crowded cells up to which their list is sent to all tasks.
-TILE, CROWDED = 4096, 100_000
+BLOCKS = 8
+#: Rows of 64 values in a tile; tiles up to which a label is joined tile by tile; crowded labels or cells up to which their list is sent to all tasks.
+TILE, DIRECT, CROWDED = 16384, 64, 100_000
+#: Grid coordinates of larger labels: (tiles up to, coordinates). A cell's coordinates are packed modulo 64, 6 bits each; cells that then share a place only compare more.
+GRID = ((512, 4), (4096, 6), (None, 8))
+#: The place of rows that meet in all blocks at once; else the lowest byte is the block.
+ALL = 255
 #: Room for rounding in the block search; verification decides.
 SLACK = 1e-6
+#: Homes that are not halved any more; candidate pairs verified at once.
+_LEAF = 32
 _PAIRS = 1 << 16
 
 
@@ -72,60 +82,92 @@ def by_length(vectors: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]
 
 
 def _meeting(cosine: float, whole: bool):
-    """Rows where each class is at home and visits: (place, home, tile, cls, copies, vec) if ``whole``, else (place). ``place`` packs length, cell and block
-    together; the block is its lowest byte."""
+    """Rows (label, cls, copies, embedding, grid) to where each class is at home and visits: (label, place, home, cls, copies, embedding) if ``whole``, else
+    (label, place, home, room), ``room`` being the vector's length. ``grid`` is the number of gridded coordinates, 0 for labels that meet at ``ALL``."""
+
+    def out(batch: pa.RecordBatch, rows: np.ndarray, place: np.ndarray, home: np.ndarray, dim: int) -> pa.RecordBatch:
+        at = pa.array(rows)
+        cols = [batch.column(0).take(at), pa.array(place), pa.array(home)]
+        if whole:
+            return pa.RecordBatch.from_arrays([*cols, *[batch.column(i).take(at) for i in (1, 2, 3)]], names=["label", "place", "home", "cls", "copies", "embedding"])
+        return pa.RecordBatch.from_arrays([*cols, pa.array(np.full(len(rows), dim, np.int64))], names=["label", "place", "home", "room"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            grids = batch.column(4).to_numpy(zero_copy_only=False)
             for dim, pick, x in by_length(batch.column(3)):
-                turned = units(x) @ rotation(dim)
-                for b, (lo, hi) in enumerate(blocks_of(dim)):
-                    radius, g = np.sqrt(share_of(cosine, hi - lo, dim)) * (1 + 1e-9) + 1e-9, min(GRID, hi - lo)
-                    part = turned[:, lo : lo + g]
-                    low, high = (np.floor((part + s * radius) / (2 * radius)).astype(np.int64) for s in (-1, 1))
-                    home = np.floor(part / (2 * radius)).astype(np.int64)
-                    for corner in range(1 << g):
-                        up = (corner >> np.arange(g)) & 1
-                        rows = np.flatnonzero(~((up == 1) & (high == low)).any(1))  # each cell once
-                        if not len(rows):
-                            continue
-                        cell = np.where(up, high, low)[rows]
-                        place = (((cell + (1 << 19)) << (20 * np.arange(g))).sum(1) << 8 | b) ^ (dim << 52)
-                        at = pa.array(pick[rows])
-                        out = [batch.column(0).take(at), pa.array(place)]
-                        if whole:
-                            out += [pa.array((cell == home[rows]).all(1)), *[batch.column(i).take(at) for i in (1, 2, 3)]]
-                        yield pa.RecordBatch.from_arrays(out, names=["label", "place", "home", "cls", "copies", "embedding"][: len(out)])
+                for grid in np.unique(grids[pick]):
+                    of = np.flatnonzero(grids[pick] == grid)
+                    if not grid:
+                        yield out(batch, pick[of], np.full(len(of), ALL, np.int64), np.ones(len(of), bool), dim)
+                        continue
+                    turned = units(x[of]) @ rotation(dim)
+                    for b, (lo, hi) in enumerate(blocks_of(dim)):
+                        radius, g = radius_of(share_of(cosine, hi - lo, dim)), min(int(grid), hi - lo)
+                        part = turned[:, lo : lo + g]
+                        low, high = (np.floor((part + s * radius) / (2 * radius)).astype(np.int64) for s in (-1, 1))
+                        home = np.floor(part / (2 * radius)).astype(np.int64)
+                        for corner in range(1 << g):
+                            up = (corner >> np.arange(g)) & 1
+                            rows = np.flatnonzero(~((up == 1) & (high == low)).any(1))  # each cell once
+                            if len(rows):
+                                cell = np.where(up, high, low)[rows]
+                                place = ((cell & 63) << (6 * np.arange(g))).sum(1) << 8 | b
+                                yield out(batch, pick[of][rows], place, (cell == home[rows]).all(1), dim)
 
     return run
 
 
+def radius_of(share: float) -> float:
+    return np.sqrt(share) * (1 + 1e-9) + 1e-9
+
+
+def near_pairs(x: np.ndarray, y: np.ndarray, share: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Numbers (i, j) of rows of ``x`` and ``y`` within the squared distance ``share`` (a little more at most), each pair once."""
+    radius, sy, room = radius_of(share), (y * y).sum(1), _PAIRS * 16
+    todo = [(np.arange(len(x)), np.arange(len(y)))]
+    while todo:
+        a, b = todo.pop()
+        if not len(a) or not len(b):
+            continue
+        if len(a) > _LEAF and len(b) > _LEAF:
+            spread = np.ptp(x[a], axis=0)
+            c = int(spread.argmax())
+            v, w = x[a, c], y[b, c]
+            middle = np.partition(v, len(v) // 2)[len(v) // 2]
+            less, below, above = v < middle, w < middle + radius, w >= middle - radius
+            # a split that sends nearly all visitors both ways saves nothing
+            if less.any() and below.sum() + above.sum() < 1.9 * len(b):
+                todo += [(a[less], b[below]), (a[~less], b[above])]
+                continue
+        step = max(1, room // len(b))
+        for at in range(0, len(a), step):
+            p = x[a[at : at + step]]
+            i, j = np.nonzero((p * p).sum(1)[:, None] + sy[b] - 2 * p @ y[b].T <= share + SLACK)
+            yield a[i + at], b[j]
+
+
 def tile_links(cosine: float, x: np.ndarray, y: np.ndarray, block: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(home, visitor) numbers of verified pairs of unit vectors whose first candidate block this is, some homes at a time."""
+    """(home, visitor) numbers of verified pairs of unit vectors whose first candidate block this is, or all verified pairs if ``block`` is ``ALL``."""
     dim = x.shape[1]
     cuts, turn = blocks_of(dim), rotation(dim)
     rx, ry = x @ turn, y @ turn
     share = [share_of(cosine, hi - lo, dim) for lo, hi in cuts]
-    lo, hi = cuts[block]
-    bx, by = rx[:, lo:hi], ry[:, lo:hi]
-    sy = (by * by).sum(1)
-    step = max(1, _PAIRS * 16 // max(1, len(y)))
-    for at in range(0, len(x), step):
-        p = bx[at : at + step]
-        near = (p * p).sum(1)[:, None] + sy - 2 * p @ by.T <= share[block] + SLACK
-        i, j = np.nonzero(near)
-        i += at
-        for k in range(0, len(i), _PAIRS):
-            a, b = i[k : k + _PAIRS], j[k : k + _PAIRS]
-            d = rx[a] - ry[b]
-            d *= d
-            inside = [d[:, lo:hi].sum(1) <= s for (lo, hi), s in zip(cuts[: block + 1], share, strict=False)]
-            ok = inside[block]
-            for earlier in inside[:block]:
-                ok &= ~earlier
-            a, b = a[ok], b[ok]
-            ok = (x[a] * y[b]).sum(1) >= cosine
-            yield a[ok], b[ok]
+    for n, (lo, hi) in enumerate(cuts):
+        if block not in (n, ALL):
+            continue
+        for i, j in near_pairs(np.ascontiguousarray(rx[:, lo:hi]), np.ascontiguousarray(ry[:, lo:hi]), share[n]):
+            for k in range(0, len(i), _PAIRS):
+                a, b = i[k : k + _PAIRS], j[k : k + _PAIRS]
+                d = rx[a] - ry[b]
+                d *= d
+                inside = [d[:, lo:hi].sum(1) <= s for (lo, hi), s in zip(cuts[: n + 1], share, strict=False)]
+                ok = inside[n]
+                for earlier in inside[:n]:
+                    ok &= ~earlier
+                a, b = a[ok], b[ok]
+                ok = (x[a] * y[b]).sum(1) >= cosine
+                yield a[ok], b[ok]
 
 
 def _tiles(cosine: float):
@@ -174,23 +216,31 @@ def _tiles(cosine: float):
     return run
 
 
+def _with(rows: DataFrame, few: DataFrame, on: list[str]) -> DataFrame:
+    """``rows`` with the columns of a list of crowded keys, which is sent to all tasks while it has at most ``CROWDED`` rows."""
+    return rows.join(F.broadcast(few) if few.limit(CROWDED + 1).count() <= CROWDED else few, on, "left")
+
+
 def links(classes: DataFrame, cosine: float = COSINE, tile: int | None = None) -> DataFrame:
     """(cls, other, n) for classes of (cls, label, copies, embedding): rows with a null ``other`` add n, the vectors of other classes that link with one of cls; the others are
     links that connect whatever is connected."""
-    tile = tile or TILE
+    room = F.lit((tile or TILE) * 64)
     kinds = dict(classes.dtypes)
-    slim = classes.select("label", "cls", "copies", "embedding")
-    crowded = slim.mapInArrow(_meeting(cosine, False), f"label {kinds['label']}, place long").groupBy("label", "place").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > tile)
-    crowded = cut(crowded.select("label", "place", F.ceil(F.col("size") / tile).cast("int").alias("cuts")))
+    tiles = F.col("room") / room
+    grid = functools.reduce(lambda w, step: w.when(tiles <= step[0], step[1]) if step[0] else w.otherwise(step[1]), GRID, F.when(tiles <= DIRECT, 0))
+    large = classes.groupBy("label").agg(F.sum(F.size("embedding")).alias("room")).select("label", grid.alias("grid")).where("grid > 0")
+    slim = _with(classes.select("label", "cls", "copies", "embedding"), cut(large), ["label"]).withColumn("grid", F.coalesce("grid", F.lit(0)))
+    rooms = slim.mapInArrow(_meeting(cosine, False), f"label {kinds['label']}, place long, home boolean, room long").groupBy("label", "place")
+    rooms = rooms.agg(F.sum("room").alias("all"), F.sum(F.when(F.col("home"), F.col("room"))).alias("homes")).where(F.col("all") > room)
+    crowded = cut(rooms.select("label", "place", F.ceil(F.coalesce("homes", F.lit(1)) / room).cast("int").alias("hs"), F.ceil(F.col("all") / room).cast("int").alias("vs")))
     rows = slim.mapInArrow(_meeting(cosine, True), f"label {kinds['label']}, place long, home boolean, cls long, copies long, embedding {kinds['embedding']}")
-    few = crowded.limit(CROWDED + 1).count() <= CROWDED
-    rows = rows.join(F.broadcast(crowded) if few else crowded, ["label", "place"], "left").withColumn("own", F.pmod(F.xxhash64("cls"), F.coalesce("cuts", F.lit(1))).cast("int"))
-    # in a cell of c cuts, tile (i, j) has the homes of cut i and the visitors of cut j; a row of an uncut cell serves as both at once
+    rows = _with(rows, crowded, ["label", "place"])
+    # in a crowded cell, tile (i, j) has the homes of cut i and the visitors of cut j; a row of an uncut cell serves as both at once
+    mine = lambda cuts: F.pmod(F.xxhash64("cls"), F.col(cuts)).cast("int")
     whole = F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(2).alias("side")))
-    other = F.sequence(F.lit(0), F.col("cuts") - 1)
-    as_home = F.transform(other, lambda k: F.struct(F.col("own").alias("i"), k.alias("j"), F.lit(0).alias("side")))
-    as_visitor = F.transform(other, lambda k: F.struct(k.alias("i"), F.col("own").alias("j"), F.lit(1).alias("side")))
-    tiles = F.when(F.col("cuts").isNull(), whole).when(F.col("home"), F.concat(as_home, as_visitor)).otherwise(as_visitor)
+    as_home = F.transform(F.sequence(F.lit(0), F.col("vs") - 1), lambda k: F.struct(mine("hs").alias("i"), k.alias("j"), F.lit(0).alias("side")))
+    as_visitor = F.transform(F.sequence(F.lit(0), F.col("hs") - 1), lambda k: F.struct(k.alias("i"), mine("vs").alias("j"), F.lit(1).alias("side")))
+    tiles = F.when(F.col("hs").isNull(), whole).when(F.col("home"), F.concat(as_home, as_visitor)).otherwise(as_visitor)
     rows = rows.withColumn("t", F.explode(tiles)).select("label", "place", "t.i", "t.j", "t.side", "home", "cls", "copies", "embedding")
     dealt = rows.repartition("label", "place", "i", "j").sortWithinPartitions("label", "place", "i", "j")
     return dealt.mapInArrow(_tiles(cosine), "cls long, other long, n long")

@@ -85,3 +85,32 @@ def test_ties_and_repeated_ids(spark):
     df = spark.createDataFrame([(7, [1.0, 0.0], 1), (7, [0.0, 1.0], 1), (8, [1.0, 0.001], 1), (9, [0.001, 1.0], 1), (7, [1.0, 0.0], 1)], "vec_id long, embedding array<double>, label int")
     got = sorted((x["vec_id"], x["n_links"], x["component_id"]) for x in near_duplicates(df).collect())
     assert got == [(7, 1, 7), (7, 2, 7), (7, 2, 7), (8, 2, 7), (9, 1, 7)]
+
+
+def test_large_labels_by_grids(spark, monkeypatch):
+    from decafix.llm import embeddings
+
+    r = np.random.default_rng(9)
+    centres = r.normal(size=(5, 32))
+    rows = [(i, (centres[r.integers(5)] + r.normal(size=32) * r.choice([0.03, 0.1, 0.14, 0.3])).tolist(), int(r.integers(2))) for i in range(240)]
+    rows += [(1000 + i, r.normal(size=3).tolist(), 1) for i in range(40)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    want = brute(rows)
+    monkeypatch.setattr(embeddings, "DIRECT", 0)
+    monkeypatch.setattr(embeddings, "_LEAF", 4)
+    for grid, tile in ((2, 16384), (4, 16384), (2, 20)):
+        monkeypatch.setattr(embeddings, "GRID", ((None, grid),))
+        monkeypatch.setattr(embeddings, "TILE", tile)
+        assert sorted((str(x["vec_id"]), x["n_links"], x["component_id"]) for x in near_duplicates(df).collect()) == want
+
+
+def test_near_pairs_against_all_pairs():
+    from decafix.llm.embeddings import near_pairs
+
+    r = np.random.default_rng(10)
+    for n, m, scale in ((700, 900, 1.0), (700, 900, 0.02), (1, 50, 1.0), (300, 300, 0.0)):
+        x, y = r.normal(size=(n, 6)) * scale, r.normal(size=(m, 6)) * scale
+        far = ((x[:, None] - y[None]) ** 2).sum(2)
+        got = [p for i, j in near_pairs(x, y, 0.3) for p in zip(i.tolist(), j.tolist(), strict=True)]
+        assert len(got) == len(set(got)) and {tuple(p) for p in np.argwhere(far <= 0.3).tolist()} <= set(got)
+        assert all(far[p] <= 0.3 + 1e-5 for p in got)
