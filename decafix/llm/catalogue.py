@@ -78,12 +78,12 @@ def op6_decontaminate(spark, sf):
 
 
 SQL["op6_decontaminate"] = r"""
-WITH d AS (SELECT doc_id, generate_subscripts(w, 1) AS p, unnest(w) AS x FROM (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents)),
-b AS (SELECT item_id, len(w) AS n, generate_subscripts(w, 1) AS i, unnest(w) AS x FROM (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark) WHERE len(w) >= 7),
-m AS (SELECT doc_id, item_id, n, p - i AS diagonal, i FROM d JOIN b USING (x)),
+WITH d AS (SELECT doc_id, len(w) AS size, generate_subscripts(w, 1) AS p, unnest(w) AS x FROM (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents)),
+b AS (SELECT item_id, len(w) AS n, CASE WHEN len(w) >= 7 THEN least(11, len(w) - 1) ELSE len(w) END AS need, generate_subscripts(w, 1) AS i, unnest(w) AS x FROM (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark)),
+m AS (SELECT doc_id, item_id, need, p - i AS diagonal, i FROM d JOIN b USING (x) WHERE n >= 4 OR n = size),
 f AS (SELECT *, count(*) OVER (PARTITION BY doc_id, item_id, diagonal ORDER BY i RANGE BETWEEN CURRENT ROW AND 12 FOLLOWING) AS near, count(*) OVER (PARTITION BY doc_id, item_id, diagonal) AS matched
-  FROM m QUALIFY matched >= 7),
-l AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, max(matched) AS matched FROM f WHERE near >= least(11, n) GROUP BY doc_id)
+  FROM m QUALIFY matched >= need),
+l AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, max(matched) AS matched FROM f WHERE near >= need GROUP BY doc_id)
 SELECT doc_id, n_items IS NOT NULL AS contaminated, coalesce(n_items, 0) AS n_items, coalesce(matched, 0) AS matched FROM documents LEFT JOIN l USING (doc_id)
 """
 

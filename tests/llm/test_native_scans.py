@@ -5,7 +5,7 @@ from itertools import combinations
 import pytest
 from pyspark.sql import functions as F
 
-from compare import compare, duck
+from compare import TABLES, compare, duck
 from decafix.llm import catalogue, licenses
 from decafix.llm import decontaminate as dc
 
@@ -19,9 +19,49 @@ def test_same_as_sql(spark, name):
 
 
 def test_masks_are_lossless():
-    hits = [{o + p for p in m} for m in dc.MASKS for o in range(dc.WINDOW - m[-1])]
-    assert all(any(not h & set(e) for h in hits) for e in combinations(range(dc.WINDOW), dc.WINDOW - dc.NEEDED))
-    assert min(m[-1] for m in dc.MASKS) + 1 == dc.SHORTEST
+    for n in range(1, 21):  # a window of the item, and the places in it that may differ
+        span = min(n, dc.WINDOW)
+        off = 0 if n < dc.ONE_OFF else 1 if n < dc.WINDOW else dc.WINDOW - dc.NEEDED
+        hits = [{o + p for p in m} for m, low, high in dc.MASKS if low <= min(n, dc.LONG) <= high for o in range(span - m[-1])]
+        assert all(any(not h & set(e) for h in hits) for e in combinations(range(span), off))
+
+
+def _leaked(text, items):
+    """Ids of the items that a text leaks, by trying all alignments."""
+    w, out = re.findall(r"[a-z0-9]+", (text or "").lower()), set()
+    for i, t in items:
+        need = min(11, len(t) - 1) if len(t) >= 7 else len(t)
+        for d in range(-len(t), len(w)):
+            same = [0 <= d + k < len(w) and w[d + k] == t[k] for k in range(len(t))]
+            if t and max(sum(same[k : k + 13]) for k in range(len(t))) >= need and (len(t) >= 4 or len(t) == len(w)):
+                out.add(i)
+    return out
+
+
+@pytest.mark.parametrize("limit", [dc.BROADCAST_HASHES, 1])
+def test_short_items(spark, monkeypatch, tmp_path, limit):
+    monkeypatch.setattr(dc, "BROADCAST_HASHES", limit)
+    r = random.Random(8)
+    items = [(n, [f"i{n}w{r.randrange(4)}" for _ in range(n)]) for n in range(1, 15)] + [(20, ["no"] * 3), (21, ["yes"]), (22, [])]
+    texts = [None, "", "no no no", "no no", "oh no no no", "yes", "yes yes", "Yes!"]
+    for _, t in items:
+        for off in (0, 0, 1, 2):
+            w = list(t)
+            for at in r.sample(range(len(w)), min(off, len(w))):
+                w[at] = "changed"
+            texts += [" ".join(w), " ".join(["pad"] * 5 + w + ["pad"]), " ".join(w[1:] + ["pad"]), " ".join(["pad"] + w[:-1])]
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(t)) for i, t in items], "item_id long, text string")
+    got = {x["doc_id"]: x["n_items"] for x in dc.leaks(docs, bench).collect()}
+    want = {k: len(_leaked(t, items)) for k, t in enumerate(texts)}
+    assert got == want and sum(n > 0 for n in want.values()) > 60
+    if limit > 1:  # the query's SQL says the same
+        docs.coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+        bench.coalesce(1).write.parquet(f"{tmp_path}/benchmark.parquet")
+        for t in TABLES:
+            if t not in ("documents", "benchmark"):
+                spark.read.parquet(f"{SF}/{t}.parquet").limit(1).write.parquet(f"{tmp_path}/{t}.parquet")
+        assert compare(spark, duck(str(tmp_path)), catalogue.QUERIES["op6_decontaminate"], catalogue.SQL["op6_decontaminate"], str(tmp_path)) == ""
 
 
 def test_substitutions(spark):
@@ -37,15 +77,8 @@ def test_substitutions(spark):
     docs = spark.createDataFrame([(*x, 1) for x in rows], "doc_id long, text string, key int")
     items = spark.createDataFrame([(1, " ".join(item)), (2, "one two three four five six seven"), (3, "alpha beta gamma delta epsilon zeta"), (None, None), (1, " ".join(item))], "item_id long, text string")
 
-    def leaks(text):
-        w, out = re.findall(r"[a-z0-9]+", (text or "").lower()), set()
-        for i, t in ((1, item), (2, "one two three four five six seven".split())):
-            for d in range(-len(t), len(w)):
-                same = [0 <= d + k < len(w) and w[d + k] == t[k] for k in range(len(t))]
-                if max(sum(same[k : k + 13]) for k in range(len(t))) >= min(11, len(t)):
-                    out.add(i)
-        return len(out)
-
+    searched = [(1, item), (2, "one two three four five six seven".split()), (3, "alpha beta gamma delta epsilon zeta".split())]
+    leaks = lambda text: len(_leaked(text, searched))
     got = sorted((str(x["doc_id"]), x["n_items"]) for x in dc.leaks(docs, items).collect())
     assert got == sorted((str(i), leaks(t)) for i, t in rows) and any(n for _, n in got)
     kept = sorted((str(x["doc_id"]), x["text"] or "") for x in dc.clean(docs, items).collect())
