@@ -3,7 +3,8 @@
 A page is read into a tree (tags, parents, text in page order; ends of paragraphs, list items and cells implied as browsers imply them).
 Branches that are navigation, headers, footers, asides, notices, adverts, forms, scripts, styles, comments or hidden, by tag, role or a word of
 class or id, take no part (names alone don't count against a box that holds the article, the main part or the page's h1, nor where nothing else would be left; inside an article
-or main part a name counts only if it says nothing else, so "related-posts" goes and "social-history" stays). An article element with text is the article; of several, the one with most.
+or main part a name counts only if it says nothing else, so "related-posts" goes and "social-history" stays; inside program text names don't count). A box whose name says readers'
+comments and nothing else is none of these exceptions, whatever it holds. An article element with text is the article; of several, the one with most.
 Without one, the main element is. Without either, paragraphs are scored: each earns points, 1 and one for each comma and up to 3 for length; it passes them to its ancestors, whole to
 the parent, half to the next, then a third of that distance. A container's points are discounted by its link density; the best one (the first of
 ties) is kept, with those siblings that score near it or read as text, and those boxes beside it or beside its ancestors that hold a part as good as half of it. There, lists and boxes
@@ -47,6 +48,9 @@ JUNK_WORDS = frozenset("nav navbar navigation menu menubar breadcrumb breadcrumb
 #: Of the junk words, those that don't count inside an article; and words that say nothing beside a junk word.
 PART_WORDS = frozenset("legal copyright disclaimer teaser teasers".split())
 NEUTRAL_WORDS = frozenset("box block list section area container wrapper wrap inner outer bar link links post posts button buttons panel item items article content top bottom left right page site module unit heading title card cards row col column group in text".split())
+#: Readers' comments, and words that say nothing beside them ("comments-open" says something about the post).
+COMMENT_WORDS = frozenset("comment comments commentlist disqus respond reply replies".split())
+READER_WORDS = NEUTRAL_WORDS | frozenset("reader readers user users visitor visitors body meta author thread threads form".split())
 PAGE_WORDS = frozenset(["header", "topbar", "bottom"])
 CONTENT_WORDS = frozenset("article post entry content story main body text".split())
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
@@ -58,12 +62,14 @@ class Tree:
     def __init__(self) -> None:
         self.tag, self.parent, self.junk, self.items = ["#root"], [0], [0], []
         self.inside = [False]  # an article or main part
+        self.code = [False]  # preformatted or program text
 
     def add(self, tag: str, parent: int, junk: int) -> int:
         self.tag.append(tag)
         self.parent.append(parent)
         self.junk.append(junk)
         self.inside.append(self.inside[parent] or tag in ("article", "main"))
+        self.code.append(self.code[parent] or tag in ("pre", "code"))
         return len(self.tag) - 1
 
 
@@ -71,7 +77,7 @@ HARD, SOFT = 1, 2
 
 
 def is_junk(tag: str, attrs: str, tree: Tree, parent: int) -> int:
-    """HARD by tag, role or being hidden; SOFT by a word of class or id; else 0."""
+    """HARD by tag, role, being hidden or a name of readers' comments; SOFT by another word of class or id; else 0."""
     if tag in JUNK_TAGS:
         return HARD
     inside = tag == "header" and tree.inside[parent]
@@ -86,13 +92,17 @@ def is_junk(tag: str, attrs: str, tree: Tree, parent: int) -> int:
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if name == "role" and value.lower() in JUNK_ROLES or name == "style" and HIDDEN.search(value):
             return HARD
-        if name in ("class", "id") and part:
-            for token in value.split():
-                words = {w.lower() for w in WORDS.findall(token)}
+        if name not in ("class", "id") or tree.code[parent]:
+            continue
+        named = [{w.lower() for w in WORDS.findall(token)} for token in value.split()]
+        if any(words & COMMENT_WORDS and words <= COMMENT_WORDS | READER_WORDS for words in named):
+            return HARD
+        if part:
+            for words in named:
                 if (said := words & JUNK_WORDS - PART_WORDS) and words <= said | NEUTRAL_WORDS:
                     return SOFT
-        elif name in ("class", "id"):
-            words = {w.lower() for w in WORDS.findall(value)}
+        else:
+            words = set().union(*named)
             if words & JUNK_WORDS or words & PAGE_WORDS and not words & CONTENT_WORDS and not inside:
                 return SOFT
     return 0

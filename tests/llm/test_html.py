@@ -41,6 +41,11 @@ LINKS = "<ul><li><a href=a>Reference one</a></li><li><a href=b>Reference two</a>
     (f"<main><h1>Head</h1><p>{P[0]}</p><div class='share-buttons'>Share, this</div></main>", ["Head", P[0]]),
     (f"<article>{BODY}<div class='related'><p>{P[0]}</p></div><div class='notice'><p>{P[0]}</p></div><p class=advert>Buy, now</p></article>", P),
     (f"<article>{BODY}</article><div id=comments><article class=comment><p>{P[0]} {P[1]} {P[0]} {P[1]} I say</p></article></div>", P),
+    (f"<article>{BODY}<section class=comments><h2>Said</h2><article class=comment-body><p>{P[0]} I say</p></article></section></article>", P),
+    (f"<article>{BODY}<div class=reader-comments><p>{P[0]} I say</p></div><ol id=comment-list><li class=comment><p>{P[1]} I say</p></ol></article>", P),
+    (f"<article>{BODY}</article><section id=comments><article><p>{P[0]} {P[1]} {P[0]} {P[1]} I say</p></article></section>", P),
+    (f"<div class='post comments-open'><article>{BODY}</article></div>", P),
+    (f"<article><p>{P[0]}</p><pre><span class=comment># set x</span>\nx = 1</pre><div class=author-reply-times><p>{P[1]}</p></div></article>", [P[0], "# set x x = 1", P[1]]),
 ])
 def test_article_keeps_its_parts(page, want):
     assert main_blocks(page) == want
