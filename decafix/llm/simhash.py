@@ -155,9 +155,9 @@ WIDE, FAMILIES, FAMILY_BITS = 4, 24, 57
 BESIDE, NEAREST, WIDE_RADIUS, TRIED = 8, 2, 56, 4
 #: Classes of a shingle's run beyond which it is cut into tiles.
 TILE = 4096
-#: One in so many documents is read for shingles that are frequent (FREQUENT or more of those documents), and so many of them are sent to all tasks. They only set the order in which
-#: shingles are taken as keys; any order finds every pair.
-SAMPLED, FREQUENT, LISTED = 64, 4, 65_536
+#: Shingles of at least FREQUENT documents of one task, the most frequent LISTED of all, are sent to all tasks; a task counts its documents' shingles in a table of HELD at most, of which
+#: the rarest go when it is full. They only set the order in which shingles are taken as keys; any order finds every pair.
+FREQUENT, LISTED, HELD = 2, 65_536, 1 << 19
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93)]
 
 
@@ -338,16 +338,37 @@ def _shingle_pairs(tiled: bool, tile: int):
     return run
 
 
+def _most(h: np.ndarray, n: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and their counts added up, sorted by hash; if more than ``most``, as many of the greatest counts as fit without cutting equal counts apart."""
+    order = np.argsort(h, kind="stable")
+    h, n = h[order], n[order]
+    heads = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
+    h, n = h[heads], np.add.reduceat(n, heads) if len(h) else n
+    if len(h) > most:
+        keep = n > np.partition(n, len(n) - most - 1)[len(n) - most - 1]
+        h, n = h[keep], n[keep]
+    return h, n
+
+
 def frequent_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """(sorted hashes, counts) of shingles that many of a sample of the documents hold."""
+    """(sorted hashes, counts) of the shingles that most documents hold. Each task counts all its documents in a table of bounded size, and tables are added up."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        h, n, held, size = np.zeros(0, np.uint64), np.zeros(0, np.int64), [], 0
         for batch in batches:
             for piece in pieces(batch, 0):
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([shingle_hashes(t) for t in blobs(piece.column(0))]).view(np.int64))], names=["h"])
-
-    sample = docs.where(F.pmod(F.xxhash64("id"), F.lit(SAMPLED)) == 0).select("text").mapInArrow(run, "h long")
-    top = sample.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= FREQUENT).orderBy(F.desc("n"), "h").limit(LISTED).collect()
+                new = np.concatenate([shingle_hashes(t) for t in blobs(piece.column(0))])
+                held.append(new)
+                size += len(new)
+                if size > HELD:
+                    h, n = _most(np.concatenate([h, *held]), np.concatenate([n, np.ones(size, np.int64)]), HELD // 2)
+                    held, size = [], 0
+        h, n = _most(np.concatenate([h, *held]), np.concatenate([n, np.ones(size, np.int64)]), HELD)
+        h, n = _most(h[n >= FREQUENT], n[n >= FREQUENT], LISTED)
+        yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], names=["h", "n"])
+
+    counts = docs.select("text").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    top = counts.orderBy(F.desc("n"), "h").limit(LISTED).collect()
     h, n = np.array([x["h"] for x in top], np.int64).view(np.uint64), np.array([x["n"] for x in top], np.int64)
     order = np.argsort(h)
     return h[order], n[order]

@@ -1,5 +1,5 @@
 import random
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -187,6 +187,23 @@ def test_join_lists_every_pair_alike(spark, tile):
     assert len(set(got)) == len(got) and len(alike) > 20 and alike <= set(got) and all(a < b and a % 7 != b % 7 for a, b in got)
 
 
+def test_frequent_shingles_count_all_documents(spark, monkeypatch):
+    r = random.Random(12)
+    common = " ".join(f"c{i}" for i in range(14))
+    texts = [" ".join(f"r{r.randrange(10**6)}" for _ in range(30)) + (f" {common}" if i % 3 == 0 else "") + (" a b c d e" if i % 5 == 0 else "") for i in range(900)]
+    counts = Counter(h for t in texts for h in simhash.shingle_hashes(t.encode()).tolist())
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id long, text string").repartition(3)
+    h, n = simhash.frequent_shingles(docs)
+    got = dict(zip(h.tolist(), n.tolist(), strict=True))
+    hot = {k: c for k, c in counts.items() if c > 100}
+    assert len(hot) >= 11 and hot.items() <= got.items() and all(got[k] <= counts[k] for k in got) and sorted(got) == h.tolist()
+    monkeypatch.setattr(simhash, "HELD", 64)
+    h, n = simhash.frequent_shingles(docs)
+    assert all(c <= counts[k] for k, c in zip(h.tolist(), n.tolist(), strict=True))
+    h, n = simhash.frequent_shingles(docs.limit(0))
+    assert len(h) == len(n) == 0
+
+
 def test_recall_near_the_threshold(spark):
     pairs, new = [], iter(range(10**6))
     for n in (60, 200, 500):
