@@ -21,7 +21,9 @@ from decafix.operators.profile import MAJORITY_SHARE, OUTLIER_SHARE, SAMPLE_ROWS
 from decafix.operators.scan import bounded
 
 SEGMENT_ROWS = 65_536
-LAYOUTS = ("plain", "flipped", "slice", "majority", "residue", "offset")
+LAYOUTS = ("plain", "flipped", "slice", "majority", "residue", "offset", "split")
+#: Layouts of whole parts, then fractions; "split" holds values as they are where none is negative, "offset" their distance from the least.
+PARTED = ("offset", "split")
 _SCHEMA = "segment long, first_pos long, n int, base long, top long, ilen int, dlen int, layout string, org_size long, payload binary"
 
 
@@ -112,7 +114,7 @@ def _sparse(plane: np.ndarray, zero: bool) -> int | None:
 
 def encode_offsets(off: np.ndarray, width: int, dlen: int, layout: str, forced: int | None = None) -> bytes:
     """``forced`` holds the first plane sparsely about that byte, however frequent it is (layouts with sparse planes)."""
-    if layout == "offset":
+    if layout in PARTED:
         return pack(off >> dlen, max(0, width - dlen)) + pack(off & ((1 << dlen) - 1), dlen)
     whole, rest = divmod(width, 8)
     out, sparse_ends = [], False
@@ -134,7 +136,7 @@ def encode_offsets(off: np.ndarray, width: int, dlen: int, layout: str, forced:
 
 
 def decode_offsets(data: bytes, n: int, width: int, dlen: int, layout: str) -> np.ndarray:
-    if layout == "offset":
+    if layout in PARTED:
         ints = max(0, width - dlen)
         cut = -(-n * ints // 8)
         return (unpack(data[:cut], ints, n) << dlen) | unpack(data[cut:], dlen, n)
@@ -163,7 +165,7 @@ def decode_offsets(data: bytes, n: int, width: int, dlen: int, layout: str) -> n
 
 def encode(df: DataFrame, x: str, precision: int, layout: str = "plain", pos: str = "pos", rows: int = SEGMENT_ROWS, known: tuple[int, int] | None = None, forced: int | None = None) -> DataFrame:
     """Segments of ``df``. ``known`` (least and greatest fixed value) gives all segments one base, as a single pass over
-    a file with known statistics does. ``forced`` is the byte of a first plane that is held sparsely in any case."""
+    a file with known statistics does; a segment with values beyond them has its own. ``forced`` is the byte of a first plane that is held sparsely in any case."""
     if layout not in LAYOUTS:
         raise ValueError(f"layout must be one of {LAYOUTS}")
     dlen = fraction_bits(precision)
@@ -171,7 +173,11 @@ def encode(df: DataFrame, x: str, precision: int, layout: str = "plain", pos: st
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("pos", kind="stable")
         fx = pdf["fx"].to_numpy(np.int64)
-        base, top = known or (int(fx.min()), int(fx.max()))
+        base, top = int(fx.min()), int(fx.max())
+        if known:
+            base, top = min(base, known[0]), max(top, known[1])
+        if layout == "split":
+            base = min(base, 0)
         width = (top - base).bit_length()
         gaps = np.diff(pdf["pos"].to_numpy(np.int64), prepend=pdf["pos"].iloc[0] - 1)
         index = b"" if (gaps == 1).all() else zlib.compress(gaps.astype("<i8").tobytes(), 1)

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from decafix.functions.bounded import decode, fraction_bits, literal
-from decafix.operators.codecs import positions_of, prune, unpack
+from decafix.operators.codecs import PARTED, positions_of, prune, unpack
 
 
 @dataclass(frozen=True)
@@ -55,7 +55,7 @@ class Plane:
 
 def planes(data: bytes, n: int, width: int, dlen: int, layout: str) -> Iterator[Plane]:
     """The planes of a payload, one after the other; a plane that isn't asked for isn't read."""
-    if layout == "offset":
+    if layout in PARTED:
         ints = max(0, width - dlen)
         cut = -(-n * ints // 8)
         yield Plane(dlen, ints, unpack(data[:cut], ints, n))
