@@ -368,7 +368,7 @@ def frequent_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], names=["h", "n"])
 
     counts = docs.select("text").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
-    top = counts.orderBy(F.desc("n"), "h").limit(LISTED).collect()
+    top = cut(counts.orderBy(F.desc("n"), "h").limit(LISTED)).collect()  # collected as it is, each partition's list would go to the driver
     h, n = np.array([x["h"] for x in top], np.int64).view(np.uint64), np.array([x["n"] for x in top], np.int64)
     order = np.argsort(h)
     return h[order], n[order]
