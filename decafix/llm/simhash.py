@@ -252,11 +252,37 @@ def sketch_distance(x: bytes, y: bytes) -> int:
     return (a ^ b).bit_count()
 
 
+def pivots_of(hashes: np.ndarray) -> bytes:
+    """A set's row of the pivot distance table. Hashes fall into cells by their low bits, a power of two of at least an eighth of the set's size; a cell's reference is the half of
+    its hashes with the highest bit set. A coordinate is the set's distance to that reference within the cell (how many hashes are in one of them only), less the reference's size, a signed
+    byte. Empty if one doesn't fit a byte; such a row discards nothing."""
+    b = 1 << max(4, (len(hashes) - 1).bit_length() - 3)
+    cells = (hashes & np.uint64(b - 1)).astype(np.int64)
+    far = np.bincount(cells, minlength=b) - 2 * np.bincount(cells[hashes >> np.uint64(63) == 1], minlength=b)
+    return far.astype(np.int8).tobytes() if np.abs(far).max() < 128 else b""
+
+
+def pivot_bounds(x: list[bytes], y: list[bytes]) -> np.ndarray:
+    """For each two rows of the pivot distance table, in how many members their sets differ at least: by the triangle inequality that many in each cell as the distances to its reference
+    differ by, and cells have no hash in common. The longer row's cells are first added up to the shorter's."""
+    out, alike = np.zeros(len(x), np.int64), {}
+    for i, (u, v) in enumerate(zip(x, y, strict=True)):
+        if u and v:
+            alike.setdefault((len(u), len(v)), []).append(i)
+    for (m, n), at in alike.items():
+        u, v = (np.frombuffer(b"".join([c[i] for i in at]), np.int8).reshape(len(at), -1, min(m, n)).sum(1, dtype=np.int64) for c in (x, y))
+        out[at] = np.abs(u - v).sum(1)
+    return out
+
+
 def _possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b) of the pairs (a, b, na, nb, pa, pb, sa, sb) that neither the pivot distance table nor, of those left, the bits of the sketches tell apart."""
     most = (1 - SIMILARITY) / (1 + SIMILARITY) * (1 + 1e-12)
     for batch in batches:
-        m, n, x, y = (c.to_pylist() for c in batch.columns[2:])
-        ok = [sketch_distance(u, v) <= most * (i + j) for i, j, u, v in zip(m, n, x, y, strict=True)]
+        sizes = batch.column(2).to_numpy() + batch.column(3).to_numpy()
+        near = pivot_bounds(batch.column(4).to_pylist(), batch.column(5).to_pylist()) <= most * sizes
+        batch, sizes = batch.filter(pa.array(near)), sizes[near].tolist()
+        ok = [sketch_distance(u, v) <= most * n for n, u, v in zip(sizes, batch.column(6).to_pylist(), batch.column(7).to_pylist(), strict=True)]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
 
@@ -410,11 +436,11 @@ def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(1)], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
 
-def verified(docs: DataFrame, sketches: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Those pairs (a, b) of ids whose texts' sets of shingles are ``SIMILARITY`` alike. ``sketches`` (id, n, sketch) first discard pairs whose sets differ in too many members for that,
-    so that few texts are fetched."""
-    one, two = (sketches.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}")) for x in "ab")
-    pairs = cut(pairs.join(one, "a").join(two, "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(_possible, "a long, b long"))
+def verified(docs: DataFrame, tables: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Those pairs (a, b) of ids whose texts' sets of shingles are ``SIMILARITY`` alike. ``tables`` (id, n, pivots, sketch) first discard pairs whose sets differ in too many members for
+    that, so that few texts are fetched: by their distances to the pivots, and of the rest by the bits of their sketches."""
+    one, two = (tables.select(F.col("id").alias(x), *[F.col(c).alias(f"{c[0]}{x}") for c in ("n", "pivots", "sketch")]) for x in "ab")
+    pairs = cut(pairs.join(one, "a").join(two, "b").select("a", "b", "na", "nb", "pa", "pb", "sa", "sb").mapInArrow(_possible, "a long, b long"))
     wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
     texts = cut(docs.select("id", "text").join(wanted, "id", "left_semi"))
     both = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("y")), "b")
@@ -427,8 +453,12 @@ def similar_texts(docs: DataFrame) -> DataFrame:
     Texts with equal word sequences are one class. Two searches find candidates, and both verify them by the similarity of their sets of five-word shingles (fewer words: the whole
     sequence). First, nearest neighbours by fingerprint: classes are sorted by the bits of each family (bit sampling), looked at beside the rows before them, and the nearest few of all
     families verified. That links most of a large group at a few pairs a member, and may miss links. Then all that is left: classes of different groups that share a shingle of their
-    prefixes (``prefix_of``), every one with every other. So groups are exact, and pairs within what the first search has linked aren't listed. (Distances to a table of pivots would
-    discard next to nothing at these radii: sets that are 0.8 alike differ in some 37 of 256 bits, and unrelated ones differ in their distances to a pivot by 11 bits or so.)"""
+    prefixes (``prefix_of``), every one with every other. So groups are exact, and pairs within what the first search has linked aren't listed.
+
+    Candidates of both searches go through a pivot distance table, computed once for every text: a set's distances, cell by cell, to reference sets of shingles (``pivots_of``). Sets that
+    are ``SIMILARITY`` alike differ in a bounded number of members, so pairs whose coordinates differ by more in all are discarded by the triangle inequality. Survivors are verified by the bits
+    of a sketch, then by their texts. (Over whole fingerprints it would discard next to nothing: sets that are 0.8 alike differ in some 37 of 256 bits, and the distances of unrelated ones to
+    a pivot by 11 bits or so. Hence a reference for each cell, whose differences add up.)"""
     kinds = ", ".join(f"f{i} long" for i in range(WIDE))
     frequent, counts = frequent_shingles(docs)
 
@@ -441,22 +471,23 @@ def similar_texts(docs: DataFrame) -> DataFrame:
                 wide = wide_of(sets).view(np.int64)
                 same = np.array([xxhash.xxh3_64_intdigest(b" ".join(t.lower().split())) for t in texts], np.uint64).view(np.int64)
                 size = pa.array([len(t.split()) for t in texts], pa.int64())
-                n, sketch = pa.array([len(h) for h in sets], pa.int64()), pa.array([sketch_of(h) for h in sets], pa.binary())
-                yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(same), size, *[pa.array(wide[:, i]) for i in range(WIDE)], n, prefix, sketch], names=["id", "same", "size", *[f"f{i}" for i in range(WIDE)], "n", "prefix", "sketch"])
+                n, pivots, sketch = pa.array([len(h) for h in sets], pa.int64()), *[pa.array([of(h) for h in sets], pa.binary()) for of in (pivots_of, sketch_of)]
+                names = ["id", "same", "size", *[f"f{i}" for i in range(WIDE)], "n", "prefix", "pivots", "sketch"]
+                yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(same), size, *[pa.array(wide[:, i]) for i in range(WIDE)], n, prefix, pivots, sketch], names=names)
 
-    table = cut(docs.select("id", "text").mapInArrow(run, f"id long, same long, size long, {kinds}, n long, prefix array<long>, sketch binary"))
+    table = cut(docs.select("id", "text").mapInArrow(run, f"id long, same long, size long, {kinds}, n long, prefix array<long>, pivots binary, sketch binary"))
     classes = cut(table.groupBy("same", "size", *[f"f{i}" for i in range(WIDE)]).agg(F.min("id").alias("id")))
     fps = classes.select("id", *[f"f{i}" for i in range(WIDE)])
     keys = fps.mapInArrow(_family_keys, f"key long, id long, {kinds}").repartitionByRange("key", "id").sortWithinPartitions("key", "id")
     best = keys.mapInArrow(_neighbours, "id long, bits long, other long").groupBy("id").agg(F.slice(F.sort_array(F.collect_set(F.struct("bits", "other"))), 1, TRIED).alias("best"))
     tried = best.select("id", F.explode("best.other").alias("other"))
     near = cut(tried.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct())
-    sketches = table.select("id", "n", "sketch")
-    groups = components(verified(docs, sketches, near))
+    tables = table.select("id", "n", "pivots", "sketch")
+    groups = components(verified(docs, tables, near))
     sets = table.select("id", "n", "prefix").join(classes.select("id"), "id").join(groups.withColumnRenamed("node", "id"), "id", "left")
     rest = alike(sets.select("id", "n", "prefix", F.coalesce("component", "id").alias("group")))
-    linked = verified(docs, sketches, rest).unionByName(groups.select(F.col("component").alias("a"), F.col("node").alias("b")))
-    own = table.drop("n", "prefix", "sketch").join(classes.withColumnRenamed("id", "least"), ["same", "size", *[f"f{i}" for i in range(WIDE)]]).where("id <> least").select(F.col("least").alias("a"), F.col("id").alias("b"))
+    linked = verified(docs, tables, rest).unionByName(groups.select(F.col("component").alias("a"), F.col("node").alias("b")))
+    own = table.drop("n", "prefix", "pivots", "sketch").join(classes.withColumnRenamed("id", "least"), ["same", "size", *[f"f{i}" for i in range(WIDE)]]).where("id <> least").select(F.col("least").alias("a"), F.col("id").alias("b"))
     found = components(linked.unionByName(own))
     return found.select(F.col("node").alias("id"), "component")
 

@@ -245,3 +245,38 @@ def test_sketches_never_exceed_the_difference():
         y = set(r.sample(sorted(x), r.randrange(len(x) + 1))) | {r.getrandbits(64) for _ in range(r.randrange(1, 200))}
         a, b = (simhash.sketch_of(np.array(sorted(s), np.uint64)) for s in (x, y))
         assert simhash.sketch_distance(a, b) == simhash.sketch_distance(b, a) <= len(x ^ y) and simhash.sketch_distance(a, a) == 0
+
+
+def test_pivot_bounds_never_exceed_the_difference():
+    r, sets = random.Random(11), []
+    for _ in range(300):
+        x = {r.getrandbits(64) for _ in range(r.choice((1, 3, 40, 200, 700, 3000)))}
+        sets.append((x, set(r.sample(sorted(x), r.randrange(len(x) + 1))) | {r.getrandbits(64) for _ in range(r.randrange(1, 300))}))
+    crowd = {r.getrandbits(50) << 12 for _ in range(2500)}  # all in one cell, and too many of them for a byte
+    assert simhash.pivots_of(np.array(sorted(crowd), np.uint64)) == b""
+    sets.append((crowd, set(sorted(crowd)[:2400])))
+    rows = [[simhash.pivots_of(np.array(sorted(s), np.uint64)) for s in side] for side in zip(*sets, strict=True)]
+    for x, y in (rows, rows[::-1], (rows[0], rows[0])):
+        got = simhash.pivot_bounds(x, y)
+        assert all(g <= (0 if x is y else len(a ^ b)) for g, (a, b) in zip(got.tolist(), sets, strict=True))
+    # unrelated sets of like size are told apart by the table alone, at any size
+    for n in (30, 300, 3000, 30_000):
+        x, y = ([simhash.pivots_of(np.array(sorted({r.getrandbits(64) for _ in range(n)}), np.uint64)) for _ in range(40)] for _ in range(2))
+        assert (simhash.pivot_bounds(x, y) > (1 - simhash.SIMILARITY) / (1 + simhash.SIMILARITY) * 2 * n).mean() >= 0.9
+
+
+def test_keep_one_discards_by_the_pivot_table(spark, monkeypatch):
+    """Texts that share a passage but aren't alike meet in the join of shingles; the pivot table alone discards them, and no text of theirs is fetched."""
+    r = random.Random(5)
+    passage = " ".join(f"p{i}" for i in range(60))
+    texts = [" ".join(f"w{r.randrange(10**6)}" for _ in range(240)) + f" {passage}" for _ in range(40)]
+    texts += [f"{texts[0]} more", " ".join(texts[1].split()[20:])]
+    sets = [simhash.shingle_hashes(t.encode()) for t in texts]
+    rows = [(i, len(h), simhash.pivots_of(h), b"\0" * 64) for i, h in enumerate(sets)]  # sketches that discard nothing
+    pairs = spark.createDataFrame([(i, j) for j in range(42) for i in range(j)], "a long, b long")
+    docs, fetched, cut = spark.createDataFrame(list(enumerate(texts)), "id long, text string"), [], simhash.cut
+    monkeypatch.setattr(simhash, "cut", lambda df: fetched.append(df) or cut(df))
+    got = simhash.verified(docs, spark.createDataFrame(rows, "id long, n long, pivots binary, sketch binary"), pairs).collect()
+    assert sorted((x["a"], x["b"]) for x in got) == [(0, 40), (1, 41)]
+    assert fetched[1].count() == 4
+    assert sorted(x["doc_id"] for x in simhash.keep_one(docs.withColumnRenamed("id", "doc_id")).collect()) == list(range(40))
