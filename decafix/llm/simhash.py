@@ -158,6 +158,8 @@ TILE = 4096
 #: Shingles of at least FREQUENT documents of one task, the most frequent LISTED of all, are sent to all tasks; a task counts its documents' shingles in a table of HELD at most, of which
 #: the rarest go when it is full. They only set the order in which shingles are taken as keys; any order finds every pair.
 FREQUENT, LISTED, HELD = 2, 65_536, 1 << 19
+#: Words of 64 bits in the bitmap of the ids that a join asks for.
+WORDS = 1 << 18
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93)]
 
 
@@ -418,7 +420,7 @@ def alike(sets: DataFrame, tile: int | None = None) -> DataFrame:
     side = F.when(F.col("own") == F.col("k"), -1).otherwise(F.col("own")).cast("long")
     # tile (i, i) pairs the rows of cut i with each other, tile (i, j) those of i with those of j
     dealt = dealt.select(place.alias("place"), "id", "span", "group", side.alias("side")).repartition("place").sortWithinPartitions("place")
-    return pairs.unionByName(dealt.mapInArrow(_shingle_pairs(True, tile), kinds).select("a", "b")).distinct()
+    return cut(pairs.unionByName(dealt.mapInArrow(_shingle_pairs(True, tile), kinds).select("a", "b")).distinct())
 
 
 def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -436,13 +438,26 @@ def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(1)], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
 
+def marked(rows: DataFrame, ids: DataFrame, column: str = "id") -> DataFrame:
+    """``rows`` and a boolean __marked: true where ``column`` is among ``ids`` (one column) and for few others. So the rest need not be sent to a join on it. The ids are marked in a bitmap
+    of ``WORDS`` words at most, two bits of a word each, that all tasks get; with very many ids it only marks more of the others."""
+    one = lambda h, n: F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(h, n).bitwiseAND(F.lit(63)).cast("int"))
+    h, k = F.xxhash64(F.col(ids.columns[0]).cast("long")), F.xxhash64(F.col(f"`{column}`").cast("long"))
+    words = ids.select(F.pmod(h, F.lit(WORDS)).alias("__word"), one(h, 32).bitwiseOR(one(h, 40)).alias("bits")).groupBy("__word").agg(F.bit_or("bits").alias("__bits"))
+    mask = one(k, 32).bitwiseOR(one(k, 40))
+    met = rows.withColumn("__word", F.pmod(k, F.lit(WORDS))).join(F.broadcast(words), "__word", "left")
+    return met.withColumn("__marked", F.coalesce(F.col("__bits").bitwiseAND(mask) == mask, F.lit(False))).drop("__word", "__bits")
+
+
 def verified(docs: DataFrame, tables: DataFrame, pairs: DataFrame) -> DataFrame:
     """Those pairs (a, b) of ids whose texts' sets of shingles are ``SIMILARITY`` alike. ``tables`` (id, n, pivots, sketch) first discard pairs whose sets differ in too many members for
     that, so that few texts are fetched: by their distances to the pivots, and of the rest by the bits of their sketches."""
+    both = pairs.select(F.col("a").alias("id")).union(pairs.select("b"))
+    tables = marked(tables, both).where("__marked")
     one, two = (tables.select(F.col("id").alias(x), *[F.col(c).alias(f"{c[0]}{x}") for c in ("n", "pivots", "sketch")]) for x in "ab")
     pairs = cut(pairs.join(one, "a").join(two, "b").select("a", "b", "na", "nb", "pa", "pb", "sa", "sb").mapInArrow(_possible, "a long, b long"))
     wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    texts = cut(docs.select("id", "text").join(wanted, "id", "left_semi"))
+    texts = cut(marked(docs.select("id", "text"), wanted).where("__marked").select("id", "text").join(wanted, "id", "left_semi"))
     both = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("y")), "b")
     return cut(both.select("a", "b", "x", "y").mapInArrow(_similar, "a long, b long"))
 
@@ -492,6 +507,15 @@ def similar_texts(docs: DataFrame) -> DataFrame:
     return found.select(F.col("node").alias("id"), "component")
 
 
+def _without(docs: DataFrame, drop: DataFrame, doc_id: str, text: str | None = None) -> DataFrame:
+    """``docs`` but the rows of the ids (and texts) of ``drop``. Only rows that the bitmap of those ids marks are sent to the join."""
+    all_ = marked(docs, drop.select("__drop"), doc_id)
+    some = all_.where("__marked").drop("__marked")
+    same = some[doc_id].cast("long") == drop["__drop"]
+    left = some.join(drop, same & (some[text].cast("string") == drop["__text"]) if text else same, "left_anti")
+    return all_.where("NOT __marked").drop("__marked").unionByName(left)
+
+
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with only the least doc_id of each group of near-duplicate texts (``similar_texts``). Rows without an id stay; documents without words are no one's copies and stay. Rows
     that repeat an id with different texts are compared and dropped each by its own text, and of a group's least id one text is kept; rows equal in id and text are one document and all
@@ -499,7 +523,7 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("text")).where(F.col("id").isNotNull() & F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     if rows.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
         drop = similar_texts(rows).where("id <> component").select(F.col("id").alias("__drop"))
-        return docs.join(drop, docs[doc_id] == drop["__drop"], "left_anti")
+        return _without(docs, drop, doc_id)
     own = cut(rows.distinct().withColumn("key", F.monotonically_increasing_id()))
     groups = cut(similar_texts(own.select(F.col("key").alias("id"), "text")).withColumnRenamed("id", "key"))
     groups = groups.unionByName(groups.select(F.col("component").alias("key"), "component").distinct())
@@ -507,4 +531,4 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     least = members.groupBy("component").agg(F.min("order").alias("least"))
     out = members.join(least, "component").where("key <> least.key").select("key")
     drop = own.join(out, "key").select(F.col("id").alias("__drop"), F.col("text").alias("__text"))
-    return docs.join(drop, (docs[doc_id].cast("long") == drop["__drop"]) & (docs[text].cast("string") == drop["__text"]), "left_anti")
+    return _without(docs, cut(drop), doc_id, text)

@@ -280,3 +280,14 @@ def test_keep_one_discards_by_the_pivot_table(spark, monkeypatch):
     assert sorted((x["a"], x["b"]) for x in got) == [(0, 40), (1, 41)]
     assert fetched[1].count() == 4
     assert sorted(x["doc_id"] for x in simhash.keep_one(docs.withColumnRenamed("id", "doc_id")).collect()) == list(range(40))
+
+
+@pytest.mark.parametrize("words", [1, 1 << 18])
+def test_bitmap_marks_all_that_are_asked_for(spark, words, monkeypatch):
+    monkeypatch.setattr(simhash, "WORDS", words)
+    rows = spark.createDataFrame([(i, i % 7) for i in range(-500, 500)] + [(None, 1)], "a long, `b` int")
+    ids = spark.createDataFrame([(i,) for i in range(-500, 10**6, 100)] + [(-500,), (None,)], "id long")
+    got = {x["a"]: x["__marked"] for x in simhash.marked(rows, ids, "a").collect()}
+    assert len(got) == 1001 and all(got[i] for i in range(-500, 500, 100))
+    assert sum(got.values()) <= 1001 if words == 1 else sum(got.values()) <= 20
+    assert not any(x["__marked"] for x in simhash.marked(rows, ids.limit(0), "a").collect())
