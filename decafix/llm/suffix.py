@@ -161,7 +161,9 @@ def _packed(key: np.ndarray, rows: np.ndarray, buckets: int, extra: tuple[np.nda
     b = (key % np.uint64(buckets)).astype(np.int64)
     order = np.argsort(b, kind="stable")
     b = b[order]
-    at = np.flatnonzero(_changes(b)) if len(b) else np.zeros(0, np.int64)
+    if not len(b):
+        return
+    at = np.flatnonzero(_changes(b))
     for s, e in zip(at, np.append(at[1:], len(b)), strict=True):
         pick = order[s:e]
         body = rows[pick].tobytes()

@@ -89,3 +89,8 @@ def test_nulls_ties_and_clashing_columns(spark):
     by = {(r["doc_id"], r["text"]): r["n_chars"] for r in kept.collect()}
     assert (5, t) in by and by[7, "x"] == 1 and (8, None) in by and by[None, "z"] == 1 and (None, "") not in by and kept.count() == 7
     assert suffix.digests(df.limit(0)).count() == 0 and suffix.remove(df.limit(0)).count() == 0
+
+
+def test_a_task_without_any_entry():
+    none = np.zeros(0, suffix.ENTRY)
+    assert list(suffix._packed(none["anchor"], none, 8)) == []
